@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshquarry.llm import components, cutoffs, mixture, percentiles, quota_sample, survivors
+from meshquarry.llm import components, cutoffs, leaks, mixture, percentiles, quota_sample, stuffing, survivors
+from meshquarry.functions.text import source_key
 from meshquarry.session import table
 
 
@@ -60,6 +61,17 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota_sample.draw(table(spark, sf_dir, "evaluation_record"), table(spark, sf_dir, "sample_target"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents, of how many sources, each item leaked into."""
+    hit = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", source_key(F.col("source")).alias("source"))
+    return hit.join(docs, "doc_id").groupBy("item_id").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_doc_id"))
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
 
@@ -68,7 +80,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(*mixture.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_record_splits, p3_found, p3_cutoffs, p4_percentiles, p4_merged_from_days, p7_found, p7_report, p7_sample, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stuffing.scored(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", "source", F.round("page_score", 6).alias("page_score"), F.round("host_rate", 6).alias("host_rate"), F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_record_splits, p3_found, p3_cutoffs, p4_percentiles, p4_merged_from_days, p7_found, p7_report, p7_sample, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_scores)}
 
 
 def _key(c: str) -> str:
