@@ -23,6 +23,8 @@ from meshquarry.session import spill
 MIN_SHARE = 0.1
 #: Correspondences below this similarity are no renames.
 MIN_SIMILARITY = 0.55
+#: Most field names that renames may tie; a map of them is part of the plan of the consistent table.
+MAX_NAMES = 10_000
 #: Words that only say "how many" (fixed values); they count little in a name.
 QUANTITY = frozenset({"n", "num", "number", "nr", "count", "cnt", "nb", "total"})
 #: Words of like meaning (fixed values).
@@ -236,10 +238,12 @@ def consistent_table(lines: DataFrame) -> DataFrame:
     """
     names = canonical_names(schema_changes(lines))
     recs = complete_records(lines.select("line_id", "trace_file", "line_no", "payload"), '"$2"')
-    alias = names.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("alias"))
-    r = recs.withColumn("m", F.expr("cast(v as map<string,variant>)")).crossJoin(F.broadcast(alias))
-    # one row of names that renames tie: a few per field, not per record
-    r = r.withColumn("m", F.map_from_entries(F.array_distinct(F.transform(F.map_entries("m"), lambda e: F.struct(F.coalesce(F.element_at("alias", e["key"]), e["key"]).alias("key"), F.to_json(e["value"]).alias("value"))))))
+    few = names.limit(MAX_NAMES + 1).collect()
+    if len(few) > MAX_NAMES:
+        raise ValueError(f"renames tie more than {MAX_NAMES} field names")
+    alias = F.create_map(*(F.lit(x) for r in few for x in (r["name"], r["canonical"]))) if few else F.lit(None).cast("map<string,string>")
+    r = recs.withColumn("m", F.expr("cast(v as map<string,variant>)"))
+    r = r.withColumn("m", F.map_from_entries(F.array_distinct(F.transform(F.map_entries("m"), lambda e: F.struct(F.coalesce(alias[e["key"]], e["key"]).alias("key"), F.to_json(e["value"]).alias("value"))))))
     one = lambda x: F.regexp_replace(F.regexp_replace(x, r'^(?:\[([^,\[\]{}]*)\]|\{"[^"]*":([^,\[\]{}]*)\})$', "$1$2"), '^"(.*)"$', "$1")
     cast = lambda c, t: F.expr(f"try_cast(try_cast({c} as double) as bigint)") if t == "bigint" else F.expr(f"try_cast({c} as {t})")
     r = r.select("line_id", "trace_file", "line_no", "m", *(one(F.element_at("m", c)).alias(f"_{c}") for c in TRACE_COLUMNS))
