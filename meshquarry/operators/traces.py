@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions import search as X
+from meshquarry.operators.ranking import row_numbers
 from meshquarry.session import maybe_broadcast
 
 
@@ -123,10 +124,14 @@ def validation_meshes(df: DataFrame, mesh: str, fraction: float) -> DataFrame:
 
 def interleave(df: DataFrame, category: str, name: str, size: int) -> DataFrame:
     """chunk and ``turn`` of each row: chunks of ``size`` by name within a category, taken from the categories in turn."""
-    pos = F.row_number().over(W.partitionBy(category).orderBy(name)) - 1
-    d = df.withColumn("chunk", F.floor(pos / size).cast("int"))
-    order = d.select(category, "chunk").distinct().withColumn("turn", F.row_number().over(W.orderBy("chunk", category)))  # one row per chunk
-    return d.join(maybe_broadcast(order), [category, "chunk"])
+    d = row_numbers(df, [category], [F.col(name)], "_rn").withColumn("chunk", F.floor((F.col("_rn") - 1) / size).cast("int")).drop("_rn")
+    chunks = d.groupBy(category).agg((F.max("chunk") + 1).alias("n"))
+    per = chunks.withColumn("_all", F.collect_list(F.struct(F.col(category).alias("c"), F.col("n"))).over(W.partitionBy(F.lit(0)))).select(category, "_all")  # one row per category
+    j = d.join(maybe_broadcast(per), category)
+    # all chunks of earlier rounds, and in this round those of the categories up to this one
+    earlier = F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.col("chunk")))
+    here = F.size(F.filter("_all", lambda x: (x["n"] > F.col("chunk")) & (x["c"] <= F.col(category))))
+    return j.withColumn("turn", earlier + here).drop("_all")
 
 
 def reward_pairs(df: DataFrame, group: str, key: str, target: str, max_pairs: int) -> DataFrame:

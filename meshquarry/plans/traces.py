@@ -54,7 +54,7 @@ def value_weights(spark: S_, d: str) -> DataFrame:
 def episode_returns(spark: S_, d: str) -> DataFrame:
     """Discounted return and running average per user."""
     r = T.discounted_returns(_trace(spark, d), ["user_id"], ["ts", "event_id"], "reward", 0.9)
-    return r.select("user_id", "steps", F.round("ret", 6).alias("ret"), F.round("mean", 6).alias("mean"))
+    return r.select("user_id", "steps", F.round("ret", 6).alias("ret"), F.round("mean", 8).alias("mean"))
 
 
 def n_step_returns(spark: S_, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ z AS (SELECT category, adv, greatest(-3, least(3, (adv - avg(adv) OVER c) / grea
 SELECT category, count(*) AS n, round(avg(adv), 6) + 0.0 AS mean_advantage, round(avg(z), 6) AS mean_z, round(max(z), 6) AS max_z, count(*) FILTER (WHERE abs(z) >= 3) AS clipped FROM z GROUP BY 1""",
     "value_weights": f"""WITH {_T}, n AS (SELECT category, CAST(sign(reward) AS INT) AS sign, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, (sum(n) OVER () / sum(n) OVER (PARTITION BY sign)) * (sum(n) OVER () / sum(n) OVER (PARTITION BY category)) AS raw FROM n)
 SELECT category, sign, n, round(raw / (sum(raw * n) OVER () / sum(n) OVER ()), 6) AS w FROM r""",
-    "episode_returns": f"WITH {_T}, i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM t) SELECT user_id, count(*) AS steps, round(sum(pow(0.9, i) * reward), 6) AS ret, round(avg(reward), 6) AS mean FROM i GROUP BY 1",
+    "episode_returns": f"WITH {_T}, i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM t) SELECT user_id, count(*) AS steps, round(sum(pow(0.9, i) * reward), 6) AS ret, round(avg(reward), 8) AS mean FROM i GROUP BY 1",
     "n_step_returns": f"""WITH {_T}, e AS (SELECT event_id, reward AS r0, category = 'error' AS d0, coalesce(first(reward) OVER {_N.format(1)}, 0) AS r1, first(category) OVER {_N.format(1)} AS c1, coalesce(first(reward) OVER {_N.format(2)}, 0) AS r2, first(category) OVER {_N.format(2)} AS c2 FROM t)
 SELECT event_id, round(CASE WHEN d0 THEN r0 WHEN c1 = 'error' THEN r0 + r1 / 2 ELSE r0 + r1 / 2 + r2 / 4 END, 6) AS ret, CASE WHEN d0 OR c1 IS NULL THEN 0 WHEN c1 = 'error' OR c2 IS NULL THEN 1 ELSE 2 END AS stop_after FROM e""",
     "replay_buffer": f"WITH {_T} SELECT event_id, user_id, reward, event_id % 256 AS slot FROM t ORDER BY event_id DESC LIMIT 256",
