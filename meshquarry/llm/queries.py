@@ -38,6 +38,11 @@ def p3_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoffs.cutoffs(cutoffs.counted_states(table(spark, sf_dir, "gate_score")), table(spark, sf_dir, "gate_target"))
 
 
+def p4_daily_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mergeable partial results: one histogram per category, stage, metric and day."""
+    return percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record"), by_day=True)
+
+
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record")), ["category", "stage"])
 
@@ -89,7 +94,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "source", F.round("page_score", 6).alias("page_score"), F.round("host_rate", 6).alias("host_rate"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_record_splits, p3_found, p3_cutoffs, p4_percentiles, p4_merged_from_days, p7_found, p7_report, p7_sample, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_record_splits, p3_found, p3_cutoffs, p4_daily_histograms, p4_percentiles, p4_merged_from_days, p7_found, p7_report, p7_sample, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_scores)}
 
 
 def _key(c: str) -> str:
