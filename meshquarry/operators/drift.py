@@ -68,6 +68,18 @@ def _evidence(f: dict) -> set[str]:
     return {v for v in (() if f["values"] is None else f["values"]) if v is not None} | {f".{k}" for k in (() if f["keys"] is None else f["keys"])}
 
 
+def _agreement(a: set[str], b: set[str]) -> float:
+    """Share of the smaller evidence found in the other; one half where either has none.
+
+    That two samples of numbers have none in common says little, as a count or size may differ from file to file.
+    """
+    if not a or not b:
+        return 0.5
+    shared = len(a & b) / min(len(a), len(b))
+    number = all(re.fullmatch(r"\[?-?[\d.]+(?:[eE]-?\d+)?\]?", v) for v in a | b if v[0] != ".")
+    return max(shared, 0.4) if number else shared
+
+
 def flood(gone: list[dict], come: list[dict], rounds: int = 12) -> np.ndarray:
     """Similarity of each gone field with each coming one.
 
@@ -88,8 +100,7 @@ def flood(gone: list[dict], come: list[dict], rounds: int = 12) -> np.ndarray:
                 w = [np.array([0.3 if t in QUANTITY else 1.0 for t in x]) for x in (a, b)]
                 name = _soft_dice(w[0], w[1], np.array([[words[x, y] for y in b] for x in a])) if a and b else 0.0
                 kind = 0.5 if f["type"] is None or g["type"] is None else float(f["type"] == g["type"])
-                va, vb = _evidence(f), _evidence(g)
-                value = len(va & vb) / min(len(va), len(vb)) if va and vb else 0.5
+                value = _agreement(_evidence(f), _evidence(g))
                 fields[i, j] = 0.6 * name + 0.25 * value + 0.15 * kind
         flow: dict[tuple[str, str], list[float]] = {}
         for i in range(len(gone)):

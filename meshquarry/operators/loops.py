@@ -128,10 +128,10 @@ def greedy_refine(points: DataFrame, boxes: DataFrame, mesh: str, shape: Column,
     now = spill(now.drop("_last").join(first, mesh), "refine")
     for _ in range(steps):
         r = S.proxy_rewards(points, now, mesh, s, unit, F.col("_shape"), F.col("_last"), penalty, rate)
-        best = r.groupBy(mesh).agg(F.max(F.struct(F.round("reward", 9).alias("reward"), (-F.col("action")).alias("a"), "bbox_idx", "coord_idx", "scale_idx", "bvs")).alias("b"))
+        best = r.groupBy(mesh).agg(F.max(F.struct(F.round("reward", 9).alias("gain"), (-F.col("action")).alias("a"), "bbox_idx", "coord_idx", "scale_idx", "reward")).alias("b"))
         least = now.groupBy(mesh).agg(F.max(-F.abs(F.lit(1.0) - 1) - F.col("_last")).alias("_full"))
         bar = F.lit(0.0) if stop == "positive" else F.greatest(F.lit(0.0), F.col("_full"))
-        won = spill(best.join(least, mesh).filter(F.col("b.reward") > bar).select(mesh, "b.*"), "won")
+        won = spill(best.join(least, mesh).filter(F.col("b.gain") > bar).select(mesh, "b.*"), "won")
         if won.isEmpty():
             break
         w = won.select(mesh, "reward", F.col("bbox_idx").alias("_k"), F.col("coord_idx").alias("_c"), (B.step(F.col("scale_idx"), s) * unit).alias("_d"))

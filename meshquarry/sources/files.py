@@ -32,12 +32,17 @@ def obj_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return l.select(F.xxhash64("file", "line_no").alias("line_id"), F.col("file").alias("obj_file"), "line_no", F.col("line").alias("raw_line"))
 
 
+def general(x: Column, digits: int) -> Column:
+    """A number with ``digits`` significant digits and no trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}g", x), r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+
+
 def write_obj(vertices: DataFrame, faces: DataFrame, path: str, digits: int = 9) -> None:
     """One text file per mesh folder (mesh=...): v lines in order of vertex_id, then f lines, 1-based.
 
     ``vertices`` has mesh, vertex_id, x, y, z; ``faces`` mesh, face_id, v0, v1, v2. Each mesh is sorted within its task only.
     """
-    v = vertices.select("mesh", F.lit(0).alias("kind"), F.col("vertex_id").cast("long").alias("i"), F.format_string("v " + " ".join([f"%.{digits}g"] * 3), "x", "y", "z").alias("value"))
+    v = vertices.select("mesh", F.lit(0).alias("kind"), F.col("vertex_id").cast("long").alias("i"), F.concat_ws(" ", F.lit("v"), *(general(F.col(a), digits) for a in B.AXES)).alias("value"))
     f = faces.select("mesh", F.lit(1).alias("kind"), F.col("face_id").cast("long").alias("i"), F.format_string("f %d %d %d", F.col("v0") + 1, F.col("v1") + 1, F.col("v2") + 1).alias("value"))
     v.union(f).repartition("mesh").sortWithinPartitions("mesh", "kind", "i").select("mesh", "value").write.partitionBy("mesh").mode("overwrite").text(path)
 
@@ -50,7 +55,7 @@ def normalised_obj(lines: DataFrame, stats: DataFrame, digits: int = 9) -> DataF
     j = lines.join(stats, "obj_file", "left")
     p = F.split(F.trim("raw_line"), r"[ \t]+")
     xyz = [F.expr(f"try_cast(split(trim(raw_line), '[ \\t]+')[{i + 1}] AS DOUBLE)") for i in range(3)]
-    moved = [F.format_string(f"%.{digits}g", (x - F.col(c)) / F.col("scale")) for x, c in zip(xyz, ("cx", "cy", "cz"))]
+    moved = [general((x - F.col(c)) / F.col("scale"), digits) for x, c in zip(xyz, ("cx", "cy", "cz"))]
     new = F.concat_ws(" ", F.lit("v"), *moved, F.array_join(F.slice(p, F.lit(5), F.greatest(F.lit(0), F.size(p) - 4)), " "))
     ok = F.col("raw_line").rlike(r"^\s*v\s") & (F.size(p) >= 4) & F.col("cx").isNotNull()
     for x in xyz:
