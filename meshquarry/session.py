@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Side size up to which a join side may be broadcast (bytes, from Spark's own statistics).
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -76,9 +76,10 @@ def read_gmsh(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Da
     tag = F.when(F.col("line").startswith("$"), F.trim("line"))
     s = l.withColumn("section", F.last(tag, ignorenulls=True).over(w)).withColumn("at", F.max(F.when(tag.isNotNull(), F.col("line_no"))).over(w))
     body = s.filter(tag.isNull() & (F.col("line_no") > F.col("at") + 1)).withColumn("p", F.split(F.trim("line"), r"\s+"))  # the first line is the count
-    nodes = body.filter(F.col("section") == "$Nodes").select("file", F.col("p")[0].cast("long").alias("node"), (F.row_number().over(w) - 1).cast("long").alias("vertex_id"), *(F.col("p")[i + 1].cast("double").alias(a) for i, a in enumerate(B.AXES)))
-    e = body.filter(F.col("section") == "$Elements").withColumn("kind", F.col("p")[1].cast("int")).withColumn("tags", F.col("p")[2].cast("int"))
-    e = e.select("file", "line_no", "kind", F.transform(F.slice("p", F.col("tags") + 4, F.size("p")), lambda x: x.cast("long")).alias("ids"))
+    at = lambda i, t: F.get("p", F.lit(i)).try_cast(t)
+    nodes = body.filter(F.col("section") == "$Nodes").select("file", at(0, "long").alias("node"), (F.row_number().over(w) - 1).cast("long").alias("vertex_id"), *(at(i + 1, "double").alias(a) for i, a in enumerate(B.AXES)))
+    e = body.filter(F.col("section") == "$Elements").select("file", "line_no", "p", at(1, "int").alias("kind"), F.coalesce(at(2, "int"), F.lit(0)).alias("tags"))
+    e = e.select("file", "line_no", "kind", F.transform(F.slice("p", F.col("tags") + 4, F.size("p")), lambda x: x.try_cast("long")).alias("ids"))
 
     def elements(kind: int, n: int, name: str) -> DataFrame:
         x = e.filter((F.col("kind") == kind) & (F.size("ids") == n)).select("file", "line_no", F.posexplode("ids").alias("k", "node")).join(nodes.select("file", "node", "vertex_id"), ["file", "node"])
