@@ -56,10 +56,10 @@ def _ids(ws: list[str]) -> list[int]:
 
 def seed_hashes(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(mask number, hash at each start) for the runs that fit into ``ids``."""
-    n = len(ids) - RUN + 1
+    n = max(0, len(ids) - RUN + 1)
     for k, mask in enumerate(masks()):
-        h = np.full(max(n, 0), np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), dtype=np.uint64)
-        for o in mask:
+        h = np.full(n, np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), dtype=np.uint64)
+        for o in mask if n else ():
             h += ids[o : o + n] * _ODD[o]
             h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)

@@ -92,8 +92,9 @@ def features(text: str | None) -> tuple[float, ...]:
     n = sum(len(w) for _, w in parsed)
     if not n:
         return (0.0,) * len(FEATURES)
-    # a sung chorus or a chant repeats whole lines; stuffing repeats words in new ones
-    count = Counter([x for w in {tuple(w): w for _, w in parsed}.values() for x in w])
+    # a sung chorus or a chant repeats whole lines, which count once; stuffing repeats words in new lines or with words of trade
+    sung = Counter(tuple(w) for _, w in parsed if TRADE.isdisjoint(w))
+    count = Counter([x for w in sung for x in w] + [x for _, w in parsed if not TRADE.isdisjoint(w) for x in w])
     every = sum(count.values())
     content = {w: c for w, c in count.items() if c > 1 and w not in _COMMON and not w.isdigit()}
     floor = max(5, 0.03 * every)
@@ -114,7 +115,7 @@ def features(text: str | None) -> tuple[float, ...]:
             kind = "links"
         elif not spoken and u.count(",") >= 2 and _is_list(u):
             kind = "lists"
-        elif heavy and own >= 3 and spoken <= 0.2 * len(w) and not seen.isdisjoint(heavy) and sum(x in pressing for x in w if x not in LIGHT) >= 0.6 * own:
+        elif heavy and own >= 3 and sung[tuple(w)] < 2 and spoken <= 0.2 * len(w) and not seen.isdisjoint(heavy) and sum(x in pressing for x in w if x not in LIGHT) >= 0.6 * own:
             kind = "phrases"
         if kind:
             got[kind] += len(w)
@@ -130,7 +131,7 @@ def features(text: str | None) -> tuple[float, ...]:
 def _is_list(unit: str) -> bool:
     """Three or more different keywords of one or two words between commas, without words that make sentences."""
     items = [x.split() for x in unit.strip(" .?!").lower().split(",")]
-    return all(0 < len(x) <= 2 and x[0].strip("¡¿?!.♪-") not in LIGHT for x in items) and len({" ".join(x) for x in items}) * 2 > len(items)
+    return all(0 < len(x) <= 2 and x[0].strip("¡¿?!.♪-") not in LIGHT for x in items) and len({" ".join(x) for x in items}) * 3 > 2 * len(items)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,14 +45,17 @@ def vote(df: DataFrame, keys: list[str], fields: list[Field], trust: Column, see
     """
     # 2^(t / half-life): only ratios within a group matter, so no reference time has to be found first
     decay = lambda h: F.lit(1.0) if h is None else F.pow(F.lit(2.0), F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), (F.coalesce(F.col("_at"), F.lit(0.0)) - 1.6e9) / (86400.0 * h))))
-    base = df.select(*keys, trust.cast("double").alias("_trust"), seen_at.cast("double").alias("_at"), tie.cast("long").alias("_tie"), *(F.struct(f.value.cast("string").alias("v"), (f.norm if f.norm is not None else f.value).cast("string").alias("k")).alias(f"_f{i}") for i, f in enumerate(fields)))
-    long = base.select(*keys, "_trust", "_at", "_tie", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_f{i}.v").alias("v"), F.col(f"_f{i}.k").alias("k"), (F.col("_trust") * decay(f.half_life_days)).alias("w")) for i, f in enumerate(fields)))).alias("e"))
-    long = long.select(*keys, "_trust", "_at", "_tie", "e.*").filter(F.col("v").isNotNull())
+    pairs = [F.struct(f.value.cast("string").alias("v"), (f.norm if f.norm is not None else f.value).cast("string").alias("k")).alias(f"_f{i}") for i, f in enumerate(fields)]
+    base = df.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), trust.cast("double").alias("_trust"), seen_at.cast("double").alias("_at"), tie.cast("long").alias("_tie"), *pairs)
+    own = [f"_key{i}" for i in range(len(keys))]
+    rows = F.array(*(F.struct(F.lit(i).alias("_f"), F.col(f"_f{i}.v").alias("_v"), F.col(f"_f{i}.k").alias("_k"), (F.col("_trust") * decay(f.half_life_days)).alias("_w")) for i, f in enumerate(fields)))
+    long = base.select(*own, "_trust", "_at", "_tie", F.explode(rows).alias("_e")).select(*own, "_trust", "_at", "_tie", "_e.*").filter(F.col("_v").isNotNull())
     order = F.struct(F.col("_trust"), F.coalesce(F.col("_at"), F.lit(float("-inf"))).alias("_at"), F.col("_tie"))
-    single = F.col("f").isin([i for i, f in enumerate(fields) if f.half_life_days is None])
-    votes = long.groupBy(*keys, "f", F.coalesce("k", "v").alias("k")).agg(F.when(single, F.max("w")).otherwise(F.sum("w")).alias("w"), F.max(F.struct(order.alias("o"), F.col("v"))).alias("best"))
-    winner = votes.groupBy(*keys, "f").agg(F.max_by("best.v", F.struct("w", "best.o")).alias("v"))
-    return winner.groupBy(*keys).pivot("f", list(range(len(fields)))).agg(F.first("v")).select(*keys, *(F.col(f"`{i}`").alias(f.name) for i, f in enumerate(fields)))
+    single = F.col("_f").isin([i for i, f in enumerate(fields) if f.half_life_days is None])
+    votes = long.groupBy(*own, "_f", F.coalesce("_k", "_v").alias("_k")).agg(F.when(single, F.max("_w")).otherwise(F.sum("_w")).alias("_w"), F.max(F.struct(order.alias("o"), F.col("_v").alias("v"))).alias("_best"))
+    winner = votes.groupBy(*own, "_f").agg(F.max_by("_best.v", F.struct("_w", "_best.o")).alias("_v"))
+    wide = winner.groupBy(*own).pivot("_f", list(range(len(fields)))).agg(F.first("_v"))
+    return wide.select(*(F.col(o).alias(k) for o, k in zip(own, keys)), *(F.col(f"`{i}`").alias(f.name) for i, f in enumerate(fields)))
 
 
 #: Trust in a stage record by its status; a success outweighs any other, however recent.
@@ -75,7 +78,7 @@ def stage_survivors(records: DataFrame) -> DataFrame:
     fields = [
         Field("survivor", F.col("record_id"), half_life_days=None),
         Field("category", F.col("category"), name_key(F.col("category"))),
-        Field("status", F.when(ok, F.lit("success")).otherwise(F.lower(F.trim("status"))), half_life_days=30.0),
+        Field("status", F.when(ok, F.lit("success")).otherwise(F.lower(F.trim("status"))), half_life_days=None),
         Field("finished_at", at, half_life_days=None),
         Field("output_path", F.col("output_path")),
         Field("log_path", F.col("log_path")),
