@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,19 +108,27 @@ def proxy_rewards(points: DataFrame, boxes: DataFrame, key: str, s: int, unit: f
     """Reward of every bound edit when coverage is the weighted share of points in some box after the edit.
 
     ``points`` has the key, x, y, z, weight; ``boxes`` key, bbox_idx and bounds; ``shape_volume`` and ``last`` are columns of
-    ``boxes``. An edit that makes its box invalid has reward -inf. Points are read once per edited box: those in another
+    ``boxes``. An edit that makes its box invalid has reward -inf. Each (point, box) row is read once; points in another
     box of the set count for every edit of this one.
     """
     idx = boxes.withColumn("_v", B.volume(B.box())).withColumn("_all", F.sum("_v").over(W.partitionBy(key)))
-    idx = idx.withColumn("_shape", shape_volume).withColumn("_last", last)
-    e = edit_grid(idx.select(key, "bbox_idx", *B.BOUNDS, "_v", "_all", "_shape", "_last"), s, unit).filter(F.col("coord_idx") < 6)
-    edits = e.groupBy(key, "bbox_idx").agg(F.collect_list(F.struct("action", *(F.col(f"e_{c}").alias(c) for c in B.BOUNDS))).alias("_edits"))
-    sets = boxes.groupBy(key).agg(F.collect_list(F.struct("bbox_idx", *B.BOUNDS)).alias("_boxes"))
+    idx = idx.withColumn("_shape", shape_volume).withColumn("_last", last).select(key, "bbox_idx", *B.BOUNDS, "_v", "_all", "_shape", "_last")
+    e = edit_grid(idx, s, unit).filter(F.col("coord_idx") < 6)
     p = [F.col(a) for a in B.AXES]
-    j = points.join(edits, key).join(sets, key)
-    other = F.exists("_boxes", lambda x: (x["bbox_idx"] != F.col("bbox_idx")) & B.contains([x[c] for c in B.BOUNDS], p))
-    hit = j.select(key, "weight", F.explode(F.transform("_edits", lambda x: F.struct(x["action"].alias("action"), (other | B.contains([x[c] for c in B.BOUNDS], p)).alias("hit")))).alias("h"))
-    cov = hit.groupBy(key, F.col("h.action").alias("action")).agg((F.sum(F.when(F.col("h.hit"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("covered"))
+    side = [p[i] >= F.col(c) for i, c in enumerate(B.LOWS)] + [p[i] <= F.col(c) for i, c in enumerate(B.HIGHS)]
+    j = covered(points.select(key, *B.AXES, "weight"), boxes.select(key, *B.BOUNDS), key).join(idx.select(key, "bbox_idx", *B.BOUNDS), key)
+    j = j.withColumn("_other", F.col("n_boxes") > B.contains(B.box(), p).cast("int"))
+    # one sum per edit, all in one pass over the (point, box) rows
+    sums = []
+    for c, bound in enumerate(B.BOUNDS):
+        rest = reduce(lambda x, y: x & y, side[:c] + side[c + 1 :])
+        for k, d in enumerate(B.action_scales(s)):
+            moved = F.col(bound) + d * unit
+            hit = F.col("_other") | (rest & (p[c % 3] >= moved if c < 3 else p[c % 3] <= moved))
+            sums.append(F.sum(F.when(hit, F.col("weight")).otherwise(0.0)).alias(f"_s{c * s + k}"))
+    got = j.groupBy(key, "bbox_idx").agg(F.sum("weight").alias("_w"), *sums)
+    cov = got.select(key, "bbox_idx", F.posexplode(F.array(*(F.col(f"_s{i}") / F.col("_w") for i in range(6 * s)))).alias("_k", "covered"))
+    cov = cov.select(key, (F.col("bbox_idx") * (6 * s + 1) + F.col("_k")).alias("action"), "covered")
     edited = [F.col(f"e_{c}") for c in B.BOUNDS]
     r = e.join(cov, [key, "action"], "left").na.fill({"covered": 0.0})
     bvs = (F.col("_all") - F.col("_v") + B.volume(edited)) / F.col("_shape")
