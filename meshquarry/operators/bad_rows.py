@@ -1,7 +1,7 @@
 """Rows that fail to parse: OBJ text lines loaded in bulk, faulty ones set apart with the reason.
 
-Blocks of lines go through one columnar parse (Arrow splits and casts over the whole
-block). A block that fails is bisected until single bad records remain, and only
+Blocks of lines go through one bulk parse (one match over the text of the block, then one
+column of numbers for all its vertices and one for its faces). A block that fails is bisected until single bad records remain, and only
 those are diagnosed by the strict line rules. The per-file range rule then joins
 each face with the number of vertex lines of its file (salted: one file may hold a
 third of all lines).
@@ -25,13 +25,17 @@ from meshquarry.session import salted_join
 TAGS = ("v", "vt", "vn", "f", "o", "g", "s", "usemtl", "mtllib", "l", "p")
 #: Reasons in the order in which they are tested (fixed values).
 REASONS = ("tag", "quote", "columns", "value", "range")
-#: Lines parsed at once; only speed depends on it.
-BLOCK = 128
+#: Lines parsed at once, and lines in a failing block that are no longer bisected but diagnosed each; only speed depends on them.
+BLOCK, LEAF = 128, 4
 
 _NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?")
 _TOKEN = re.compile(r"([+-]?\d+)(?:/[+-]?\d+|//[+-]?\d+|/[+-]?\d+/[+-]?\d+)?")
-_FAST_TOKEN = r"^-?[0-9]{1,9}(/-?[0-9]+|//-?[0-9]+|/-?[0-9]+/-?[0-9]+)?$"
-_FAST_TAG = "^(" + "|".join(TAGS) + r")([ \t]|$)|^#|^$"
+_N = r"[+-]?+(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+"
+_V = rf'[ \t]++(?:{_N}|"{_N}")'
+_F = r"[ \t]++-?+[0-9]{1,9}(?:/-?+[0-9]++(?:/-?+[0-9]++)?+|//-?+[0-9]++)?+"
+_REST = "|".join(t for t in TAGS if t not in "vf")
+#: A block whose every line has a common form: vertices, faces, other tags with paired quotes, comments, blanks.
+_BLOCK = re.compile(rf'(?:[ \t]*+(?:v(?:{_V}){{3}}(?:(?:{_V}){{3}}|{_V})?|f(?:{_F}){{3,}}+|(?:{_REST})(?:[ \t](?:[^\n"]++|"[^\n"]*+")*+)?+|\#[^\n]*+|)[ \t\r]*+\n)*+')
 
 PARSED = "line_id long, obj_file string, line_no long, tag string, vertex array<double>, face_tokens array<string>, worst long, zero boolean, reason string"
 
@@ -67,55 +71,41 @@ def diagnose(raw: str | None) -> tuple[str | None, list[float] | None, list[str]
     return tag, None, None, None, None, None
 
 
-def _bulk(lines: pa.Array) -> list[tuple] | None:
-    """The whole block by columnar parses, or None if any line doesn't conform to the common form."""
-    s = pc.utf8_trim(lines, characters=" \t\r\n")
-    if not pc.all(pc.match_substring_regex(s, _FAST_TAG)).as_py() or pc.any(pc.match_substring(s, '"')).as_py():
+def _bulk(lines: list[str]) -> list[tuple] | None:
+    """The whole block at once: one match over its text, then its numbers as one column each; None if a line conforms to no common form."""
+    text = "\n".join(lines) + "\n"
+    if text.count("\n") != len(lines) or not _BLOCK.fullmatch(text):
         return None
-    words = pc.split_pattern_regex(s, r"[ \t]+")
-    tags = pc.list_element(words, 0)
-    n = np.asarray(pc.list_value_length(words))
-    tag = np.asarray(tags.to_pylist(), dtype=object)
-    out: list[tuple] = [(None if t == "" or t[0] == "#" else t, None, None, None, None, None) for t in tag]
-    is_v, is_f = tag == "v", tag == "f"
-    if is_v.any():
-        count = n[is_v] - 1
-        if not np.isin(count, (3, 4, 6)).all():
-            return None
-        flat = pc.list_flatten(words.filter(pa.array(is_v)))
-        flat = flat.filter(pc.not_equal(flat, "v"))
-        if len(flat) != count.sum() or pc.any(pc.match_substring_regex(flat, "[^0-9.eE+-]")).as_py():
-            return None
-        try:
-            values = np.asarray(pc.cast(pc.replace_substring_regex(flat, r"^\+([0-9.])", r"\1"), pa.float64()))
-        except pa.ArrowInvalid:
-            return None
+    words = [t.split() for t in lines]
+    out: list[tuple] = [(w[0] if w and w[0][0] != "#" else None, None, None, None, None, None) for w in words]
+    vs, fs = [i for i, o in enumerate(out) if o[0] == "v"], [i for i, o in enumerate(out) if o[0] == "f"]
+    if vs:
+        column = [x.strip('"') for i in vs for x in words[i][1:]]
+        values = np.array(column, dtype=np.float64)
         if not np.isfinite(values).all():
             return None
-        for i, part in zip(np.flatnonzero(is_v), np.split(values, np.cumsum(count)[:-1])):
-            out[i] = ("v", part.tolist(), None, None, None, None)
-    if is_f.any():
-        count = n[is_f] - 1
-        if (count < 3).any():
-            return None
-        flat = pc.list_flatten(words.filter(pa.array(is_f)))
-        flat = flat.filter(pc.not_equal(flat, "f"))
-        if len(flat) != count.sum() or not pc.all(pc.match_substring_regex(flat, _FAST_TOKEN)).as_py():
-            return None
-        index = np.asarray(pc.cast(pc.list_element(pc.split_pattern(flat, "/", max_splits=1), 0), pa.int64()))
-        ends = np.cumsum(count)[:-1]
-        for i, part, toks in zip(np.flatnonzero(is_f), np.split(index, ends), np.split(np.asarray(flat.to_pylist(), dtype=object), ends)):
-            out[i] = ("f", None, toks.tolist(), int(np.abs(part).max()), bool((part == 0).any()), None)
+        flat, at = values.tolist(), 0
+        for i in vs:
+            n = len(words[i]) - 1
+            out[i] = ("v", flat[at : at + n], None, None, None, None)
+            at += n
+    if fs:
+        index, at = np.array([x.partition("/")[0] for i in fs for x in words[i][1:]], dtype=np.int64), 0
+        for i in fs:
+            toks = words[i][1:]
+            own = index[at : at + len(toks)]
+            out[i] = ("f", None, toks, int(np.abs(own).max()), bool((own == 0).any()), None)
+            at += len(toks)
     return out
 
 
-def parse_block(lines: pa.Array) -> list[tuple]:
+def parse_block(lines: list[str]) -> list[tuple]:
     """Parse a block; bisect where it fails, down to single records for :func:`diagnose`."""
     done = _bulk(lines)
     if done is not None:
         return done
-    if len(lines) == 1:
-        return [diagnose(lines[0].as_py())]
+    if len(lines) <= LEAF:
+        return [diagnose(t) for t in lines]
     half = len(lines) // 2
     return parse_block(lines[:half]) + parse_block(lines[half:])
 
@@ -123,7 +113,7 @@ def parse_block(lines: pa.Array) -> list[tuple]:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("line_id", pa.int64()), ("obj_file", pa.string()), ("line_no", pa.int64()), ("tag", pa.string()), ("vertex", pa.list_(pa.float64())), ("face_tokens", pa.list_(pa.string())), ("worst", pa.int64()), ("zero", pa.bool_()), ("reason", pa.string())])
     for b in batches:
-        raw = pc.fill_null(b.column("raw_line"), "")
+        raw = pc.fill_null(b.column("raw_line"), "").to_pylist()
         rows = [r for i in range(0, len(raw), BLOCK) for r in parse_block(raw[i : i + BLOCK])]
         cols = list(zip(*rows)) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([b.column("line_id"), b.column("obj_file"), b.column("line_no"), *(pa.array(c, type=schema.field(k + 3).type) for k, c in enumerate(cols))], schema=schema)
