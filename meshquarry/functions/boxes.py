@@ -184,3 +184,49 @@ def bavf(part: Column, boxv: Column, alpha: float) -> Column:
 def merge_reward(bvs: Column, left: Column, right: Column, merged: Column, shape: Column) -> Column:
     """-|bvs' - 1| + |bvs - 1| where bvs' has the merged box for the two."""
     return -F.abs(bvs + (merged - left - right) / shape - 1) + F.abs(bvs - 1)
+
+
+# --- roles and targets of edits ---
+
+
+def role(coord: Column, delta: Column) -> Column:
+    """expand, shrink or recenter."""
+    grows = F.when(coord < 3, delta < 0).otherwise(delta > 0)
+    return F.when(coord == 6, "recenter").when(grows, "expand").otherwise("shrink")
+
+
+def axis_rank(b: Box) -> tuple[Column, Column]:
+    """(major, minor) axis of a box, 0 ... 2; ties within 1e-9 go to the lower axis."""
+    e = extents(b)
+    big, small = F.greatest(*e), F.least(*e)
+    first = lambda near: F.when(near(e[0]), 0).when(near(e[1]), 1).otherwise(2)
+    return first(lambda x: x >= big - 1e-9), first(lambda x: x <= small + 1e-9)
+
+
+def state_key(b: Box) -> Column:
+    """Identity of a box state (equal bounds, equal key)."""
+    return F.xxhash64(*b)
+
+
+def named_bucket(v: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
+    """The name of the bucket of a value: below edges[0] the first, at or above the last edge the last; null stays null."""
+    out = F.lit(names[-1])
+    for e, n in reversed(list(zip(edges, names))):
+        out = F.when(v < e, F.lit(n)).otherwise(out)
+    return F.when(v.isNotNull(), out)
+
+
+def soft_inside(b: Box, p: Sequence[Column], sharp: float) -> Column:
+    """Smooth membership: product of sigmoids of the distances to the six sides."""
+    sig = lambda x: 1 / (1 + F.exp(-sharp * x))
+    return product([sig(p[i] - b[i]) * sig(b[i + 3] - p[i]) for i in range(3)])
+
+
+def td_target(reward: Column, done: Column, next_q: Column, gamma: float) -> Column:
+    """reward + (1 - done) * gamma * Q'."""
+    return reward + F.when(done, 0.0).otherwise(gamma * next_q)
+
+
+def blended(a: Column, b: Column, tau: float) -> Column:
+    """tau * a + (1 - tau) * b of two arrays of parameters."""
+    return F.zip_with(a, b, lambda x, y: tau * x + (1 - tau) * y)

@@ -79,3 +79,40 @@ def cascade(df: DataFrame, group: Sequence[str], proxy: Column, exact: Column, k
     top = d.filter(F.col("_r") <= keep).withColumn("_e", exact)
     best = top.groupBy(*group).agg(F.max(F.struct(F.col("_e").alias("e"), (-F.col(key)).alias("k"))).alias("b"), F.count("*").alias("checked"))
     return best.join(maybe_broadcast(n), list(group)).select(*group, (-F.col("b.k")).alias(key), F.col("b.e").alias("exact"), "checked", (F.col("_n") - F.col("checked")).alias("skipped"))
+
+
+def diverse_escape(df: DataFrame, group: Sequence[str], score: str, action: str, bbox: str, coord: str, keep: int) -> DataFrame:
+    """group, picks: ``keep`` actions by score that repeat no used box together with a used coord, the last slot free, then filled by score.
+
+    A group's candidates are the edits of one state; the pass over them is one fold of an array, in order of score, then action.
+    """
+    s = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(action).alias("a"), F.col(bbox).alias("b"), F.col(coord).alias("c"))))
+    g = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*group).agg(s.alias("_l"))
+    none = F.struct(F.array().cast("array<bigint>").alias("p"), F.array().cast("array<int>").alias("b"), F.array().cast("array<int>").alias("c"))
+
+    def take(acc: Column, x: Column) -> Column:
+        full = F.size(acc["p"]) >= keep
+        again = F.array_contains(acc["b"], x["b"].cast("int")) & F.array_contains(acc["c"], x["c"].cast("int")) & (F.size(acc["p"]) < keep - 1)
+        new = F.struct(F.array_append(acc["p"], x["a"].cast("long")).alias("p"), F.array_append(acc["b"], x["b"].cast("int")).alias("b"), F.array_append(acc["c"], x["c"].cast("int")).alias("c"))
+        return F.when(full | again, acc).otherwise(new)
+
+    first = F.aggregate("_l", none, take, lambda acc: acc["p"])
+    g = g.withColumn("_p", first)
+    rest = F.filter(F.transform("_l", lambda x: x["a"].cast("long")), lambda a: ~F.array_contains("_p", a))
+    return g.select(*group, F.slice(F.concat("_p", rest), 1, keep).alias("picks"))
+
+
+def greedy_assignment(costs: DataFrame, group: str, left: str, right: str, cost: str) -> DataFrame:
+    """group, left, right, cost: pairs taken by cost (ties: left, right), each side once, in rounds of pairs that are best for both."""
+    from meshquarry.session import spill
+
+    open_ = spill(costs.select(group, left, right, cost), "costs")
+    out = open_.limit(0)
+    while not open_.isEmpty():
+        key = F.struct(cost, left, right)
+        l = open_.groupBy(group, left).agg(F.min(key).alias("_l"))
+        r = open_.groupBy(group, right).agg(F.min(key).alias("_r"))
+        won = spill(open_.join(l, [group, left]).join(r, [group, right]).filter((F.col("_l") == key) & (F.col("_r") == key)).select(group, left, right, cost), "won")
+        out = out.union(won)
+        open_ = spill(open_.join(won.select(group, left), [group, left], "left_anti").join(won.select(group, right), [group, right], "left_anti").select(group, left, right, cost), "costs")
+    return out
