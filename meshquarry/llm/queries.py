@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,19 @@ def p4_daily_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.percentiles(percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record")), ["category", "stage"])
+    return _rounded(percentiles.percentiles(percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record")), ["category", "stage"]))
 
 
 def p4_merged_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same percentiles, combined from one histogram per day."""
+    return _rounded(_merged(spark, sf_dir))
+
+
+def _rounded(p: DataFrame) -> DataFrame:
+    return p.select(*(F.round(c, 6).alias(c) if c[0] == "p" and c[1:].isdigit() else c for c in p.columns))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record"), by_day=True)
     return percentiles.percentiles(percentiles.merge(days, ["category", "stage"]), ["category", "stage"])
 
@@ -119,7 +129,39 @@ r AS (SELECT x, y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x)
 SELECT DISTINCT x AS mesh_no_a, y AS mesh_no_b FROM r WHERE x < y
 """
 
+_G = math.log((1 + percentiles.ALPHA) / (1 - percentiles.ALPHA))
+_OFF = math.ceil(745.2 / _G) + 1
+_HIST = f"""WITH r AS (SELECT DISTINCT ON (eval_id) eval_id, coalesce({_CAT}, 'unknown') AS category, coalesce(nullif({_key("stage")}, ''), 'unknown') AS stage, CAST(evaluated_at AS DATE) AS day, bvs, elapsed_sec FROM evaluation_record),
+l AS (SELECT category, stage, day, 'bvs' AS metric, bvs AS x FROM r UNION ALL SELECT category, stage, day, 'elapsed_sec', elapsed_sec FROM r),
+h AS (SELECT category, stage, day, metric, CAST(CASE WHEN x = 0 THEN 0 ELSE ceil(ln(x) / {_G!r}::DOUBLE) + {_OFF} END AS BIGINT) AS bucket, count(*) AS n FROM l WHERE x >= 0 AND isfinite(x) GROUP BY ALL)"""
+_VALUE = f"round(CASE WHEN {{0}} = 0 THEN 0 ELSE exp(({{0}} - {_OFF}) * {_G!r}::DOUBLE) * {2 / (1 + (1 + percentiles.ALPHA) / (1 - percentiles.ALPHA))!r}::DOUBLE END, 6) AS p{{1}}"
+_PCT = (
+    _HIST
+    + """, m AS (SELECT category, stage, metric, bucket, sum(n) AS n FROM h GROUP BY 1, 2, 3, 4),
+c AS (SELECT *, sum(n) OVER (PARTITION BY category, stage, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY category, stage, metric) AS total FROM m),
+q AS (SELECT category, stage, metric, max(total) AS n, """
+    + ", ".join(f"min(bucket) FILTER (WHERE upto >= greatest(1, ceil({p}::DOUBLE * total))) AS b{round(p * 100)}" for p in percentiles.PERCENTILES)
+    + " FROM c GROUP BY 1, 2, 3) SELECT category, stage, metric, n, "
+    + ", ".join(_VALUE.format(f"b{round(p * 100)}", round(p * 100)) for p in percentiles.PERCENTILES)
+    + f", {percentiles.ALPHA}::DOUBLE AS rel_error FROM q"
+)
+
 ORACLE = {
+    "p3_cutoffs": f"""
+WITH l AS (SELECT state_id, max_by(score, scored_at) AS score, max_by(source, scored_at) AS source FROM (SELECT state_id, coalesce(score, 'nan'::DOUBLE) AS score, source, scored_at FROM gate_score) GROUP BY 1),
+c AS (SELECT score, {_key("source")} AS source FROM l WHERE isfinite(score)),
+t AS (SELECT {_key("source")} AS source, CASE WHEN target_open_rate > 1 THEN target_open_rate / 100 ELSE target_open_rate END AS target FROM gate_target),
+x AS (SELECT source, score, target, count(*) OVER (PARTITION BY source ORDER BY score DESC) AS kept, count(*) OVER (PARTITION BY source) AS states FROM c JOIN t USING (source))
+SELECT source, max(score) AS cutoff, min(kept) AS kept, any_value(states) AS states, min(kept) / any_value(states) AS kept_share, any_value(target) AS target FROM x WHERE kept / states >= target GROUP BY 1""",
+    "p4_daily_histograms": _HIST + " SELECT * FROM h",
+    "p4_percentiles": _PCT,
+    "p4_merged_from_days": _PCT,
+    "p7_report": f"""
+WITH n AS (SELECT floor(count(DISTINCT eval_id) / 5) AS size FROM evaluation_record),
+u AS (SELECT DISTINCT eval_id, {_CAT} AS c FROM evaluation_record WHERE {_OK.format("status")}),
+k AS (SELECT c, count(DISTINCT eval_id) AS have FROM u GROUP BY 1),
+w AS (SELECT category, target_share, min_rows, CAST(ceil(greatest(target_share * size, min_rows) - 1e-9) AS BIGINT) AS wanted, coalesce(have, 0) AS available FROM sample_target t LEFT JOIN k ON {_CAT.replace("category", "t.category")} = k.c, n)
+SELECT category, target_share, min_rows, wanted, available, least(wanted, available) AS drawn, least(wanted, available) / sum(least(wanted, available)) OVER () AS actual_share, greatest(0, wanted - available) AS short FROM w""",
     "p1_found": f"""
 WITH r AS (SELECT record_id, coalesce({_key("stage")}, '') AS s, coalesce({_key("mesh_id")}, '') AS m, coalesce({_OK.format("status")}, false) AS ok,
   CASE WHEN finished_at > 0 AND NOT isnan(finished_at) THEN CASE WHEN finished_at < 1e11 THEN finished_at WHEN finished_at < 1e14 THEN finished_at / 1e3 ELSE finished_at / 1e6 END END AS t FROM stage_record)
