@@ -168,7 +168,7 @@ def file_fields(lines: DataFrame) -> DataFrame:
         .when(F.col("shape").startswith("ARRAY"), "array").when(F.col("shape").startswith("OBJECT"), "object").otherwise("number")
     )
     number = F.expr("try_cast(val AS DOUBLE)")
-    val = F.when(kind == "number", number.cast("string")).when(F.length("val") <= 64, F.col("val"))
+    val = F.when(kind == "number", number.cast("string")).when(kind.isNotNull() & (F.length("val") <= 64), F.col("val"))
     per_type = entries.groupBy("trace_file", "name", kind.alias("type")).agg(
         F.count("*").alias("n"), F.min("written_at").alias("first_at"), F.min(val).alias("lo"), F.max(val).alias("hi"), F.max(F.regexp_extract("shape", r"^OBJECT<(\w+)", 1)).alias("inner"),
         F.count(F.when(F.col("pos") == 0, 1)).alias("n_first"),
@@ -186,40 +186,59 @@ def file_fields(lines: DataFrame) -> DataFrame:
     return files.withColumn("seq", F.row_number().over(W.partitionBy("writer").orderBy("first_at", "trace_file"))).drop("first_at")
 
 
+def _fields(files: DataFrame) -> DataFrame:
+    """writer, seq, trace_file and one field f per row; f is null for a file without fields."""
+    return files.select("trace_file", "writer", "seq", F.explode_outer("fields").alias("f"))
+
+
 def _compare(files: DataFrame) -> DataFrame:
-    """Each file with the fields that went and came since its writer's preceding file; types of null-only fields carried on."""
-    f = files.select("trace_file", "writer", "seq", F.explode_outer("fields").alias("f"))
+    """Each file with its fields now and those of its writer's preceding file; types of null-only fields carried on."""
     known = F.last("f.type", ignorenulls=True).over(W.partitionBy("writer", "f.name").orderBy("seq"))
-    f = f.withColumn("f", F.when(F.col("f").isNotNull(), F.col("f").withField("type", known)))
+    f = _fields(files).withColumn("f", F.when(F.col("f").isNotNull(), F.col("f").withField("type", known)))
     whole = f.groupBy("writer", "seq", "trace_file").agg(F.array_sort(F.collect_list("f")).alias("now"))
     w = W.partitionBy("writer").orderBy("seq")
     return whole.withColumn("before", F.lag("now").over(w)).filter(F.col("before").isNotNull())
 
 
+def _retyped(files: DataFrame, renames: DataFrame) -> DataFrame:
+    """trace_file, field_name of fields whose type differs from that in the preceding file.
+
+    A field of nulls only keeps its type, also through a rename: then it starts with the old field's type.
+    """
+    f = _fields(files).filter(F.col("f").isNotNull()).select("trace_file", "writer", "seq", F.col("f.name").alias("field_name"), F.col("f.type").alias("type"))
+    f = f.join(renames.select("trace_file", F.col("new_name").alias("field_name"), "old_type"), ["trace_file", "field_name"], "left")
+    w = W.partitionBy("writer", "field_name").orderBy("seq")
+    f = f.withColumn("known", F.last(F.coalesce("type", "old_type"), ignorenulls=True).over(w))
+    f = f.withColumn("was", F.lag("known").over(w)).withColumn("was_seq", F.lag("seq").over(w))
+    return f.filter((F.col("was_seq") == F.col("seq") - 1) & (F.col("was") != F.col("known"))).select("trace_file", "field_name")
+
+
 def schema_changes(lines: DataFrame) -> DataFrame:
     """trace_file, field_name, change_kind and, for a rename, old_name: each change between a file and its writer's preceding file.
 
     A writer's first file has no changes; files without any complete record are
     passed over; repeated lines only weigh more. An empty table gives an empty result.
     """
-    pairs = spill(_compare(file_fields(lines)), "drift")
+    files = spill(file_fields(lines), "files")
+    pairs = spill(_compare(files), "drift")
     without = lambda a, b: F.filter(a, lambda x: ~F.array_contains(F.transform(F.col(b), lambda y: y["name"]), x["name"]))
-    pairs = pairs.withColumn("gone", without("before", "now")).withColumn("come", without("now", "before"))
-    both = pairs.filter((F.size("gone") > 0) & (F.size("come") > 0)).select("trace_file", "gone", "come")
-    renames = both.mapInPandas(_renames, "trace_file string, old_name string, new_name string")
-    ren = renames.groupBy("trace_file").agg(F.collect_list(F.struct("old_name", "new_name")).alias("ren"))
-    p = pairs.join(ren, "trace_file", "left").withColumn("ren", F.coalesce("ren", F.expr("cast(array() as array<struct<old_name:string,new_name:string>>)")))
-    news, olds = F.transform("ren", lambda r: r["new_name"]), F.transform("ren", lambda r: r["old_name"])
-    change = lambda name, kind, old=None: F.struct(name.alias("field_name"), F.lit(kind).alias("change_kind"), (old if old is not None else F.lit(None).cast("string")).alias("old_name"))
-    then = F.map_from_entries(F.transform("before", lambda x: F.struct(x["name"], x["type"])))
-    retyped = F.filter("now", lambda x: F.map_contains_key(then, x["name"]) & (x["type"] != F.element_at(then, x["name"])))
-    changes = F.concat(
-        F.transform("ren", lambda r: change(r["new_name"], "renamed", r["old_name"])),
-        F.transform(F.filter("come", lambda x: ~F.array_contains(news, x["name"])), lambda x: change(x["name"], "added")),
-        F.transform(F.filter("gone", lambda x: ~F.array_contains(olds, x["name"])), lambda x: change(x["name"], "removed")),
-        F.transform(retyped, lambda x: change(x["name"], "retyped")),
+    pairs = pairs.select("trace_file", "before", without("before", "now").alias("gone"), without("now", "before").alias("come"))
+    both = pairs.filter((F.size("gone") > 0) & (F.size("come") > 0))
+    found = both.select("trace_file", "gone", "come").mapInPandas(_renames, "trace_file string, old_name string, new_name string")
+    then = both.select("trace_file", F.map_from_entries(F.transform("before", lambda x: F.struct(x["name"], x["type"]))).alias("then"))
+    renames = spill(found.join(then, "trace_file").select("trace_file", "old_name", "new_name", F.element_at("then", F.col("old_name")).alias("old_type")), "renames")
+    ren = renames.groupBy("trace_file").agg(F.collect_list("old_name").alias("olds"), F.collect_list("new_name").alias("news"))
+    none = F.array().cast("array<string>")
+    p = pairs.join(ren, "trace_file", "left").select("trace_file", "gone", "come", F.coalesce("olds", none).alias("olds"), F.coalesce("news", none).alias("news"))
+    change = lambda x, kind: F.struct(x["name"].alias("field_name"), F.lit(kind).alias("change_kind"))
+    moved = F.concat(
+        F.transform(F.filter("come", lambda x: ~F.array_contains("news", x["name"])), lambda x: change(x, "added")),
+        F.transform(F.filter("gone", lambda x: ~F.array_contains("olds", x["name"])), lambda x: change(x, "removed")),
     )
-    return p.select("trace_file", F.explode(changes).alias("c")).select("trace_file", "c.*")
+    no_name = F.lit(None).cast("string").alias("old_name")
+    out = p.select("trace_file", F.explode(moved).alias("c")).select("trace_file", "c.*", no_name)
+    out = out.union(renames.select("trace_file", "new_name", F.lit("renamed"), "old_name"))
+    return out.union(_retyped(files, renames).select("trace_file", "field_name", F.lit("retyped"), no_name))
 
 
 def canonical_names(changes: DataFrame, rounds: int = 8) -> DataFrame:

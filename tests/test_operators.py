@@ -177,6 +177,12 @@ def test_drift_kinds(spark):
     ]
 
 
+def test_type_is_kept_through_nulls_and_renames(spark):
+    f = lambda n, v: [{"step": 1, n: v}] * 4
+    got = changes(spark, [("trace_w_a.jsonl", f("reward_backend", "x")), ("trace_w_b.jsonl", f("backend", None)), ("trace_w_c.jsonl", f("backend", None)), ("trace_w_d.jsonl", f("backend", 1)), ("trace_w_e.jsonl", f("backend", 2.5))])
+    assert got == [("trace_w_b.jsonl", "backend", "renamed"), ("trace_w_d.jsonl", "backend", "retyped")]
+
+
 def test_drift_empty(spark):
     assert changes(spark, [("trace_w1_a.jsonl", ["", "{", None])]) == []
     assert D.schema_changes(lines(spark, [("x", ["{}"])]).limit(0)).count() == 0
