@@ -11,6 +11,7 @@ from meshquarry.functions import vectors as V
 from meshquarry.operators import bad_rows
 from meshquarry.operators import spatial as S
 from meshquarry.plans import frames as D
+from meshquarry.plans.text_rows import LINE
 from meshquarry.session import table
 
 S_ = SparkSession
@@ -109,7 +110,7 @@ def obj_vertex_stats(spark: S_, d: str) -> DataFrame:
     j = s.join(far, "obj_file")
     near = lambda c, x: F.abs(F.col(c) - x) <= 0.05
     form = F.when(near("diagonal", 1.0), "unit_diagonal").when(near("extent", 1.0), "unit_extent").when(near("extent", 2.0), "cube").when(near("radius", 1.0), "unit_sphere").otherwise("none")
-    return j.select("obj_file", "n", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "extent", "diagonal", "radius")), form.alias("normalised"))
+    return j.select("obj_file", "n", *(F.round(c, 8).alias(c) for c in ("cx", "cy", "cz", "extent", "diagonal", "radius")), form.alias("normalised"))
 
 
 def obj_triangles(spark: S_, d: str) -> DataFrame:
@@ -186,7 +187,27 @@ g AS (SELECT v.*, k, CASE WHEN k = 12 THEN 6 ELSE k // 2 END AS coord_idx, CASE
 e AS (SELECT *, min_x + CASE coord_idx WHEN 0 THEN delta ELSE 0 END AS a0, min_y + CASE coord_idx WHEN 1 THEN delta ELSE 0 END AS a1, min_z + CASE coord_idx WHEN 2 THEN delta ELSE 0 END AS a2,
   max_x + CASE coord_idx WHEN 3 THEN delta ELSE 0 END AS b0, max_y + CASE coord_idx WHEN 4 THEN delta ELSE 0 END AS b1, max_z + CASE coord_idx WHEN 5 THEN delta ELSE 0 END AS b2 FROM g)"""
 
+_XYZ = ", ".join(f"CAST(bare[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz", 1))
+_OBJ = LINE + f""", v AS (SELECT obj_file, i, {_XYZ} FROM (SELECT *, row_number() OVER (PARTITION BY obj_file ORDER BY line_no) - 1 AS i FROM r WHERE tag = 'v') WHERE reason IS NULL),
+g AS (SELECT obj_file, line_no, list_transform(ix, lambda x: CASE WHEN x > 0 THEN x - 1 ELSE n_v + x END) AS ix FROM r WHERE tag = 'f' AND reason IS NULL),
+f AS (SELECT obj_file, line_no, k, ix[1] AS i0, ix[k + 1] AS i1, ix[k + 2] AS i2 FROM g, range(1, 60) AS q(k) WHERE k <= len(ix) - 2),
+tri AS (SELECT f.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM f JOIN v a ON f.obj_file = a.obj_file AND i0 = a.i JOIN v b ON f.obj_file = b.obj_file AND i1 = b.i JOIN v c ON f.obj_file = c.obj_file AND i2 = c.i)"""
+_E = {c: (f"(b{c} - a{c})" if c != "y" else '("by" - ay)', f"(c{c} - a{c})") for c in "xyz"}
+_CROSS = [f"({_E[p][0]} * {_E[q][1]} - {_E[q][0]} * {_E[p][1]})" for p, q in ("yz", "zx", "xy")]
+
 ORACLE = {
+    "obj_vertex_stats": _OBJ
+    + f""", st AS (SELECT obj_file, count(*) AS n, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) AS diagonal FROM v GROUP BY 1),
+m AS (SELECT obj_file, sqrt(max((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) AS radius FROM v JOIN st USING (obj_file) GROUP BY 1)
+SELECT obj_file, n, {", ".join(f"round({c}, 8) AS {c}" for c in ("cx", "cy", "cz", "extent", "diagonal", "radius"))}, CASE WHEN abs(diagonal - 1) <= 0.05 THEN 'unit_diagonal' WHEN abs(extent - 1) <= 0.05 THEN 'unit_extent' WHEN abs(extent - 2) <= 0.05 THEN 'cube' WHEN abs(radius - 1) <= 0.05 THEN 'unit_sphere' ELSE 'none' END AS normalised FROM st JOIN m USING (obj_file)""",
+    "obj_mesh_volume": _OBJ
+    + f""" SELECT obj_file, round(abs(sum((ax * ("by" * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - "by" * cx)) / 6)), 6) AS volume, round(sum(sqrt({" + ".join(c + " ** 2" for c in _CROSS)}) / 2), 6) AS area, count(*) AS faces FROM tri GROUP BY 1""",
+    "obj_point_inside": _OBJ
+    + f""", cm AS (SELECT obj_file, avg(x) AS px, avg(y) AS py, avg(z) AS pz FROM v GROUP BY 1),
+h AS (SELECT tri.*, px - ax AS sx, py - ay AS sy, pz - az AS sz, 0.372137 * {_E["z"][1]} - 0.157913 * {_E["y"][1]} AS hx, 0.157913 * {_E["x"][1]} - 1.0 * {_E["z"][1]} AS hy, 1.0 * {_E["y"][1]} - 0.372137 * {_E["x"][1]} AS hz FROM tri JOIN cm USING (obj_file)),
+d AS (SELECT *, {" + ".join(f"{_E[c][0]} * h{c}" for c in "xyz")} AS det, {" + ".join(f"s{c} * h{c}" for c in "xyz")} AS u, {", ".join(f"s{p} * {_E[q][0]} - s{q} * {_E[p][0]} AS q{c}" for c, (p, q) in zip("xyz", ("yz", "zx", "xy")))} FROM h),
+hits AS (SELECT obj_file, CASE WHEN abs(det) > 1e-10 AND u / det >= 0 AND (qx + 0.372137 * qy + 0.157913 * qz) / det >= 0 AND (u + qx + 0.372137 * qy + 0.157913 * qz) / det <= 1 AND ({" + ".join(f"{_E[c][1]} * q{c}" for c in "xyz")}) / det > 1e-10 THEN 1 ELSE 0 END AS hit FROM d)
+SELECT obj_file, sum(hit) AS crossings, sum(hit) % 2 = 1 AS inside FROM hits GROUP BY 1""",
     "box_fit_score": f"""WITH {D.BOXES}, s AS (SELECT mesh, {_UNION.replace("min_", "").replace("max_", "")} AS shape, count(*) AS n_points FROM p GROUP BY 1),
 v AS (SELECT mesh, sum({D.VOLUME}) AS total, count(*) AS boxes, count(*) FILTER (WHERE min_x < max_x AND min_y < max_y AND min_z < max_z) AS valid, {_UNION} AS u FROM b GROUP BY 1),
 i AS (SELECT mesh, weight, EXISTS (SELECT 1 FROM b WHERE b.mesh = p.mesh AND {CONTAINS.format("b.").replace("x BET", "p.x BET").replace("y BET", "p.y BET").replace("z BET", "p.z BET")}) AS hit FROM p),

@@ -9,6 +9,7 @@ from meshquarry.functions import boxes as B
 from meshquarry.operators import loops as L
 from meshquarry.operators import spatial as S
 from meshquarry.plans import frames as D
+from meshquarry.plans.geometry import _CUT, _VOL
 from meshquarry.session import table
 
 S_ = SparkSession
@@ -77,6 +78,10 @@ ORACLE = {
 e AS (SELECT DISTINCT a.mesh, a.tet_id AS src, b.tet_id AS dst FROM k a JOIN k b ON a.mesh = b.mesh AND a.key = b.key AND a.tet_id <> b.tet_id),
 r AS (SELECT mesh, src, dst FROM e UNION SELECT r.mesh, r.src, e.dst FROM r JOIN e ON r.mesh = e.mesh AND r.dst = e.src)
 SELECT mesh, component, count(*) AS tets FROM (SELECT mesh, src, min(dst) AS component FROM r GROUP BY 1, 2) GROUP BY 1, 2""",
+    "box_suppression": f"""WITH {D.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY weight DESC, bbox_idx) AS k FROM b),
+ov AS (SELECT a.mesh, a.k AS ka, b.k AS kb, {_CUT("a", "b")} AS i, {_VOL("a")} + {_VOL("b")} AS s FROM r a JOIN r b ON a.mesh = b.mesh AND a.k < b.k), o AS (SELECT mesh, ka, kb FROM ov WHERE s - i > 1e-12 AND i / (s - i) > 0.4),
+two AS (SELECT mesh FROM o WHERE ka = 1 AND kb = 2)
+SELECT mesh, bbox_idx, weight FROM r WHERE k = 1 OR (k = 2 AND mesh NOT IN (SELECT mesh FROM two)) OR (k = 3 AND mesh NOT IN (SELECT mesh FROM o WHERE ka = 1 AND kb = 3) AND (mesh IN (SELECT mesh FROM two) OR mesh NOT IN (SELECT mesh FROM o WHERE ka = 2 AND kb = 3)))""",
     "farthest_items": f"""WITH p AS (SELECT l_partkey AS mesh, l_orderkey AS pid, max(l_quantity) AS x, max(l_extendedprice) / 1000 AS y, max(l_discount) * 100 AS z FROM lineitem GROUP BY 1, 2),
 c0 AS (SELECT mesh, min(pid) AS pid FROM p GROUP BY 1), s0 AS (SELECT p.* FROM p JOIN c0 USING (mesh, pid)),
 d1 AS (SELECT a.*, {_FAR} AS d FROM p a JOIN s0 b ON a.mesh = b.mesh), s1 AS (SELECT * FROM d1 WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY d DESC, pid) = 1),

@@ -33,8 +33,8 @@ def p6_valid_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_trace_table, p6_found, p6_valid_vertices, p6_valid_faces)}
 
-_LINE = r"""
-WITH l AS (SELECT line_id, obj_file, trim(raw_line, e' \t\r\n') AS s FROM obj_line),
+LINE = r"""
+WITH l AS (SELECT line_id, obj_file, line_no, trim(raw_line, e' \t\r\n') AS s FROM obj_line),
 w AS (SELECT *, string_split_regex(s, '[ \t]+') AS ws FROM l),
 t AS (SELECT *, ws[1] AS tag, ws[2:] AS args FROM w),
 n AS (SELECT obj_file, count(*) FILTER (WHERE tag = 'v') AS n_v FROM t GROUP BY 1),
@@ -51,10 +51,10 @@ r AS (SELECT *, CASE WHEN s = '' OR s[1] = '#' THEN NULL
 """
 
 ORACLE = {
-    "p6_found": _LINE + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
-    "p6_valid_vertices": _LINE
+    "p6_found": LINE + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p6_valid_vertices": LINE
     + "SELECT obj_file, count(*) AS n_vertices, "
     + ", ".join(f"round({n}(CAST(bare[{i}] AS DOUBLE)), 6) AS {n}_{c}" for i, c in enumerate("xyz", 1) for n in ("min", "max"))
     + " FROM r WHERE reason IS NULL AND tag = 'v' GROUP BY 1",
-    "p6_valid_faces": _LINE + "SELECT obj_file, count(*) AS n_faces, sum(len(args) - 2) AS n_triangles FROM r WHERE reason IS NULL AND tag = 'f' GROUP BY 1",
+    "p6_valid_faces": LINE + "SELECT obj_file, count(*) AS n_faces, sum(len(args) - 2) AS n_triangles FROM r WHERE reason IS NULL AND tag = 'f' GROUP BY 1",
 }
