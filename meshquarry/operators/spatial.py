@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
 from meshquarry.functions import vectors as V
+from meshquarry.session import salted_join
 
 
 def fit_boxes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,7 +35,7 @@ def covered(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     """
     sets = boxes.groupBy(key).agg(F.collect_list(F.struct(*B.BOUNDS)).alias("_boxes"))
     p = [F.col(a) for a in B.AXES]
-    j = points.join(sets, key, "left")
+    j = salted_join(points, sets, key, F.xxhash64(*B.AXES))
     inside = F.filter("_boxes", lambda s: B.contains([s[c] for c in B.BOUNDS], p))
     return j.withColumn("n_boxes", F.when(F.col("_boxes").isNull(), 0).otherwise(F.size(inside))).drop("_boxes")
 
@@ -116,7 +117,10 @@ def proxy_rewards(points: DataFrame, boxes: DataFrame, key: str, s: int, unit: f
     e = edit_grid(idx, s, unit).filter(F.col("coord_idx") < 6)
     p = [F.col(a) for a in B.AXES]
     side = [p[i] >= F.col(c) for i, c in enumerate(B.LOWS)] + [p[i] <= F.col(c) for i, c in enumerate(B.HIGHS)]
-    j = covered(points.select(key, *B.AXES, "weight"), boxes.select(key, *B.BOUNDS), key).join(idx.select(key, "bbox_idx", *B.BOUNDS), key)
+    sets = boxes.groupBy(key).agg(F.collect_list(F.struct("bbox_idx", *B.BOUNDS)).alias("_boxes"))
+    j = salted_join(points.select(key, *B.AXES, "weight"), sets, key, F.xxhash64(*B.AXES), how="inner")
+    j = j.withColumn("n_boxes", F.size(F.filter("_boxes", lambda x: B.contains([x[c] for c in B.BOUNDS], p))))
+    j = j.select(key, *B.AXES, "weight", "n_boxes", F.explode("_boxes").alias("_x")).select(key, *B.AXES, "weight", "n_boxes", "_x.*")
     j = j.withColumn("_other", F.col("n_boxes") > B.contains(B.box(), p).cast("int"))
     # one sum per edit, all in one pass over the (point, box) rows
     sums = []
@@ -177,19 +181,30 @@ def mesh_volumes(triangles: DataFrame, mesh: str) -> DataFrame:
     return triangles.groupBy(mesh).agg(F.abs(F.sum(V.signed_volume(a, b, c))).alias("volume"), F.sum(V.norm(V.cross(V.sub(b, a), V.sub(c, a))) / 2).alias("area"), F.count("*").alias("faces"))
 
 
+def nearest_distance(points: DataFrame, targets: DataFrame, key: str, block: int = 512) -> DataFrame:
+    """key, d2: for each point the squared distance to the nearest target of its set; points of sets without targets are left out.
+
+    The targets of a set are cut into blocks of about ``block`` by hash, and a point meets blocks, not targets: no pairs
+    are emitted, no array grows with its set, and points of a hot set are spread.
+    """
+    n = targets.groupBy(key).agg(F.count("*").alias("_n"))
+    t = salted_join(targets.select(key, *B.AXES), n, key, F.xxhash64(*B.AXES), how="inner")
+    t = t.withColumn("_blk", F.pmod(F.xxhash64(*B.AXES), F.ceil(F.col("_n") / block))).groupBy(key, "_blk").agg(F.collect_set(F.struct(*B.AXES)).alias("_t"))
+    p = points.select(key, *B.AXES).groupBy(key, *B.AXES).agg(F.count("*").alias("_same"))
+    d2 = F.array_min(F.transform("_t", lambda y: V.distance2([F.col(a) for a in B.AXES], [y[a] for a in B.AXES])))
+    near = salted_join(p, t.drop("_blk"), key, F.xxhash64(*B.AXES), how="inner").groupBy(key, *B.AXES).agg(F.min(d2).alias("d2"), F.max("_same").alias("n"))
+    return near.select(key, "d2", "n")
+
+
 def chamfer(points: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
     """Symmetric chamfer distance within each set: mean squared distance to the nearest point of the other side, both ways summed.
 
-    ``left`` and ``right`` tell the sides; sets without one of them are left out. The sides meet by an equi-join on the set.
+    ``left`` and ``right`` tell the sides; sets without one of them are left out.
     """
-    p = points.select(key, *B.AXES, left.alias("_l"), right.alias("_r")).withColumn("_id", F.monotonically_increasing_id())
-    a = p.filter("_l").select(key, F.col("_id").alias("_ia"), *(F.col(c).alias(f"a{c}") for c in B.AXES))
-    b = p.filter("_r").select(key, F.col("_id").alias("_ib"), *(F.col(c).alias(f"b{c}") for c in B.AXES))
-    ga, gb = (d.groupBy(key).agg(F.collect_list(F.struct(*(F.col(f"{n}{c}").alias(c) for c in B.AXES))).alias(n)) for d, n in ((a, "a"), (b, "b")))
-    j = ga.join(gb, key)
-    d2 = lambda x, y: V.distance2([x[c] for c in B.AXES], [y[c] for c in B.AXES])
-    mean = lambda s, t: F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.array_min(F.transform(t, lambda y: d2(x, y)))) / F.size(s)
-    return j.select(key, (mean(F.col("a"), F.col("b")) + mean(F.col("b"), F.col("a"))).alias("chamfer"))
+    a, b = points.filter(left).select(key, *B.AXES), points.filter(right).select(key, *B.AXES)
+    mean = lambda d, n: d.groupBy(key).agg((F.sum(F.col("d2") * F.col("n")) / F.sum("n")).alias(n))
+    j = mean(nearest_distance(a, b, key), "_l").join(mean(nearest_distance(b, a, key), "_r"), key)
+    return j.select(key, (F.col("_l") + F.col("_r")).alias("chamfer"))
 
 
 def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:

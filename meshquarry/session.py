@@ -66,7 +66,7 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 16, how: str = "left") -> DataFrame:
     """Equi-join that spreads each key of ``big`` over ``salts`` tasks.
 
-    ``small`` has one row per key and is repeated once per salt, so a key that
+    ``small`` has few rows per key and is repeated once per salt, so a key that
     holds a third of ``big`` is shared by ``salts`` tasks. A null key matches nothing.
     """
     if plan_bytes(small) <= BROADCAST_BYTES:
