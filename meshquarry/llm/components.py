@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions.text import author_key, name_key, squeeze
-from meshquarry.session import maybe_broadcast, spill
+from meshquarry.session import maybe_broadcast, salted_join, spill
 
 #: A group of more than this share of all rows is hot; there are at most 1 / HOT of them.
 HOT = 1 / 1000
@@ -44,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
     top = levels[-1]
     for lower in reversed(levels[:-1]):
         up = top.select(F.col("v").alias("l"), F.col("l").alias("up"))
-        top = lower.join(up, "l", "left").select("v", F.coalesce("up", "l").alias("l"))
+        top = salted_join(lower, up, "l", F.col("v")).select("v", F.coalesce("up", "l").alias("l"))
         top = spill(top, "label")
     return top.select("v", F.col("l").alias("component"))
 
@@ -124,7 +124,7 @@ def mesh_components(meshes: DataFrame, gate_rows: DataFrame, evaluations: DataFr
     """mesh_no, component (the least mesh_no of those tied) of every mesh; one that is tied to none is its own component."""
     c = spill(components(mesh_edges(meshes, gate_rows, evaluations)).filter(F.col("v") >= 0), "comp")
     least = c.groupBy("component").agg(F.min("v").alias("least"))
-    c = c.join(least, "component").select(F.col("v").alias("mesh_no"), F.col("least").alias("component"))
+    c = salted_join(c, least, "component", F.col("v"), how="inner").select(F.col("v").alias("mesh_no"), F.col("least").alias("component"))
     return meshes.filter(F.col("mesh_no").isNotNull()).select("mesh_no").join(c, "mesh_no", "left").withColumn("component", F.coalesce("component", "mesh_no"))
 
 
@@ -166,9 +166,9 @@ def record_splits(meshes: DataFrame, gate_rows: DataFrame, evaluations: DataFram
     ev = evaluations.select(F.lit("evaluation").alias("kind"), F.col("eval_id").cast("long").alias("record_id"), name_key(F.col("mesh_id")).alias("key")).distinct()
     # the first name outside or inside the table stands for a gate row: all inside are of one component
     ga = gate_rows.select(F.lit("gate").alias("kind"), F.col("gate_id").cast("long").alias("record_id"), F.explode_outer(_names(F.col("mesh_id"))).alias("key"))
-    recs = ev.union(ga).join(maybe_broadcast(keys), "key", "left")
+    recs = salted_join(ev.union(ga), keys, "key", F.col("record_id"))
     own = F.coalesce(F.concat(F.lit("c"), F.col("component").cast("string")), F.concat(F.lit("k"), F.nullif(F.col("key"), F.lit(""))), F.concat("kind", F.col("record_id").cast("string")))
     recs = spill(recs.groupBy("kind", "record_id").agg(F.min(own).alias("group")), "recs")
     t = [(r.split_name, float(r.target_share)) for r in targets.filter(F.col("split_name").isNotNull() & (F.col("target_share") > 0)).orderBy(F.desc("target_share"), "split_name").collect()]
     s = assign_splits(recs.groupBy(F.col("group").alias("component")).agg(F.count("*").alias("n")), t)
-    return recs.join(maybe_broadcast(s.select(F.col("component").alias("group"), "split")), "group").select("kind", "record_id", "group", "split")
+    return salted_join(recs, s.select(F.col("component").alias("group"), "split"), "group", F.col("record_id"), how="inner").select("kind", "record_id", "group", "split")
