@@ -111,8 +111,9 @@ def retry_plan(spark: S_, d: str) -> DataFrame:
 
 def untried_actions(spark: S_, d: str) -> DataFrame:
     """Actions each user hasn't tried, nor their opposites, of the 13 of a one-box state."""
-    e = table(spark, d, "events").select("user_id", F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(13)).cast("long").alias("a")).filter(F.col("a").isNotNull() & (F.get_json_object("props", "$.k").cast("int") % 5 == 0)).distinct()
-    masked = e.groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array(F.col("a"), B.opposite(F.col("a"), 2).cast("bigint"))))).alias("m"))
+    e = table(spark, d, "events").select("user_id", F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(13)).cast("long").alias("a")).distinct()
+    pair = F.when(F.col("a").isNotNull(), F.array(F.col("a"), B.opposite(F.col("a"), 2).cast("bigint")))
+    masked = e.groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list(pair))).alias("m"))
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.lit(12)).cast("array<bigint>"), "m"))
     return masked.select("user_id", F.size("m").alias("masked"), F.array_join(left.cast("array<string>"), ",").alias("untried"))
 

@@ -11,6 +11,7 @@ from meshquarry.functions import boxes as B
 from meshquarry.operators import selection as S
 from meshquarry.operators import training as T
 from meshquarry.operators import volumes as V
+from meshquarry.plans import extras as X
 
 BOX = "k long, " + ", ".join(f"{c} double" for c in B.BOUNDS)
 TET = [0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 1]
@@ -88,3 +89,10 @@ def test_small_kernels(spark):
     major, minor = B.axis_rank(b)
     r = spark.range(1).select(major.alias("a"), minor.alias("i"), B.role(F.lit(0), F.lit(-1.0)).alias("e"), B.role(F.lit(4), F.lit(-1.0)).alias("s"), B.role(F.lit(6), F.lit(0.0)).alias("c"), B.named_bucket(F.lit(2.0), [1.0, 2.0], ["x", "y", "z"]).alias("n"), B.td_target(F.lit(1.0), F.lit(False), F.lit(2.0), 0.5).alias("t"), B.blended(F.array(F.lit(1.0)), F.array(F.lit(3.0)), 0.25).alias("m"), B.soft_inside(b, [F.lit(0.5), F.lit(1.0), F.lit(1.5)], 50.0).alias("o")).first()
     assert (r.a, r.i, r.e, r.s, r.c, r.n, r.t, r.m) == (2, 0, "expand", "shrink", "recenter", "z", 2.0, [2.5]) and r.o == pytest.approx(1)
+
+
+def test_untried_actions_of_all_events(spark, tmp_path):
+    rows = [(1, '{"k": 0}'), (1, '{"k": 16}'), (1, '{"k": 12}'), (2, '{"k": 7}'), (3, None)]
+    spark.createDataFrame(rows, "user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: (r.masked, r.untried) for r in X.untried_actions(spark, str(tmp_path)).collect()}
+    assert got == {1: (5, "4,5,6,7,8,9,10,11"), 2: (2, "0,1,2,3,4,5,8,9,10,11,12"), 3: (0, ",".join(map(str, range(13))))}
