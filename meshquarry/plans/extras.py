@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
-from meshquarry.functions.text import name_key
+from meshquarry.functions.text import is_success, name_key
 from meshquarry.operators import manifest as M
 from meshquarry.operators import selection as S
 from meshquarry.operators import spatial as P
@@ -87,10 +87,10 @@ def box_assignment(spark: S_, d: str) -> DataFrame:
 
 
 def readiness(spark: S_, d: str) -> DataFrame:
-    """Meshes by the stages they still lack of a required set."""
+    """All meshes by the stages of a required set in which they have no success, however worded."""
     need = ["normalize", "tetra", "merge", "refine"]
-    r = table(spark, d, "stage_record").filter(F.lower(F.trim("status")) == "success").select(name_key(F.col("mesh_id")).alias("mesh"), name_key(F.col("stage")).alias("stage"))
-    have = r.groupBy("mesh").agg(F.collect_set(F.when(F.col("stage").isin(need), F.col("stage"))).alias("have"))
+    r = table(spark, d, "stage_record").select(name_key(F.col("mesh_id")).alias("mesh"), name_key(F.col("stage")).alias("stage"), is_success(F.col("status")).alias("ok"))
+    have = r.groupBy("mesh").agg(F.collect_set(F.when(F.col("ok") & F.col("stage").isin(need), F.col("stage"))).alias("have"))
     lack = F.array_join(F.array_except(F.array(*(F.lit(n) for n in need)), "have"), ",")
     return have.groupBy(lack.alias("lacking")).agg(F.count("*").alias("meshes"), F.bool_and(lack == "").alias("ready"))
 

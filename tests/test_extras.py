@@ -96,3 +96,11 @@ def test_untried_actions_of_all_events(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.user_id: (r.masked, r.untried) for r in X.untried_actions(spark, str(tmp_path)).collect()}
     assert got == {1: (5, "4,5,6,7,8,9,10,11"), 2: (2, "0,1,2,3,4,5,8,9,10,11,12"), 3: (0, ",".join(map(str, range(13))))}
+
+
+def test_readiness_of_all_meshes(spark, tmp_path):
+    stages = ["normalize", "tetra", "merge", "refine"]
+    rows = [("a", s, st) for s, st in zip(stages, ["success", " OK", "Succeeded", "success"])] + [("x/A.obj", "merge", "failed"), ("b", "merge", "failed"), ("b", "refine", None), ("c", "tetra", "ok"), ("d", "mcts", "success")]
+    spark.createDataFrame(rows, "mesh_id string, stage string, status string").write.parquet(str(tmp_path / "stage_record.parquet"))
+    got = {r.lacking: (r.meshes, r.ready) for r in X.readiness(spark, str(tmp_path)).collect()}
+    assert got == {"": (1, True), "normalize,merge,refine": (1, False), "normalize,tetra,merge,refine": (2, False)}
