@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions import search as X
+from meshquarry.operators.manifest import top_per_group
 from meshquarry.operators.ranking import row_numbers
 from meshquarry.session import maybe_broadcast
 
@@ -135,12 +136,14 @@ def interleave(df: DataFrame, category: str, name: str, size: int) -> DataFrame:
 
 
 def reward_pairs(df: DataFrame, group: str, key: str, target: str, max_pairs: int) -> DataFrame:
-    """hi, lo, gap: within each group the best positive row against every row that isn't, the widest gaps first.
+    """hi, lo, gap: every positive row of a group against every row that isn't, the ``max_pairs`` widest gaps of all groups.
 
-    Only a group's best positive is paired, so pairs grow with the rows and not with their square; the ``max_pairs`` widest
-    are a top-k.
+    Ties go to the lower ids. A pair of a group's i-th largest positive and j-th smallest other row comes after at least
+    i * j - 1 pairs of the group, so only ranks with i * j <= max_pairs meet; a hot group gives ``max_pairs`` rows a side.
     """
-    best = df.filter(F.col(target) > 0).groupBy(group).agg(F.max(F.struct(F.col(target).alias("t"), (-F.col(key)).alias("k"))).alias("b"))
-    j = df.filter(F.col(target) <= 0).join(maybe_broadcast(best), group)
-    gap = F.col("b.t") - F.col(target)
-    return j.filter(gap > 1e-12).select(group, (-F.col("b.k")).alias("hi"), F.col(key).alias("lo"), gap.alias("gap")).orderBy(F.desc("gap"), "hi", "lo").limit(max_pairs)
+    side = lambda c, order, name, rank: top_per_group(df.filter(c).select(group, F.col(key).alias(name), F.col(target).alias(f"_{name}")), [group], [order, F.col(name)], max_pairs).withColumnRenamed("rank", rank)
+    hi = side(F.col(target) > 0, F.desc("_hi"), "hi", "_i")
+    lo = side(F.col(target) <= 0, F.asc("_lo"), "lo", "_j")
+    gap = F.col("_hi") - F.col("_lo")
+    j = hi.join(lo, group).filter(F.col("_i") * F.col("_j") <= max_pairs)
+    return j.filter(gap > 1e-12).select(group, "hi", "lo", gap.alias("gap")).orderBy(F.desc("gap"), "hi", "lo").limit(max_pairs)

@@ -88,7 +88,7 @@ def balanced_chunks(spark: S_, d: str) -> DataFrame:
 
 
 def contrast_pairs(spark: S_, d: str) -> DataFrame:
-    """Each user's best action against its unrewarded ones, widest first, 1000 at most."""
+    """Each user's rewarded actions against its unrewarded ones, widest first, 1000 at most."""
     return T.reward_pairs(_trace(spark, d), "user_id", "event_id", "reward", 1000).select("user_id", "hi", "lo", F.round("gap", 2).alias("gap"))
 
 

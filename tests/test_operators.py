@@ -208,3 +208,14 @@ def test_consistent_table(spark):
     b = [{"step": 2, "scales": 4, "reward": 1}] * 5 + ['{"step": 3, "scales": 6, "reward": NaN}']
     t = D.consistent_table(lines(spark, [("trace_w1_a.jsonl", a), ("trace_w1_b.jsonl", b)])).orderBy("line_id").collect()
     assert [r.num_action_scale for r in t] == [2] * 5 + [4] * 5 + [6] and t[0].rest == '{"extra":"1"}' and math.isnan(t[10].reward)
+
+
+def test_reward_pairs_of_all_positives(spark):
+    rnd = random.Random(4)
+    rows = [("hot" if i % 3 else f"g{i % 5}", i, float(rnd.randint(-6, 6))) for i in range(120)]
+    all_ = [(g, a, b, x - y) for g, a, x in rows if x > 0 for h, b, y in rows if g == h and y <= 0]
+    d = spark.createDataFrame(rows, "g string, id long, t double")
+    for k in (1, 7, 200, 100_000):
+        want = sorted(all_, key=lambda r: (-r[3], r[1], r[2]))[:k]
+        got = [(r.g, r.hi, r.lo, r.gap) for r in T.reward_pairs(d, "g", "id", "t", k).collect()]
+        assert sorted(got) == sorted(want)
