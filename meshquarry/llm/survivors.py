@@ -66,11 +66,12 @@ def stage_survivors(records: DataFrame) -> DataFrame:
     """One record per (stage, mesh) of ``records``, however written, with the best value of each field.
 
     ``survivor`` is the record_id of the record that stands for the group. Records without stage or mesh form groups of
-    their own kind (null keys compare equal). Columns beyond those of stage records play no part.
+    their own kind (null keys compare equal). Columns beyond those of stage records play no part. A success votes for
+    no error, so that its group doesn't keep the error of a failed run.
     """
     r = records.select(
         F.coalesce(name_key(F.col("stage")), F.lit("")).alias("stage_key"), F.coalesce(name_key(F.col("mesh_id")), F.lit("")).alias("mesh_key"),
-        "record_id", "category", "status", "started_at", "finished_at", "output_path", "log_path", "error", "metadata",
+        "record_id", "stage", "mesh_id", "category", "status", "started_at", "finished_at", "output_path", "log_path", "command", "error", "metadata",
     )
     ok = is_success(F.col("status"))
     at = epoch_seconds(F.col("finished_at"))
@@ -83,9 +84,15 @@ def stage_survivors(records: DataFrame) -> DataFrame:
         Field("output_path", F.col("output_path")),
         Field("log_path", F.col("log_path")),
         Field("metadata", F.col("metadata")),
+        Field("stage", F.col("stage")),
+        Field("mesh_id", F.col("mesh_id")),
+        Field("started_at", epoch_seconds(F.col("started_at")), half_life_days=None),
+        Field("error", F.when(ok, F.coalesce("error", F.lit(""))).otherwise(F.col("error")), half_life_days=None),
+        Field("command", F.to_json("command")),
     ]
     out = vote(r, ["stage_key", "mesh_key"], fields, trust, at, F.col("record_id"))
-    return out.withColumn("survivor", F.col("survivor").cast("long")).withColumn("finished_at", F.col("finished_at").cast("double"))
+    back = {"survivor": F.col("survivor").cast("long"), "finished_at": F.col("finished_at").cast("double"), "started_at": F.col("started_at").cast("double"), "error": F.nullif("error", F.lit("")), "command": F.from_json("command", "array<string>")}
+    return out.withColumns(back)
 
 
 def superseded(records: DataFrame) -> DataFrame:

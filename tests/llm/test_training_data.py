@@ -51,6 +51,21 @@ def test_survivors_hot_group_and_empty(spark):
     assert SU.superseded(stage(spark, rows).limit(0)).count() == 0
 
 
+def test_survivors_keep_all_fields(spark):
+    rows = [
+        (1, "Merge", "c", "x/A.obj", "failed", 1e9, 1.6e9, None, None, ["m", "1"], "boom", None, 1, 1.0),
+        (2, "merge", "c", "a", "ok", 1.5e12, 1.6e9, None, None, ["m", None, "2"], None, None, 1, 1.0),
+        (3, "merge", "c", "A", "ok", None, 1.61e9, None, None, None, None, None, 1, 1.0),
+        (4, "merge", "c", "b", "failed", 1e9, 1.6e9, None, None, [], "first", None, 1, 1.0), (5, "merge", "c", "b", "failed", 0.0, 1.7e9, None, None, None, None, None, 1, 1.0),
+        (6, None, "c", None, None, None, None, None, None, None, None, None, 1, 1.0),
+    ]
+    out = SU.stage_survivors(spark.createDataFrame(rows, STAGE))
+    assert dict(out.dtypes)["command"] == "array<string>" and {c for c in STAGE.split() if c in ("stage", "mesh_id", "started_at", "command", "error", "metadata")} <= set(out.columns)
+    got = {r.mesh_key: (r.survivor, r.stage, r.mesh_id, r.started_at, r.error, r.command) for r in out.collect()}
+    assert got["a"] == (3, "merge", "A", 1.5e9, None, ["m", None, "2"])
+    assert got["b"] == (5, "merge", "b", 1e9, "first", []) and got[""] == (6, None, None, None, None, None)
+
+
 def test_votes_sum(spark):
     d = spark.createDataFrame([("k", "x", 1.0, 100.0, 1), ("k", "y", 0.6, 100.0, 2), ("k", "Y", 0.6, 90.0, 3), ("k", None, 9.0, 100.0, 4)], "k string, v string, t double, at double, i long")
     r = SU.vote(d, ["k"], [SU.Field("v", F.col("v"), F.lower("v"))], F.col("t"), F.col("at"), F.col("i")).first()
