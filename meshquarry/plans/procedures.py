@@ -50,10 +50,10 @@ def segment_merge(spark: S_, d: str) -> DataFrame:
 
 
 def box_refinement(spark: S_, d: str) -> DataFrame:
-    """Three rounds of the best edit per mesh."""
+    """The best edit per mesh, again and again until none gains."""
     b = D.indexed_boxes(spark, d)
     shape = b.groupBy("mesh").agg((F.sum(B.volume(B.box())) * 0.9).alias("shape")).filter(F.col("shape") > 0)
-    r = L.greedy_refine(D.points(spark, d), b.join(shape, "mesh"), "mesh", F.col("shape"), 2, 1.0, 3)
+    r = L.greedy_refine(D.points(spark, d), b.join(shape, "mesh"), "mesh", F.col("shape"), 2, 1.0)
     return r.select("mesh", "bbox_idx", *(F.round(c, 6).alias(c) for c in B.BOUNDS), F.round("score", 5).alias("score"), "steps")
 
 

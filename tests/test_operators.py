@@ -15,6 +15,7 @@ from meshquarry.operators import manifest as M
 from meshquarry.operators import selection as S
 from meshquarry.operators import traces as T
 from meshquarry.operators.ranking import row_numbers
+from meshquarry.plans import procedures as P
 
 BOX = "mesh long, bbox_idx int, w double, " + ", ".join(f"{c} double" for c in B.BOUNDS)
 
@@ -219,3 +220,11 @@ def test_reward_pairs_of_all_positives(spark):
         want = sorted(all_, key=lambda r: (-r[3], r[1], r[2]))[:k]
         got = [(r.g, r.hi, r.lo, r.gap) for r in T.reward_pairs(d, "g", "id", "t", k).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_box_refinement_until_none_gains(spark, tmp_path):
+    item = lambda m, x, y, z, st: (m, "A", float(x), y * 1000.0, z / 100, st)
+    rows = [item(m, x, y, z, "F") for m in (1, 2) for x, y, z in [(10, 0, 0), (20, 2, 2), (10, 2, 0), (20, 0, 2)]] + [item(1, 20 + i, 2 * (i % 2), 2 * (i // 2 % 2), "O") for i in range(1, 7)]
+    spark.createDataFrame(rows, "l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.mesh: (r.min_x, r.max_x, r.max_y, r.max_z, r.steps) for r in P.box_refinement(spark, str(tmp_path)).collect()}
+    assert got == {1: (10.0, 26.0, 2.0, 2.0, 6), 2: (10.0, 20.0, 2.0, 2.0, 0)}
