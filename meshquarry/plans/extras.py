@@ -87,7 +87,7 @@ def box_assignment(spark: S_, d: str) -> DataFrame:
 
 
 def readiness(spark: S_, d: str) -> DataFrame:
-    """All meshes by the stages of a required set in which they have no success, however worded."""
+    """All meshes by the stages of a required set in which they have no success, however worded."""
     need = ["normalize", "tetra", "merge", "refine"]
     r = table(spark, d, "stage_record").select(name_key(F.col("mesh_id")).alias("mesh"), name_key(F.col("stage")).alias("stage"), is_success(F.col("status")).alias("ok"))
     have = r.groupBy("mesh").agg(F.collect_set(F.when(F.col("ok") & F.col("stage").isin(need), F.col("stage"))).alias("have"))

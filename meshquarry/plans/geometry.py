@@ -42,7 +42,7 @@ def box_union_volume(spark: S_, d: str) -> DataFrame:
 
 
 def box_pair_iou(spark: S_, d: str) -> DataFrame:
-    """IoU of the boxes of a mesh."""
+    """IoU of the boxes of a mesh."""
     return S.pair_overlaps(D.indexed_boxes(spark, d), "mesh", "bbox_idx").select("mesh", "idx_a", "idx_b", F.round("iou", 6).alias("iou"), F.round("shared_volume", 6).alias("shared_volume"))
 
 
@@ -159,13 +159,13 @@ def segment_chamfer(spark: S_, d: str) -> DataFrame:
 
 
 def nearest_embeddings(spark: S_, d: str) -> DataFrame:
-    """The 5 nearest of all embeddings for every embedding whose id is divisible by 20."""
+    """The 5 nearest of all embeddings for every embedding whose id is divisible by 20."""
     e = table(spark, d, "embeddings")
     return S.nearest_rows(e, e.filter(F.col("vec_id") % 20 == 0), 5).select("query_id", "vec_id", "rank", F.round("d2", 5).alias("d2"))
 
 
 def nearest_label_centre(spark: S_, d: str) -> DataFrame:
-    """Each embedding's nearest label centre."""
+    """Each embedding's nearest label centre."""
     e = table(spark, d, "embeddings")
     c = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
     centres = c.select(F.col("label").alias("seed"), F.transform("c", lambda x: x["m"]).alias("c")).agg(F.array_sort(F.collect_list(F.struct("seed", "c"))).alias("all")).first()["all"]  # one row per label

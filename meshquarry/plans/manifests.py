@@ -96,7 +96,7 @@ def newest_artefact(spark: S_, d: str) -> DataFrame:
 
 
 def data_status(spark: S_, d: str) -> DataFrame:
-    """Models and manifest rows by category key."""
+    """Models and manifest rows by category key."""
     m = table(spark, d, "mesh_model").groupBy(category_key(F.col("category")).alias("category")).agg(F.count("*").alias("models"), F.sum(F.col("vertex_count").cast("long")).alias("vertices"), F.min("mesh_id").alias("first_mesh"))
     r = _records(spark, d).groupBy(category_key(F.col("category")).alias("category")).agg(F.count("*").alias("records"))
     return m.join(r, "category", "full").select("category", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("models", "vertices", "records")), "first_mesh").filter(F.col("category").isNotNull())

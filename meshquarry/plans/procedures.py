@@ -40,7 +40,7 @@ def _segments(spark: S_, d: str) -> DataFrame:
 
 
 def segment_merge(spark: S_, d: str) -> DataFrame:
-    """Greedy merging of each part's segments, neighbours if they share a line number."""
+    """Greedy merging of each part's segments, neighbours if they share a line number."""
     p = _segments(spark, d)
     boxes = S.fit_boxes(p, ["mesh", "pid"])
     o = p.select("mesh", "l_linenumber", "pid").distinct()
@@ -63,7 +63,7 @@ def coverage_calibration(spark: S_, d: str) -> DataFrame:
 
 
 def principal_frames(spark: S_, d: str) -> DataFrame:
-    """Principal axes of each part's points."""
+    """Principal axes of each part's points."""
     f = L.principal_frames(D.points(spark, d), ["mesh"])
     return f.select("mesh", "n", *(F.round(F.col("variances")[i], 5).alias(f"var_{i}") for i in range(3)), *(F.round(F.col("frame")[i], 5).alias(f"axis_{i}") for i in range(3)))
 

@@ -97,7 +97,7 @@ def reranked_states(spark: S_, d: str) -> DataFrame:
 
 
 def cascade_states(spark: S_, d: str) -> DataFrame:
-    """Of each customer's four largest orders the exact best, with the checks saved."""
+    """Of each customer's four largest orders the exact best, with the checks saved."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     exact = F.round(F.col("o_totalprice") - 1000 * F.pmod("o_orderkey", F.lit(97)), 2)
     return S.cascade(o, ["o_custkey"], F.col("o_totalprice"), exact, "o_orderkey", 4)
