@@ -1,17 +1,23 @@
 """Keyword-stuffed and link-list pages: bagged trees on content and link features, smoothed by host.
 
-Each page gives one row of shares (links, tags, download titles, keyword lists, stuffed
-phrases, function words, repetition). Weak labels come from the sum of the shares where it
-is far from one half; bagged decision trees learn from a bounded sample of them, score every
-page, and the scores are moved a little towards the spam rate of the page's host.
+Two views of a page are kept apart. The first holds how dense its links, its separators and
+its repeated word pairs are and whether one line fills it; pages at an extreme of it get a weak label, the rest none. The
+second holds what its words and sentences are like: how often each word stands in weakly
+labelled spam rather than in clean pages (counted over all pages), how compressible, varied
+and digit-laden the text is, how long its units are. Bagged decision trees learn the weak labels from
+the second view only and score every page; the scores are then moved towards the spam rate
+of the page's host. No word of any language is named here.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,157 +32,187 @@ from meshquarry.session import salted_join, spill
 
 #: Most pages the trees are fitted on (a hash sample of the weakly labelled pages).
 FIT_ROWS = 20_000
-#: Weak labels: spam from, no spam up to this share of stuffed text.
-SPAM_FROM, CLEAN_TO = 0.6, 0.4
+#: Weak labels: spam where one of these shares is reached, clean where all of the lower ones are kept.
+SPAM_FROM = {"links": 0.5, "pair_repeats": 0.3, "separators": 0.35}
+CLEAN_TO = {"links": 0.05, "pair_repeats": 0.1, "separators": 0.12, "top_unit": 0.5}
+#: Repetition is measured within so many units and averaged, so that it doesn't grow with the length of a page.
+TOGETHER = 40
+#: Most words that get a weight: rarer ones than their total / MOST_WORDS are left to the other features.
+MOST_WORDS = 250_000
+#: A word needs at least this many labelled pages for a weight.
+LEAST_PAGES = 5
 TREES, DEPTH = 20, 5
 #: Weight of the host's log odds in a page's.
-HOST_WEIGHT = 0.1
-
-#: Words of trade that stuffed pages carry, by language (fixed values).
-TRADE = frozenset("""
-best bonus buy cheap coupon deal deals discount free new offer official online original outlet price prices review reviews sale shipping shop store top wholesale
-angebot bester beste billig günstig kaufen neu preis rabatt versand gratis
-barato comprar descuento envío gratis mejor nuevo oferta precio
-acheter cher gratuit gratuite livraison meilleur pas prix promo soldes
-""".split())
-#: Words that join keywords to phrases but make no sentence (fixed values).
-LIGHT = frozenset("""
-the of with and in for a to why because
-der die das mit und in für ist nur unsere jede jeder suchen sie
-la el las los de del con y en para es nuestra busca siempre cada tiene
-le les du des avec et dans pour est notre chaque a cherchez toujours
-looking our always every is has only
-""".split())
-
-#: Words found in nearly every spoken sentence, by language (fixed values).
-SPEECH = frozenset("""
-i you he she it we they my your his her our their this that these those some any every each another nobody everyone somebody who what why how when where did do does is was were are be been can't can could would will won't not never no yes there there's here if but or then please maybe well
-ich du er sie es wir ihr mein meine dein deine sein seine ihre unser unsere diese dieser eine ein keine kein jede hat haben wurde war ist sind nicht niemand wer warum wenn aber oder dann ja nein vielleicht man
-yo tú él ella nosotros mi tu su nuestra esta este aquella aquel una un otra otro cada nadie alguien quien quién por qué no sí era fue está pero o pronto quizás
-je tu il elle on nous vous ils ma mon ta ton sa son notre votre une un cette ce chaque quelqu'un personne qui pourquoi a ont est était n'a ne mais ou oui non puis
-""".split())
-
-_LINK = re.compile(r"https?://\S+|hxxps?://\S+|<a\s+href[^>]*>[^<]*(?:</a>)?|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|invalid|test|com|net|org|info|biz|ru|io|tv|html?)\b\S*|\b\w+ dot \w+ slash \w+(?: \d+)?|\w+\[\.\]\S+", re.I)
-_TAGS = re.compile(r"#\w")
-_SKU = re.compile(r"\bSKU\b|^\W*\w{2,3}-\d{3,5}\s*\|", re.I)
-_TITLE = re.compile(r"\b(?:torrent|720p|1080p|2160p|480p|bluray|dvdrip|webrip|x26[45]|no sign up|online free|free full hd|full hd|stream free)\b|\|.*\|.*\b(?:season|scason)\b", re.I)
+HOST_WEIGHT = 0.5
+
+_LINK = re.compile(r"://|^www\.|\[\.\]|href=|^#\w|\w\.\w[\w-]+(?:/|$)|\w@\w+\.", re.I)
+_HOST = re.compile(r"(?:://)?((?:[\w-]+(?:\.|\[\.\]))+\w{2,})")
 _SENTENCE = re.compile(r"(?<=[.?!…])\s+(?=[^\s\d])")
-#: What a line with a link or a download title always holds (fixed values).
-_LINK_HINTS = ("http", "hxxp", "href", "www.", "[.]", " dot ", ".example", ".invalid", ".test", ".com", ".net", ".org", ".info", ".biz", ".ru", ".io", ".tv", ".htm")
-_TITLE_HINTS = ("torrent", "720p", "1080p", "2160p", "480p", "bluray", "dvdrip", "webrip", "x264", "x265", "no sign up", "online free", "full hd", "stream free", "season", "scason")
 _SPLIT = {i: " " for i in range(0x2700) if not chr(i).isalnum() and chr(i) not in "'’"}
-_MARKUP = re.compile(r"</?[ibu]>|\{[^}\n]{0,40}\}|♪", re.I)
-_COMMON, _SPOKEN = LIGHT | TRADE | SPEECH, SPEECH - LIGHT
-
-FEATURES = ("words", "stuffed", "stuffed_chars", "links", "tags", "titles", "lists", "phrases", "trade", "light", "function_free", "distinct", "top3", "lines")
-SCHEMA = "doc_id long, source string, " + ", ".join(f"{f} double" for f in FEATURES)
-
-def _units(text: str, marked: bool) -> list[str]:
-    """Lines outside header, cue numbers and times; sentences where a line holds no link or tag."""
-    t = without_times(text)
-    out = []
+_MARKUP = re.compile(r"</?[a-z]{1,4}>|\{[^}\n]{0,40}\}", re.I)
+
+#: The view that the weak labels are made from, and the content and link features that the trees see.
+LABEL_VIEW = ("links", "pair_repeats", "separators", "top_unit")
+TEXT_VIEW = ("top_word", "compressed", "entropy", "distinct", "digits", "unit_words", "unit_spread", "link_hosts", "beside_links")
+WORD_VIEW = ("mean_weight", "weight_25", "weight_50", "weight_75", "clean_units", "spam_units", "known")
+FEATURES = TEXT_VIEW + WORD_VIEW
+PAGE = "doc_id long, source string, words long, units string, " + ", ".join(f"{f} double" for f in LABEL_VIEW + TEXT_VIEW)
+WEIGHED = "doc_id long, source string, words long, label double, " + ", ".join(f"{f} double" for f in FEATURES)
+
+
+def units(text: str) -> list[str]:
+    """Lines outside header, cue numbers and times; sentences where a line does not end in a link."""
+    t = without_times(repair_encoding(text.replace("\r\n", "\n").replace("\r", "\n")))
+    if "<" in t or "{" in t:
+        t = _MARKUP.sub(" ", t)
+    out: list[str] = []
     for line in t.split("\n"):
         line = line.strip()
         if line:
-            out += [line] if marked and ("#" in line or _LINK.search(line)) else _SENTENCE.split(line)
+            out += [line] if _LINK.search(line.rsplit(" ", 1)[-1]) else _SENTENCE.split(line)
     return out
 
 
-def features(text: str | None) -> tuple[float, ...]:
-    """:data:`FEATURES` of one page; zeros for null, empty and textless ones."""
-    t = repair_encoding(text.replace("\r\n", "\n").replace("\r", "\n")) if text else ""
-    # most pages hold no link, tag or title at all, so lines are tested only where the page does
-    low = t.lower()
-    has_link, has_tag, has_title = any(x in low for x in _LINK_HINTS), "#" in t or "|" in t or "sku" in low, any(x in low for x in _TITLE_HINTS)
-    parsed = [(u, w) for u in _units(t, has_link or has_tag) if (w := (_MARKUP.sub(" ", u) if "<" in u or "{" in u else u).lower().translate(_SPLIT).split())]
-    n = sum(len(w) for _, w in parsed)
+def page_views(text: str | None) -> tuple:
+    """words, units and the label and text view of one page; nothing but zeros for null, empty and textless ones.
+
+    Lines said again, as in songs and chants, count once where repetition is measured.
+    """
+    nothing = (0, "", *(0.0 for _ in LABEL_VIEW + TEXT_VIEW))
+    if not text:
+        return nothing
+    own = units(text)
+    raw = [w for u in own for w in u.split()]
+    parsed = [w for u in own if (w := tuple(u.lower().translate(_SPLIT).split()))]
+    n = sum(map(len, parsed))
     if not n:
-        return (0.0,) * len(FEATURES)
-    # a sung chorus or a chant repeats whole lines, which count once; stuffing repeats words in new lines or with words of trade
-    sung = Counter(tuple(w) for _, w in parsed if TRADE.isdisjoint(w))
-    count = Counter([x for w in sung for x in w] + [x for _, w in parsed if not TRADE.isdisjoint(w) for x in w])
-    every = sum(count.values())
-    content = {w: c for w, c in count.items() if c > 1 and w not in _COMMON and not w.isdigit()}
-    floor = max(5, 0.03 * every)
-    heavy = {w for w, c in content.items() if c >= floor}
-    pressing = heavy | TRADE
-    got = dict.fromkeys(("links", "tags", "titles", "lists", "phrases"), 0)
-    spam_chars = all_chars = light = trade = silent = 0
-    for u, w in parsed:
-        kind = None
-        seen = set(w)
-        own = len(w) if seen.isdisjoint(LIGHT) else sum(x not in LIGHT for x in w)
-        spoken = 0 if seen.isdisjoint(_SPOKEN) else sum(x in _SPOKEN for x in w)
-        if has_tag and (u.count("#") >= max(1, len(w) // 2) or _SKU.search(u)):
-            kind = "tags"
-        elif has_title and _TITLE.search(u):
-            kind = "titles"
-        elif has_link and len(rest := _LINK.sub(" ", u).translate(_SPLIT).split()) < len(w) and len(rest) <= 4:
-            kind = "links"
-        elif not spoken and u.count(",") >= 2 and _is_list(u):
-            kind = "lists"
-        elif heavy and own >= 3 and sung[tuple(w)] < 2 and spoken <= 0.2 * len(w) and not seen.isdisjoint(heavy) and sum(x in pressing for x in w if x not in LIGHT) >= 0.6 * own:
-            kind = "phrases"
-        if kind:
-            got[kind] += len(w)
-            spam_chars += len(u)
-        all_chars += len(u)
-        light += len(w) - own
-        trade += 0 if seen.isdisjoint(TRADE) else sum(x in TRADE for x in w)
-        silent += len(w) if seen.isdisjoint(SPEECH) else 0
-    top = sum(sorted(content.values())[-3:])
-    return (float(n), sum(got.values()) / n, spam_chars / all_chars, *(v / n for v in got.values()), trade / n, light / n, silent / n, len(count) / every, top / every, float(len(parsed)))
-
-
-def _is_list(unit: str) -> bool:
-    """Three or more different keywords of one or two words between commas, without words that make sentences."""
-    items = [x.split() for x in unit.strip(" .?!").lower().split(",")]
-    return all(0 < len(x) <= 2 and x[0].strip("¡¿?!.♪-") not in LIGHT for x in items) and len({" ".join(x) for x in items}) * 3 > 2 * len(items)
-
-
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return nothing
+    linked = [w for w in raw if _LINK.search(w)]
+    once = list(dict.fromkeys(parsed))
+    blocks = [once[i : i + TOGETHER] for i in range(0, len(once), TOGETHER)]
+    weight = np.array([sum(map(len, b)) for b in blocks], float)
+    top, repeats, distinct, packed, entropy, digits = (float(x) for x in weight @ np.array([_repetition(b) for b in blocks]) / weight.sum())
+    separators = sum(u.count(",") + u.count("|") + u.count(";") for u in own) / len(raw)
+    sizes = np.fromiter(map(len, parsed), float)
+    hosts = {m[1].lower() for w in linked if (m := _HOST.search(w))}
+    beside = [len(u.split()) for u in own if _LINK.search(u)] if linked else []
+    return (
+        n, "\n".join(" ".join(u) for u in parsed), len(linked) / len(raw), repeats, separators, max(Counter(parsed).values()) / len(parsed), top, packed, entropy, distinct, digits,
+        float(sizes.mean()), float(sizes.std()), len(hosts) / len(linked) if linked else 0.0, (sum(beside) - len(linked)) / len(beside) if beside else 0.0,
+    )
+
+
+def _repetition(block: list[tuple[str, ...]]) -> tuple[float, ...]:
+    """Share of the units with the most used word (of four letters or more; 0 below four units), of word pairs met before, of
+    different words, compressed size, entropy of the characters and share of digits of some different units."""
+    in_units = Counter(w for u in block for w in set(u) if len(w) >= 4)
+    top = max(in_units.values(), default=0) / len(block) if len(block) >= 4 else 0.0
+    words = [w for u in block for w in u]
+    pairs = Counter(p for u in block for p in zip(u, u[1:]))
+    seen = sum(pairs.values())
+    flat = "\n".join(" ".join(u) for u in block)
+    data = flat.encode()
+    chars = np.fromiter(Counter(flat).values(), float) / len(flat)
+    return (top, 1 - len(pairs) / seen if seen else 0.0, len(set(words)) / len(words), len(zlib.compress(data, 1)) / len(data), float(-(chars * np.log2(chars)).sum()), sum(map(flat.count, "0123456789")) / len(flat))
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["words", "units", *LABEL_VIEW, *TEXT_VIEW]
+    kinds = [pa.int64(), pa.string(), *(pa.float64() for _ in LABEL_VIEW + TEXT_VIEW)]
     for b in batches:
-        rows = [features(t.as_py()) for t in b.column("text")]
-        cols = zip(*rows) if rows else [()] * len(FEATURES)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *(pa.array(c, type=pa.float64()) for c in cols)], names=["doc_id", "source", *FEATURES])
+        rows = [page_views(t.as_py()) for t in b.column("text")]
+        cols = list(zip(*rows)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *(pa.array(c, type=t) for c, t in zip(cols, kinds))], names=["doc_id", "source", *names])
 
 
-def page_features(docs: DataFrame) -> DataFrame:
-    """doc_id, source and :data:`FEATURES` of the whole text of each page."""
-    return docs.select(F.col("doc_id").cast("long"), source_key(F.col("source")).alias("source"), "text").mapInArrow(_run, SCHEMA)
+def weak_label(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``label``: 1 at an extreme of the label view, 0 far from all, else null; textless pages have none."""
+    spam = F.lit(False)
+    clean = F.lit(True)
+    for f in LABEL_VIEW:
+        spam = spam | (F.col(f) >= SPAM_FROM[f]) if f in SPAM_FROM else spam
+        clean = clean & (F.col(f) <= CLEAN_TO[f])
+    return pages.withColumn("label", F.when(F.col("words") > 0, F.when(spam, 1.0).when(clean, 0.0)))
 
 
-def weak_label(df: DataFrame) -> DataFrame:
-    """Pages whose stuffed share is far from a half, with ``label``; textless pages are left out."""
-    s = (F.col("stuffed") + F.col("stuffed_chars")) / 2
-    return df.withColumn("label", F.when(s >= SPAM_FROM, 1.0).when(s <= CLEAN_TO, 0.0)).filter(F.col("label").isNotNull() & (F.col("words") > 0))
+def page_table(docs: DataFrame) -> DataFrame:
+    """:data:`PAGE` and the weak label of the whole text of each page."""
+    return weak_label(docs.select(F.col("doc_id").cast("long"), source_key(F.col("source")).alias("source"), "text").mapInArrow(_parse, PAGE))
+
+
+def word_weights(pages: DataFrame, most: int = MOST_WORDS) -> dict[str, float]:
+    """Log odds of each word to stand in a weakly labelled spam page rather than a clean one.
+
+    Counted over all labelled pages, combining before the shuffle. Only words that make up at least one of ``most`` parts
+    of all (page, word) pairs come back, so never more than ``most`` words, whatever the corpus.
+    """
+    per_page = pages.filter(F.col("label").isNotNull()).select("label", F.explode(F.array_distinct(F.split("units", "[ \n]"))).alias("w"))
+    counts = per_page.groupBy("w").agg(F.count("*").alias("n"), F.sum("label").alias("spam"))
+    counts = spill(counts.filter(F.col("n") >= LEAST_PAGES), "words")
+    all_ = counts.agg(F.sum("n").alias("n")).first().n or 0
+    n = {r.label: r["count"] for r in pages.groupBy("label").count().collect()}
+    n1, n0 = n.get(1.0, 0) + 1, n.get(0.0, 0) + 1
+    rows = counts.filter(F.col("n") >= all_ / most).collect()
+    return {r.w: math.log((r.spam + 0.5) / n1) - math.log((r.n - r.spam + 0.5) / n0) for r in rows}
+
+
+def _weigh(weights: dict[str, float], text: str) -> tuple[float, ...]:
+    """:data:`WORD_VIEW` of one page from its units; a word without a weight says nothing."""
+    if not text:
+        return (0.0,) * len(WORD_VIEW)
+    parsed = [u.split(" ") for u in text.split("\n")]
+    size = np.fromiter(map(len, parsed), float)
+    flat = [w for u in parsed for w in u]
+    own = np.fromiter((weights.get(w, 0.0) for w in flat), float)
+    mean = np.add.reduceat(own, np.concatenate(([0], np.cumsum(size[:-1]).astype(int)))) / size
+    share = size / size.sum()
+    order = np.argsort(mean)
+    upto = np.cumsum(share[order])
+    quarters = (float(mean[order[min(len(order) - 1, int(np.searchsorted(upto, p)))]]) for p in (0.25, 0.5, 0.75))
+    return (float(own.mean()), *quarters, float(share[mean < -1].sum()), float(share[mean > 0].sum()), sum(w in weights for w in flat) / len(flat))
+
+
+def weighed(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """:data:`WEIGHED`: all features of each page."""
+    sent = pages.sparkSession.sparkContext.broadcast(weights)
+    first = ["doc_id", "source", "words", "label", *TEXT_VIEW]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_weigh(sent.value, t) for t in b.column("units").to_pylist()]
+            cols = list(zip(*rows)) if rows else [()] * len(WORD_VIEW)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in first), *(pa.array(c, type=pa.float64()) for c in cols)], names=[*first, *WORD_VIEW])
+
+    return pages.select(*first, "units").mapInArrow(run, WEIGHED)
 
 
 def fit(pages: DataFrame, rows: int = FIT_ROWS, seed: int = 5) -> RandomForestClassificationModel | None:
-    """Bagged trees on at most about ``rows`` weakly labelled pages; None if they have only one label."""
-    labelled = weak_label(pages)
-    n = labelled.groupBy("label").count().collect()
+    """Bagged trees on at most about ``rows`` weakly labelled pages of each label; None if they have only one label."""
+    labelled = pages.filter(F.col("label").isNotNull())
+    n = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(n) < 2:
         return None
-    share = min(1.0, rows / sum(r["count"] for r in n))
-    sample = labelled.filter(hash_rank(F.col("doc_id"), seed=seed) < F.lit(int(share * (1 << 62)) - 1))
-    train = VectorAssembler(inputCols=list(FEATURES[1:]), outputCol="x").transform(sample).select("x", "label")
+    share = {k: min(1.0, rows / 2 / v) for k, v in n.items()}
+    limit = lambda k: F.lit(int(share[k] * (1 << 62)) - 1)
+    sample = labelled.filter(hash_rank(F.col("doc_id"), seed=seed) <= F.when(F.col("label") == 1, limit(1.0)).otherwise(limit(0.0)))
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(sample).select("x", "label")
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", subsamplingRate=1.0, seed=seed, maxBins=64).fit(train)
 
 
 def scored(docs: DataFrame, fit_rows: int = FIT_ROWS, host_weight: float = HOST_WEIGHT) -> DataFrame:
-    """doc_id, source, words, page_score, host_rate, score of every page.
+    """doc_id, source, words, label, page_score, host_rate, score of every page.
 
-    Where all weak labels agree the stuffed share itself is the score. Pages without a host are smoothed by the rate of
-    all pages.
+    Where all weak labels agree nothing can be learnt and the label itself (none: 0) is the page's score. Pages without a
+    host are smoothed by the rate of all such pages.
     """
-    pages = spill(page_features(docs), "pages")
+    pages = spill(page_table(docs), "pages")
+    pages = spill(weighed(pages, word_weights(pages)), "weighed")
     model = fit(pages, fit_rows)
     if model is None:
-        p = pages.withColumn("page_score", (F.col("stuffed") + F.col("stuffed_chars")) / 2)
+        p = pages.withColumn("page_score", F.coalesce("label", F.lit(0.0)))
     else:
-        p = model.transform(VectorAssembler(inputCols=list(FEATURES[1:]), outputCol="x").transform(pages)).withColumn("page_score", vector_to_array("probability")[1])
-    p = spill(p.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "words", "page_score"), "scores")
+        p = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(pages)).withColumn("page_score", vector_to_array("probability")[1])
+    p = spill(p.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "words", "label", F.when(F.col("words") > 0, F.col("page_score")).otherwise(0.0).alias("page_score")), "scores")
     all_ = p.agg(F.avg("page_score").alias("r")).first().r or 0.5
     # ten pages' worth of the overall rate, so that a host of few pages says little
     hosts = p.groupBy("source").agg(((F.sum("page_score") + 10 * all_) / (F.count("*") + 10)).alias("host_rate"))
@@ -184,7 +220,7 @@ def scored(docs: DataFrame, fit_rows: int = FIT_ROWS, host_weight: float = HOST_
     clip = lambda c: F.least(F.lit(0.999), F.greatest(F.lit(0.001), c))
     odds = lambda c: F.log(clip(c) / (1 - clip(c)))
     z = odds(F.col("page_score")) + F.lit(host_weight) * (odds(F.col("host_rate")) - odds(F.lit(float(all_))))
-    return j.withColumn("score", F.when(F.col("words") > 0, 1 / (1 + F.exp(-z))).otherwise(0.0)).select("doc_id", "source", "words", "page_score", "host_rate", "score")
+    return j.withColumn("score", F.when(F.col("words") > 0, 1 / (1 + F.exp(-z))).otherwise(0.0)).select("doc_id", "source", "words", "label", "page_score", "host_rate", "score")
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:
