@@ -1,19 +1,19 @@
 """Keyword-stuffed and link-list pages: bagged trees on content and link features, smoothed by host.
 
-Two views of a page are kept apart. The first holds how dense its links, its separators and
-its repeated word pairs are and whether one line fills it; pages at an extreme of it get a weak label, the rest none. The
-second holds what its words and sentences are like: how often each word stands in weakly
-labelled spam rather than in clean pages (counted over all pages), how compressible, varied
-and digit-laden the text is, how long its units are. Bagged decision trees learn the weak labels from
-the second view only and score every page; the scores are then moved towards the spam rate
-of the page's host. No word of any language is named here.
+Two views of a page are kept apart. The first holds how dense its links and separators are,
+how many of its word pairs repeat and whether one line fills it; pages at an extreme of it get
+a weak label, the rest none. The second holds what its words, units and links are like: how
+often each word stands in weakly labelled spam rather than in clean pages (counted over all
+pages), how many words a unit says again, how long units are and how they vary, what stands beside links and where these lead.
+Bagged decision trees learn the weak labels from the second view only and score every page; the
+scores are then moved towards the spam rate of the page's host. No word of any language is
+named here.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,7 +53,7 @@ _MARKUP = re.compile(r"</?[a-z]{1,4}>|\{[^}\n]{0,40}\}", re.I)
 
 #: The view that the weak labels are made from, and the content and link features that the trees see.
 LABEL_VIEW = ("links", "pair_repeats", "separators", "top_unit")
-TEXT_VIEW = ("top_word", "compressed", "entropy", "distinct", "digits", "unit_words", "unit_spread", "link_hosts", "beside_links")
+TEXT_VIEW = ("digits", "echoes", "unit_words", "unit_spread", "link_hosts", "beside_links")
 WORD_VIEW = ("mean_weight", "weight_25", "weight_50", "weight_75", "clean_units", "spam_units", "known")
 FEATURES = TEXT_VIEW + WORD_VIEW
 PAGE = "doc_id long, source string, words long, units string, " + ", ".join(f"{f} double" for f in LABEL_VIEW + TEXT_VIEW)
@@ -90,30 +90,22 @@ def page_views(text: str | None) -> tuple:
     linked = [w for w in raw if _LINK.search(w)]
     once = list(dict.fromkeys(parsed))
     blocks = [once[i : i + TOGETHER] for i in range(0, len(once), TOGETHER)]
-    weight = np.array([sum(map(len, b)) for b in blocks], float)
-    top, repeats, distinct, packed, entropy, digits = (float(x) for x in weight @ np.array([_repetition(b) for b in blocks]) / weight.sum())
+    weight = [sum(map(len, b)) for b in blocks]
+    repeats = sum(w * _pair_repeats(b) for w, b in zip(weight, blocks)) / sum(weight)
     separators = sum(u.count(",") + u.count("|") + u.count(";") for u in own) / len(raw)
     sizes = np.fromiter(map(len, parsed), float)
     hosts = {m[1].lower() for w in linked if (m := _HOST.search(w))}
     beside = [len(u.split()) for u in own if _LINK.search(u)] if linked else []
     return (
-        n, "\n".join(" ".join(u) for u in parsed), len(linked) / len(raw), repeats, separators, max(Counter(parsed).values()) / len(parsed), top, packed, entropy, distinct, digits,
-        float(sizes.mean()), float(sizes.std()), len(hosts) / len(linked) if linked else 0.0, (sum(beside) - len(linked)) / len(beside) if beside else 0.0,
+        n, "\n".join(" ".join(u) for u in parsed), len(linked) / len(raw), repeats, separators, max(Counter(parsed).values()) / len(parsed),
+        sum(map("".join(raw).count, "0123456789")) / sum(map(len, raw)), 1 - sum(len(set(u)) for u in parsed) / n, float(sizes.mean()), float(sizes.std()), len(hosts) / len(linked) if linked else 0.0, (sum(beside) - len(linked)) / len(beside) if beside else 0.0,
     )
 
 
-def _repetition(block: list[tuple[str, ...]]) -> tuple[float, ...]:
-    """Share of the units with the most used word (of four letters or more; 0 below four units), of word pairs met before, of
-    different words, compressed size, entropy of the characters and share of digits of some different units."""
-    in_units = Counter(w for u in block for w in set(u) if len(w) >= 4)
-    top = max(in_units.values(), default=0) / len(block) if len(block) >= 4 else 0.0
-    words = [w for u in block for w in u]
+def _pair_repeats(block: list[tuple[str, ...]]) -> float:
+    """Share of the word pairs of some different units that were met before."""
     pairs = Counter(p for u in block for p in zip(u, u[1:]))
-    seen = sum(pairs.values())
-    flat = "\n".join(" ".join(u) for u in block)
-    data = flat.encode()
-    chars = np.fromiter(Counter(flat).values(), float) / len(flat)
-    return (top, 1 - len(pairs) / seen if seen else 0.0, len(set(words)) / len(words), len(zlib.compress(data, 1)) / len(data), float(-(chars * np.log2(chars)).sum()), sum(map(flat.count, "0123456789")) / len(flat))
+    return 1 - len(pairs) / seen if (seen := pairs.total()) else 0.0
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
