@@ -17,14 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshquarry.session import spill
+from meshquarry.session import release, salted_join, spill
 
 #: A file has a field if at least this share of its records hold it.
 MIN_SHARE = 0.1
 #: Correspondences below this similarity are no renames.
 MIN_SIMILARITY = 0.55
-#: Most field names that renames may tie; a map of them is part of the plan of the consistent table.
-MAX_NAMES = 10_000
 #: Words that only say "how many" (fixed values); they count little in a name.
 QUANTITY = frozenset({"n", "num", "number", "nr", "count", "cnt", "nb", "total"})
 #: Words of like meaning (fixed values).
@@ -181,6 +179,7 @@ def file_fields(lines: DataFrame) -> DataFrame:
     files = per_field.groupBy("trace_file").agg(
         F.min("first_at").alias("first_at"), F.sum("n_first").alias("records"),
         F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "type", "n", F.when(F.col("inner") != "", F.array("inner")).alias("keys"), F.array_distinct(F.array_compact(F.array("lo", "hi"))).alias("values")))).alias("fields"),
+        F.array_compact(F.collect_list("name")).alias("names"),
     )
     files = files.withColumn("fields", F.filter("fields", lambda f: f["n"] >= MIN_SHARE * F.col("records"))).withColumn("writer", writer_of(F.col("trace_file")))
     return files.withColumn("seq", F.row_number().over(W.partitionBy("writer").orderBy("first_at", "trace_file"))).drop("first_at")
@@ -219,7 +218,11 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     A writer's first file has no changes; files without any complete record are
     passed over; repeated lines only weigh more. An empty table gives an empty result.
     """
-    files = spill(file_fields(lines), "files")
+    return changes_of(spill(file_fields(lines), "files"))
+
+
+def changes_of(files: DataFrame) -> DataFrame:
+    """:func:`schema_changes` from the table of :func:`file_fields`."""
     pairs = spill(_compare(files), "drift")
     without = lambda a, b: F.filter(a, lambda x: ~F.array_contains(F.transform(F.col(b), lambda y: y["name"]), x["name"]))
     pairs = pairs.select("trace_file", "before", without("before", "now").alias("gone"), without("now", "before").alias("come"))
@@ -241,39 +244,48 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     return out.union(_retyped(files, renames).select("trace_file", "field_name", F.lit("retyped"), no_name))
 
 
-def canonical_names(changes: DataFrame, rounds: int = 8) -> DataFrame:
-    """name and canonical: names that renames tie, each set under the name most often renamed from (ties: the last)."""
-    r = changes.filter(F.col("change_kind") == "renamed").groupBy("old_name", F.col("field_name").alias("new_name")).count()
-    both = r.select(F.col("old_name").alias("a"), F.col("new_name").alias("b"), "count").union(r.select("new_name", "old_name", F.lit(0).cast("long")))
-    links = both.groupBy("a", "b").agg(F.sum("count").alias("count"))
-    label = links.groupBy(F.col("a").alias("name")).agg(F.struct(F.sum("count").alias("n"), F.col("a").alias("best")).alias("label"))
-    links, label = spill(links.select("a", "b"), "links"), spill(label, "label")
-    for k in range(rounds):
-        seen = links.join(label, links.b == label.name).select(F.col("a").alias("name"), "label").union(label)
-        label = seen.groupBy("name").agg(F.max("label").alias("label"))
-        if k % 4 == 3:
-            label = spill(label, "label")
-    return label.select("name", F.col("label.best").alias("canonical"))
-
-
 #: Columns of the consistent table and their types (fixed values).
 TRACE_COLUMNS = {"schema_version": "bigint", "category": "string", "mesh": "string", "source": "string", "step": "bigint", "action": "bigint", "bbox_idx": "bigint", "coord_idx": "bigint", "scale_idx": "bigint", "num_bbox": "bigint", "reward": "double", "bvs": "double", "volume_sum": "double", "num_action_scale": "bigint", "manifold_volume_method": "string", "reward_backend": "string", "candidate_backend": "string", "max_step": "bigint", "trace_seed": "bigint", "pen_rate": "double", "branch_group": "string", "selected": "boolean"}
 
 
+def canonical_names(changes: DataFrame) -> DataFrame:
+    """name and canonical: names that renames tie, each set under one of its names.
+
+    A name of :data:`TRACE_COLUMNS` goes before any other, then the name most often renamed from, then the last. Labels
+    spread to neighbours and along pointers until none changes, however long a chain of renames is.
+    """
+    r = changes.filter(F.col("change_kind") == "renamed").groupBy("old_name", F.col("field_name").alias("new_name")).count()
+    both = r.select(F.col("old_name").alias("a"), F.col("new_name").alias("b"), "count").union(r.select("new_name", "old_name", F.lit(0).cast("long")))
+    links = spill(both.groupBy("a", "b").agg(F.sum("count").alias("count")), "links")
+    own = F.struct(F.col("a").isin(*TRACE_COLUMNS).alias("column"), F.sum("count").alias("n"), F.col("a").alias("best"))
+    label = spill(links.groupBy("a").agg(own.alias("label")).select(F.col("a").alias("name"), "label"), "label")
+    while True:
+        near = links.join(label, links.b == label.name).select(F.col("a").alias("name"), "label")
+        jump = label.select(F.col("name").alias("best"), F.col("label").alias("far"))
+        far = label.select("name", F.col("label.best").alias("best")).join(jump, "best").select("name", F.col("far").alias("label"))
+        best = near.union(far).groupBy("name").agg(F.max("label").alias("next"))
+        after = spill(label.join(best, "name").select("name", F.greatest("label", "next").alias("label"), (F.col("next") > F.col("label")).alias("moved")), "label")
+        moved = not after.filter("moved").isEmpty()
+        release(label)
+        label = after
+        if not moved:
+            return label.select("name", F.col("label.best").alias("canonical"))
+
+
 def consistent_table(lines: DataFrame) -> DataFrame:
     """All complete records as one table of :data:`TRACE_COLUMNS`, fields read under any of their names and cast.
 
     A value in an array or object of one element is that element. What can't be cast is null. Fields outside the
-    columns are kept as JSON text in ``rest``.
+    columns are kept as JSON text in ``rest``. The other names of a file's fields travel with the file, so neither the
+    driver nor any task holds all names.
     """
-    names = canonical_names(schema_changes(lines))
+    files = spill(file_fields(lines), "files")
+    names = canonical_names(changes_of(files))
+    said = files.select("trace_file", F.explode("names").alias("name")).join(names.filter(F.col("name") != F.col("canonical")), "name")
+    alias = spill(said.groupBy("trace_file").agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("alias")), "alias")
     recs = complete_records(lines.select("line_id", "trace_file", "line_no", "payload"), '"$2"')
-    few = names.limit(MAX_NAMES + 1).collect()
-    if len(few) > MAX_NAMES:
-        raise ValueError(f"renames tie more than {MAX_NAMES} field names")
-    alias = F.create_map(*(F.lit(x) for r in few for x in (r["name"], r["canonical"]))) if few else F.lit(None).cast("map<string,string>")
-    r = recs.withColumn("m", F.expr("cast(v as map<string,variant>)"))
-    r = r.withColumn("m", F.map_from_entries(F.array_distinct(F.transform(F.map_entries("m"), lambda e: F.struct(F.coalesce(alias[e["key"]], e["key"]).alias("key"), F.to_json(e["value"]).alias("value"))))))
+    r = salted_join(recs, alias, "trace_file", F.col("line_id")).withColumn("m", F.expr("cast(v as map<string,variant>)"))
+    r = r.withColumn("m", F.map_from_entries(F.array_distinct(F.transform(F.map_entries("m"), lambda e: F.struct(F.coalesce(F.element_at("alias", e["key"]), e["key"]).alias("key"), F.to_json(e["value"]).alias("value"))))))
     one = lambda x: F.regexp_replace(F.regexp_replace(x, r'^(?:\[([^,\[\]{}]*)\]|\{"[^"]*":([^,\[\]{}]*)\})$', "$1$2"), '^"(.*)"$', "$1")
     cast = lambda c, t: F.expr(f"try_cast(try_cast({c} as double) as bigint)") if t == "bigint" else F.expr(f"try_cast({c} as {t})")
     r = r.select("line_id", "trace_file", "line_no", "m", *(one(F.element_at("m", c)).alias(f"_{c}") for c in TRACE_COLUMNS))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from meshquarry.functions import boxes as B
 from meshquarry.functions import vectors as V
 from meshquarry.operators import spatial as S
-from meshquarry.session import spill
+from meshquarry.session import release, salted_join, spill
 
 
 def components(edges: DataFrame, mesh: str) -> DataFrame:
@@ -34,9 +34,11 @@ def components(edges: DataFrame, mesh: str) -> DataFrame:
         jump = step.select(mesh, F.col("v").alias("m"), F.col("m").alias("j"))
         new = step.join(jump, [mesh, "m"], "left").select(mesh, "v", F.least("m", F.coalesce("j", "m")).alias("l2"), "l")
         new = spill(new, "label")
+        release(label)
         if new.filter(F.col("l2") != F.col("l")).isEmpty():
             return new.select(mesh, "v", F.col("l2").alias("component"))
         label = new.select(mesh, "v", F.col("l2").alias("l"))
+        label._spilled = new._spilled
 
 
 def suppress(boxes: DataFrame, mesh: str, idx: str, score: Column, limit: float) -> DataFrame:
@@ -70,49 +72,74 @@ def farthest_points(points: DataFrame, mesh: str, pid: str, k: int) -> DataFrame
     """
     p = points.select(mesh, pid, *B.AXES).dropDuplicates([mesh, pid])
     start = p.groupBy(mesh).agg(F.min_by(F.struct(pid, *B.AXES), F.col(pid)).alias("c"))
-    state, chosen = p.withColumn("d", F.lit(float("inf"))), spill(start, "pick")
+    state, chosen = spill(p.withColumn("d", F.lit(float("inf"))), "fps"), spill(start, "pick")
     out = chosen.select(mesh, F.lit(0).alias("pick"), F.col(f"c.{pid}").alias(pid))
     for i in range(1, k):
         d2 = V.distance2([F.col(a) for a in B.AXES], [F.col(f"c.{a}") for a in B.AXES])
-        state = spill(state.join(chosen, mesh).withColumn("d", F.least("d", d2)).drop("c"), "fps")
-        best = state.groupBy(mesh).agg(F.max(F.struct("d", (-F.col(pid)).alias("n"))).alias("m"), F.max_by(F.struct(pid, *B.AXES), F.struct("d", -F.col(pid))).alias("c"))
-        chosen = spill(best.filter(F.col("m.d") > 0).select(mesh, "c"), "pick")
+        near = spill(salted_join(state, chosen, mesh, F.col(pid), how="inner").withColumn("d", F.least("d", d2)).drop("c").filter(F.col("d") > 0), "fps")
+        release(state)  # a point at distance 0 from a pick is never picked again
+        state = near
+        best = state.groupBy(mesh).agg(F.max_by(F.struct(pid, *B.AXES), F.struct("d", -F.col(pid))).alias("c"))
+        chosen = spill(best, "pick")
         out = out.union(chosen.select(mesh, F.lit(i).alias("pick"), F.col(f"c.{pid}").alias(pid)))
     return out
 
 
-def greedy_merge(parts: DataFrame, adjacency: DataFrame, mesh: str, pid: str, shape: DataFrame, eps: float = 0.0, final_k: int | None = None, max_rounds: int = 64) -> DataFrame:
-    """mesh, pid, into, rounds: agglomerative merging of adjacent parts, one merge per mesh and round.
+def greedy_merge(parts: DataFrame, adjacency: DataFrame, mesh: str, pid: str, shape: DataFrame, eps: float = 0.0, final_k: int | None = None) -> DataFrame:
+    """mesh, pid, into, rounds: agglomerative merging of adjacent parts, one merge per mesh and round, until no mesh merges.
 
     Of a mesh's adjacent pairs the one is merged whose change of summed box volume over shape volume is closest to
     1 - bvs (ties: lower pair); it must have a reward above -|eps|, or with ``final_k`` the mesh more parts than that.
-    ``parts`` has mesh, pid and bounds; ``adjacency`` mesh, l, r with l < r; ``shape`` mesh and shape.
+    ``parts`` has mesh, pid and bounds; ``adjacency`` mesh, l, r with l < r; ``shape`` mesh and shape. A pair carries the
+    boxes of both sides and its mesh's totals, so a round is one aggregation and one join on the pairs of the meshes that
+    still merge; the merges are logged and followed to the last part at the end.
     """
-    now = spill(parts.select(mesh, pid, *B.BOUNDS).join(shape, mesh), "parts")
-    adj = spill(adjacency.select(mesh, "l", "r").filter(F.col("l") < F.col("r")).distinct(), "adj")
-    into = now.select(mesh, pid, F.col(pid).alias("into"), F.lit(0).alias("rounds"))
-    for i in range(1, max_rounds + 1):
-        vol = now.withColumn("v", B.volume(B.box()))
-        total = vol.groupBy(mesh).agg((F.sum("v") / F.max("shape")).alias("bvs"), F.count("*").alias("n"))
-        side = lambda n: vol.select(mesh, F.col(pid).alias(n), F.col("v").alias(f"{n}_v"), *(F.col(c).alias(f"{n}_{c}") for c in B.BOUNDS), *(["shape"] if n == "l" else []))
-        j = adj.join(side("l"), [mesh, "l"]).join(side("r"), [mesh, "r"]).join(total, mesh)
-        union = [F.least(F.col(f"l_{c}"), F.col(f"r_{c}")) if c.startswith("min") else F.greatest(F.col(f"l_{c}"), F.col(f"r_{c}")) for c in B.BOUNDS]
-        delta = (B.volume(union) - F.col("l_v") - F.col("r_v")) / F.col("shape")
-        j = j.withColumn("gap", F.round(F.abs(delta - (1 - F.col("bvs"))), 9)).withColumn("reward", B.merge_reward(F.col("bvs"), F.col("l_v"), F.col("r_v"), B.volume(union), F.col("shape")))
-        best = j.groupBy(mesh).agg(F.min_by(F.struct("l", "r", "reward", "n"), F.struct("gap", "l", "r")).alias("b"))
+    known = spill(parts.select(mesh, pid, *B.BOUNDS).join(shape, mesh).withColumn("v", B.volume(B.box())), "parts")
+    totals = known.groupBy(mesh).agg(F.sum("v").alias("all"), F.count("*").alias("n"))
+    side = lambda c: known.select(mesh, F.col(pid).alias(c), F.struct(*B.BOUNDS).alias(f"{c}_box"), *(["shape"] if c == "l" else []))
+    pairs = adjacency.select(mesh, "l", "r").filter(F.col("l") < F.col("r")).distinct().join(side("l"), [mesh, "l"]).join(side("r"), [mesh, "r"])
+    pairs = spill(salted_join(pairs, totals, mesh, F.xxhash64("l", "r"), how="inner"), "pairs")
+    of = lambda c: [F.col(f"{c}_box.{b}") for b in B.BOUNDS]
+    union = [F.least(x, y) if b.startswith("min") else F.greatest(x, y) for b, x, y in zip(B.BOUNDS, of("l"), of("r"))]
+    change = B.volume(union) - B.volume(of("l")) - B.volume(of("r"))
+    bvs = F.col("all") / F.col("shape")
+    log: DataFrame | None = None
+    i = 0
+    while True:
+        i += 1
+        scored = pairs.select(mesh, "l", "r", "n", F.round(F.abs(change / F.col("shape") - (1 - bvs)), 9).alias("gap"), B.merge_reward(bvs, B.volume(of("l")), B.volume(of("r")), B.volume(union), F.col("shape")).alias("reward"), change.alias("change"), F.struct(*(u.alias(b) for u, b in zip(union, B.BOUNDS))).alias("box"))
+        best = scored.groupBy(mesh).agg(F.min_by(F.struct("l", "r", "reward", "n", "change", "box"), F.struct("gap", "l", "r")).alias("b"))
         go = F.col("b.n") > final_k if final_k is not None else F.col("b.reward") > -abs(eps)
-        merge = spill(best.filter(go).select(mesh, F.col("b.l").alias("l"), F.col("b.r").alias("r")), "merge")
+        merge = spill(best.filter(go).select(mesh, F.lit(i).alias("round"), F.col("b.l").alias("new"), F.col("b.r").alias("old"), F.col("b.change").alias("change"), F.col("b.box").alias("box")), "merge")
         if merge.isEmpty():
             break
-        rename = merge.select(mesh, F.col("r").alias("old"), F.col("l").alias("new"))
-        on = lambda d, c: d.join(rename.withColumnRenamed("old", c), [mesh, c], "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        moved = on(now, pid)
-        now = spill(moved.groupBy(mesh, pid).agg(*(F.min(c).alias(c) if c.startswith("min") else F.max(c).alias(c) for c in B.BOUNDS), F.max("shape").alias("shape")), "parts")
-        a = on(on(adj, "l"), "r").filter(F.col("l") != F.col("r"))
-        adj = spill(a.select(mesh, F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct(), "adj")
-        moved_into = on(into.withColumnRenamed("into", "_i"), "_i").withColumnRenamed("_i", "into")
-        into = spill(moved_into.join(merge.select(mesh, F.lit(1).alias("_go")), mesh, "left").withColumn("rounds", F.col("rounds") + F.coalesce("_go", F.lit(0))).drop("_go"), "into")
-    return into.select(mesh, pid, "into", "rounds")
+        log = merge.select(mesh, "round", "old", "new") if log is None else log.union(merge.select(mesh, "round", "old", "new"))
+        j = salted_join(pairs, merge, mesh, F.xxhash64("l", "r"), how="inner")
+        touched = lambda c: F.col(c).isin(F.col("old"), F.col("new"))
+        box = lambda c: F.when(touched(c), F.col("box")).otherwise(F.col(f"{c}_box"))
+        to = lambda c: F.when(touched(c), F.col("new")).otherwise(F.col(c))
+        j = j.select(mesh, F.struct(to("l").alias("p"), box("l").alias("box")).alias("x"), F.struct(to("r").alias("p"), box("r").alias("box")).alias("y"), "shape", (F.col("all") + F.col("change")).alias("all"), (F.col("n") - 1).alias("n")).filter(F.col("x.p") != F.col("y.p"))
+        lo, hi = F.when(F.col("x.p") < F.col("y.p"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.p") < F.col("y.p"), F.col("y")).otherwise(F.col("x"))
+        j = j.select(mesh, lo.alias("lo"), hi.alias("hi"), "shape", "all", "n")
+        j = j.select(mesh, F.col("lo.p").alias("l"), F.col("hi.p").alias("r"), F.col("lo.box").alias("l_box"), F.col("hi.box").alias("r_box"), "shape", "all", "n")
+        after = spill(j.dropDuplicates([mesh, "l", "r"]), "pairs")
+        release(pairs)
+        pairs = after
+    if log is None:
+        return known.select(mesh, pid, F.col(pid).alias("into"), F.lit(0).alias("rounds"))
+    # every part vanishes at most once, so the log is a forest; pointers double until none moves
+    at = spill(log.select(mesh, "old", "new"), "log")
+    while True:
+        nxt = at.select(mesh, F.col("old").alias("new"), F.col("new").alias("then"))
+        after = spill(at.join(nxt, [mesh, "new"], "left").select(mesh, "old", F.coalesce("then", "new").alias("new"), F.col("then").isNotNull().alias("moved")), "log")
+        moved = not after.filter("moved").isEmpty()
+        release(at)
+        at = after
+        if not moved:
+            break
+    count = log.groupBy(mesh).agg(F.max("round").alias("rounds"))
+    out = known.select(mesh, pid).join(at.select(mesh, F.col("old").alias(pid), "new"), [mesh, pid], "left").join(count, mesh, "left")
+    return out.select(mesh, pid, F.coalesce("new", pid).alias("into"), F.coalesce("rounds", F.lit(0)).alias("rounds"))
 
 
 #: Rounds after which a refinement without ``steps`` gives up (the largest max_step of the reference's configurations).

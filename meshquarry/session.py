@@ -21,9 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where unset (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set a temporary folder is taken in local mode only; elsewhere that is an error, as executors would
+    write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if of_context.isDefined():
+            return of_context.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -33,22 +42,35 @@ def spill(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet under the shared folder and read it back.
 
     Columnar, so later readers prune columns; survives the loss of executors. The
-    files are removed when the process ends.
+    files are removed by :func:`release` or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshquarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spilled = path
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Remove the files of spilled tables that no later step reads (rounds of a loop); anything else is left alone."""
+    for df in dfs:
+        if path := getattr(df, "_spilled", None):
+            _delete(df.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _remove_spilled() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have gone first
             pass
 
