@@ -3,13 +3,14 @@
 Each file's fields (presence, type, sample values) are summarised by one grouped
 aggregation over the parsed records. A file is compared with the writer's preceding
 file; where fields go and others come at once, similarity flooding over the two
-small schema graphs (names, types, nesting, values) finds which of them correspond.
+small schema graphs (words of names, types, nesting, values) finds which of them
+correspond. No word is known to mean the same as another.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,12 @@ from meshquarry.session import release, salted_join, spill
 
 #: A file has a field if at least this share of its records hold it.
 MIN_SHARE = 0.1
-#: Correspondences below this similarity are no renames.
-MIN_SIMILARITY = 0.55
-#: Words that only say "how many" (fixed values); they count little in a name.
-QUANTITY = frozenset({"n", "num", "number", "nr", "count", "cnt", "nb", "total"})
-#: Words of like meaning (fixed values).
-SYNONYMS = ({"backend", "engine"}, {"scale", "scaling"}, {"method", "mode", "algo", "algorithm"}, {"volume", "vol"}, {"max", "maximum"}, {"step", "iteration", "iter"})
+#: Correspondences below this share of the similarity of two equal fields are no renames.
+MIN_SIMILARITY = 0.15
+#: How much of a pair's similarity flows along each kind of edge.
+FLOW = {"word": 1.0, "value": 1.0, "key": 1.0, "type": 0.3}
+#: The flow ends when no similarity moves by more than this; it is a contraction and gets there in some ten rounds.
+STILL = 1e-4
 
 
 def name_tokens(name: str) -> list[str]:
@@ -45,79 +46,86 @@ def _expand(a: list[str], b: list[str]) -> list[str]:
 
 
 def word_similarity(x: str, y: str) -> float:
-    """1 for the same word, high for synonyms and abbreviations, else the overlap of trigrams."""
+    """1 for the same word, more than a half for an abbreviation by its beginning, else the overlap of trigrams."""
     if x == y:
         return 1.0
-    if any(x in s and y in s for s in SYNONYMS) or (x in QUANTITY and y in QUANTITY):
-        return 0.9
     short, long = sorted((x, y), key=len)
-    if len(short) >= 3 and long.startswith(short):
-        return 0.85
-    g = [{f"  {w} "[i : i + 3] for i in range(len(w) + 1)} for w in (x, y)]
-    return 0.6 * len(g[0] & g[1]) / len(g[0] | g[1])
+    g = [{f" {w} "[i : i + 3] for i in range(len(w))} for w in (x, y)]
+    begins = (1 + len(short) / len(long)) / 2 if len(short) >= 3 and long.startswith(short) else 0.0
+    return max(begins, len(g[0] & g[1]) / len(g[0] | g[1]))
 
 
-def _soft_dice(wa: np.ndarray, wb: np.ndarray, s: np.ndarray) -> float:
-    return float(((wa * s.max(1)).sum() + (wb * s.max(0)).sum()) / (wa.sum() + wb.sum()))
+def _equal(x: str, y: str) -> float:
+    return float(x == y)
 
 
-def _evidence(f: dict) -> set[str]:
-    """Sample values and nested keys of a field."""
-    return {v for v in (() if f["values"] is None else f["values"]) if v is not None} | {f".{k}" for k in (() if f["keys"] is None else f["keys"])}
+def flood(gone: list[dict], come: list[dict], kept: list[dict]) -> np.ndarray:
+    """Similarity flooding: how alike each gone field is to each coming one, as a share of what two equal fields reach.
 
-
-def _agreement(a: set[str], b: set[str]) -> float:
-    """Share of the smaller evidence found in the other; one half where either has none.
-
-    That two samples of numbers have none in common says little, as a count or size may differ from file to file.
+    A field is a dict of name, type (None: only nulls), keys (nested names) and values (samples). Each schema is a graph
+    of fields with edges to the words of their names, their types, nested names and values. The nodes of the pairwise
+    connectivity graph are pairs of nodes, one of each schema; a pair of fields has an edge of each kind to every pair
+    of its words, types, nested names or values. Pairs start with the likeness of their texts, pairs of fields with
+    nothing, and in each round every pair passes its similarity on along its edges, until none changes. ``kept`` fields
+    take part as pairs with themselves, so a word or type that many fields share says less; a pair of equal fields that
+    share nothing with any other sets the scale.
     """
-    if not a or not b:
-        return 0.5
-    shared = len(a & b) / min(len(a), len(b))
-    number = all(re.fullmatch(r"\[?-?[\d.]+(?:[eE]-?\d+)?\]?", v) for v in a | b if v[0] != ".")
-    return max(shared, 0.4) if number else shared
-
+    nodes: dict[tuple, int] = {}
+    start: list[float] = []
+    edges: dict[tuple[str, int], list[tuple[int, float, float]]] = {}
+
+    def node(kind: str, x: object, y: object, at: float) -> int:
+        k = (kind, x, y)
+        if k not in nodes:
+            nodes[k] = len(start)
+            start.append(at)
+        return nodes[k]
+
+    def link(field: int, kind: str, xs: list[str], ys: list[str], alike: Callable[[str, str], float], best: int) -> None:
+        for x in xs:
+            for y in ys:
+                edges.setdefault((kind, node(kind, x, y, alike(x, y))), []).append((field, FLOW[kind] / best, 1 / (len(xs) * len(ys))))
+
+    def pair(tag: tuple, f: dict, g: dict) -> int:
+        n = node("field", *tag, 0.0)
+        a, b = name_tokens(f["name"]) or [f["name"]], name_tokens(g["name"]) or [g["name"]]
+        a, b = _expand(a, b), _expand(b, a)
+        link(n, "word", a, b, word_similarity, max(len(a), len(b)))
+        if f["type"] is not None and g["type"] is not None:
+            link(n, "type", [f["type"]], [g["type"]], _equal, 1)
+        for kind, alike, best in (("values", _equal, min), ("keys", word_similarity, max)):
+            xs, ys = (sorted({v for v in (() if h[kind] is None else h[kind]) if v is not None}) for h in (f, g))
+            if xs and ys:
+                link(n, kind[:-1], xs, ys, alike, best(len(xs), len(ys)))
+        return n
+
+    own = {"name": "\0", "type": "\0", "keys": None, "values": ["\0"]}
+    scale = pair(("equal", "equal"), own, own)
+    for k, f in enumerate(kept):
+        pair(("kept", k), f, f)
+    at = np.array([[pair((i, j), f, g) for j, g in enumerate(come)] for i, f in enumerate(gone)])
+    to, by, weight = [], [], []
+    for (_, m), ends in edges.items():
+        for n, up, down in ends:
+            to += [n, m]
+            by += [m, n]
+            weight += [up / len(ends) ** 0.5, down / len(ends)]
+    first = np.array(start)
+    now, to, by, weight = first.copy(), np.array(to), np.array(by), np.array(weight)
+    while True:
+        said = first + now
+        after = said + np.bincount(to, weight * said[by], len(first))
+        after /= after.max()
+        moved, now = np.abs(after - now).max(), after
+        if moved < STILL:
+            return now[at] / now[scale]
 
-def flood(gone: list[dict], come: list[dict], rounds: int = 12) -> np.ndarray:
-    """Similarity of each gone field with each coming one.
 
-    Nodes are fields, name words, types, nested keys and values; similarity flows
-    between pairs of nodes whose fields correspond, until it converges. A field is a
-    dict of name, type (None: only nulls), keys (nested names) and values (samples).
-    """
-    fields = np.full((len(gone), len(come)), 0.5)
-    ta, tb = [name_tokens(f["name"]) for f in gone], [name_tokens(f["name"]) for f in come]
-    pairs = [[(_expand(a, b), _expand(b, a)) for b in tb] for a in ta]
-    words = {(x, y): word_similarity(x, y) for r in pairs for a, b in r for x in a for y in b}
-    fixed = dict(words)
-    for _ in range(rounds):
-        before = fields.copy()
-        for i, f in enumerate(gone):
-            for j, g in enumerate(come):
-                a, b = pairs[i][j]
-                w = [np.array([0.3 if t in QUANTITY else 1.0 for t in x]) for x in (a, b)]
-                name = _soft_dice(w[0], w[1], np.array([[words[x, y] for y in b] for x in a])) if a and b else 0.0
-                kind = 0.5 if f["type"] is None or g["type"] is None else float(f["type"] == g["type"])
-                value = _agreement(_evidence(f), _evidence(g))
-                fields[i, j] = 0.6 * name + 0.25 * value + 0.15 * kind
-        flow: dict[tuple[str, str], list[float]] = {}
-        for i in range(len(gone)):
-            for j in range(len(come)):
-                rival = max([0.0, *np.delete(fields[i], j), *np.delete(fields[:, j], i)])
-                for x in pairs[i][j][0]:
-                    for y in pairs[i][j][1]:
-                        flow.setdefault((x, y), []).append(max(0.0, fields[i, j] - rival))
-        words = {k: max(fixed[k], 0.7 * fixed[k] + 0.3 * fixed[k] ** 0.5 * max(v)) for k, v in flow.items()}
-        if np.abs(fields - before).max() < 1e-4:
-            break
-    return fields
-
-
-def correspondences(gone: list[dict], come: list[dict]) -> list[tuple[str, str]]:
+def correspondences(gone: list[dict], come: list[dict], kept: list[dict] = ()) -> list[tuple[str, str]]:
     """One-to-one (old name, new name) of the same type, the most similar first; ties by name."""
     if not len(gone) or not len(come):
         return []
-    s = flood(gone, come)
+    s = flood(gone, come, kept)
     ranked = sorted(((-s[i, j], f["name"], g["name"], f["type"], g["type"]) for i, f in enumerate(gone) for j, g in enumerate(come)))
     out: list[tuple[str, str]] = []
     for minus, old, new, a, b in ranked:
@@ -129,7 +137,7 @@ def correspondences(gone: list[dict], come: list[dict]) -> list[tuple[str, str]]
 
 def _renames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = [(f, old, new) for f, g, c in zip(pdf.trace_file, pdf.gone, pdf.come) for old, new in correspondences(list(g), list(c))]
+        rows = [(f, old, new) for f, g, c, k in zip(pdf.trace_file, pdf.gone, pdf.come, pdf.kept) for old, new in correspondences(list(g), list(c), list(k))]
         yield pd.DataFrame(rows, columns=["trace_file", "old_name", "new_name"])
 
 
@@ -140,6 +148,7 @@ def complete_records(lines: DataFrame, bare_as: str = "0") -> DataFrame:
     as ``bare_as`` (``$2`` is the word itself).
     """
     bare = F.regexp_replace("payload", r"([:\[,]\s*)(NaN|[+-]?Infinity)(?=\s*[,}\]])", f"$1 {bare_as}")
+    bare = F.when(F.contains("payload", F.lit("NaN")) | F.contains("payload", F.lit("Infinity")), bare).otherwise(F.col("payload"))
     v = F.try_parse_json(F.when(F.rtrim("payload").endswith("}"), bare))
     return lines.withColumn("v", v).filter(F.schema_of_variant("v").startswith("OBJECT"))
 
@@ -150,14 +159,16 @@ def writer_of(c: Column) -> Column:
 
 
 def file_fields(lines: DataFrame) -> DataFrame:
-    """One row per file and field it has: trace_file, writer, seq, name, type (null: only nulls), keys, values, n, share.
+    """One row per file: trace_file, records, writer, seq, all names, and its fields (name, type or null for only nulls, n, keys, values).
+
+    Keys are the names nested anywhere in a field's objects, values its least and greatest value (long ones by digest).
 
     Columns read: trace_file, written_at, payload. Rows without a file are dropped.
     """
     recs = complete_records(lines.filter(F.col("trace_file").isNotNull()).select("trace_file", "written_at", "payload"))
     spark = lines.sparkSession
     entries = spark.sql(
-        """SELECT r.trace_file, r.written_at, e.pos, e.key AS name, schema_of_variant(e.value) AS shape, to_json(e.value) AS val
+        """SELECT r.trace_file, r.written_at, e.pos, e.key AS name, schema_of_variant(e.value) AS shape, e.value AS val
            FROM {recs} AS r, LATERAL variant_explode_outer(r.v) AS e""",
         recs=recs.select("trace_file", "written_at", "v"),
     )
@@ -165,10 +176,11 @@ def file_fields(lines: DataFrame) -> DataFrame:
         F.when(F.col("shape") == "VOID", None).when(F.col("shape") == "STRING", "string").when(F.col("shape") == "BOOLEAN", "boolean")
         .when(F.col("shape").startswith("ARRAY"), "array").when(F.col("shape").startswith("OBJECT"), "object").otherwise("number")
     )
-    number = F.expr("try_cast(val AS DOUBLE)")
-    val = F.when(kind == "number", number.cast("string")).when(kind.isNotNull() & (F.length("val") <= 64), F.col("val"))
-    per_type = entries.groupBy("trace_file", "name", kind.alias("type")).agg(
-        F.count("*").alias("n"), F.min("written_at").alias("first_at"), F.min(val).alias("lo"), F.max(val).alias("hi"), F.max(F.regexp_extract("shape", r"^OBJECT<(\w+)", 1)).alias("inner"),
+    text = F.when(kind == "number", F.expr("cast(try_variant_get(val, '$', 'double') AS STRING)")).when(kind.isin("array", "object"), F.to_json("val")).otherwise(F.expr("try_variant_get(val, '$', 'string')"))
+    entries = entries.withColumn("kind", kind).withColumn("text", text).withColumn("nested", F.when(F.col("kind").isin("array", "object"), F.col("val")))
+    val = F.when(F.length("text") <= 64, F.col("text")).otherwise(F.md5("text"))
+    per_type = entries.groupBy("trace_file", "name", F.col("kind").alias("type")).agg(
+        F.count("*").alias("n"), F.min("written_at").alias("first_at"), F.min(val).alias("lo"), F.max(val).alias("hi"), F.expr("schema_of_variant_agg(nested)").alias("inner"),
         F.count(F.when(F.col("pos") == 0, 1)).alias("n_first"),
     )
     strength = F.struct(F.col("type").isNotNull().alias("typed"), F.col("n"), F.col("type"))
@@ -178,7 +190,7 @@ def file_fields(lines: DataFrame) -> DataFrame:
     )
     files = per_field.groupBy("trace_file").agg(
         F.min("first_at").alias("first_at"), F.sum("n_first").alias("records"),
-        F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "type", "n", F.when(F.col("inner") != "", F.array("inner")).alias("keys"), F.array_distinct(F.array_compact(F.array("lo", "hi"))).alias("values")))).alias("fields"),
+        F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "type", "n", F.regexp_extract_all("inner", F.lit(r"[<,] *`?([^<>:,`]+)`?:"), F.lit(1)).alias("keys"), F.array_distinct(F.array_compact(F.array("lo", "hi"))).alias("values")))).alias("fields"),
         F.array_compact(F.collect_list("name")).alias("names"),
     )
     files = files.withColumn("fields", F.filter("fields", lambda f: f["n"] >= MIN_SHARE * F.col("records"))).withColumn("writer", writer_of(F.col("trace_file")))
@@ -225,9 +237,10 @@ def changes_of(files: DataFrame) -> DataFrame:
     """:func:`schema_changes` from the table of :func:`file_fields`."""
     pairs = spill(_compare(files), "drift")
     without = lambda a, b: F.filter(a, lambda x: ~F.array_contains(F.transform(F.col(b), lambda y: y["name"]), x["name"]))
-    pairs = pairs.select("trace_file", "before", without("before", "now").alias("gone"), without("now", "before").alias("come"))
+    pairs = pairs.select("trace_file", "before", without("before", "now").alias("gone"), without("now", "before").alias("come"), "now")
+    kept = F.filter("now", lambda x: F.array_contains(F.transform("before", lambda y: y["name"]), x["name"]))
     both = pairs.filter((F.size("gone") > 0) & (F.size("come") > 0))
-    found = both.select("trace_file", "gone", "come").mapInPandas(_renames, "trace_file string, old_name string, new_name string")
+    found = both.select("trace_file", "gone", "come", kept.alias("kept")).mapInPandas(_renames, "trace_file string, old_name string, new_name string")
     then = both.select("trace_file", F.map_from_entries(F.transform("before", lambda x: F.struct(x["name"], x["type"]))).alias("then"))
     renames = spill(found.join(then, "trace_file").select("trace_file", "old_name", "new_name", F.element_at("then", F.col("old_name")).alias("old_type")), "renames")
     ren = renames.groupBy("trace_file").agg(F.collect_list("old_name").alias("olds"), F.collect_list("new_name").alias("news"))

@@ -194,14 +194,42 @@ OTHERS = ["max_step", "pen_rate", "trace_seed", "candidate_backend", "branch_gro
 
 
 def test_flooding_separates_meanings():
-    f = lambda n: {"name": n, "type": "number", "keys": None, "values": None}
-    for g in ALIASES:
+    f = lambda n, v=None: {"name": n, "type": "number", "keys": None, "values": v}
+    for k, g in enumerate(ALIASES):
         for a in g:
             for b in g:
                 if a != b:
-                    assert D.correspondences([f(a)], [f(b)]) == [(a, b)], (a, b)
+                    # no list says that an engine is a backend: two names without a common word need common values
+                    if {a, b} != {"reward_engine", "backend"}:
+                        assert D.correspondences([f(a)], [f(b)]) == [(a, b)], (a, b)
+                    assert D.correspondences([f(a, [f"v{k}", "w"])], [f(b, [f"v{k}", "w"])]) == [(a, b)], (a, b)
             for b in [x for h in ALIASES if h is not g for x in h] + [o for o in OTHERS if o != "candidate_backend"]:
                 assert D.correspondences([f(a)], [f(b)]) == [], (a, b)
+                assert D.correspondences([f(a, ["x"])], [f(b, ["y"])]) == [], (a, b)
+
+
+def test_flooding_spreads_through_words_and_nesting():
+    f = lambda n, v=None, k=None: {"name": n, "type": "object", "keys": k, "values": v}
+    # one pair of fields with common values lends likeness to another through the words both names hold
+    some = lambda v: D.flood([f("reward_backend", v), f("backend")], [f("reward_engine", v), f("engine")], [])
+    assert some(["p", "q"])[1, 1] > some(None)[1, 1]
+    assert D.correspondences([f("alpha", k=["lo", "hi"])], [f("omega", k=["lo", "hi"])]) == [("alpha", "omega")]
+    # a word in many kept names says little
+    many = [f(f"step_{c}") for c in "abcdefgh"]
+    assert D.flood([f("step_x")], [f("step_y")], many)[0, 0] < D.flood([f("step_x")], [f("step_y")], [])[0, 0]
+
+
+def test_long_rename_chain_has_one_name(spark):
+    names = [f"field{i:02d}" for i in range(20)] + ["reward_backend"]
+    rows = [(a, b, "renamed") for a, b in zip(names, names[1:])] + [("other", "another", "renamed"), ("x", "y", "added")]
+    got = {r.name: r.canonical for r in D.canonical_names(spark.createDataFrame(rows, "old_name string, field_name string, change_kind string")).collect()}
+    assert {got[n] for n in names} == {"reward_backend"} and got["another"] == got["other"] == "other" and "x" not in got
+
+
+def test_nested_names_and_long_values(spark):
+    deep = {"a": {"b": [{"c": 1}]}, "d": 2}
+    got = {f.name: f for f in D.file_fields(lines(spark, [("trace_w_a.jsonl", [{"o": deep, "s": "x" * 200}, {"o": {"e": None}}])])).first().fields}
+    assert sorted(got["o"]["keys"]) == ["a", "b", "c", "d", "e"] and len(got["s"]["values"][0]) == 32
 
 
 def test_consistent_table(spark):
