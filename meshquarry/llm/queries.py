@@ -146,7 +146,25 @@ q AS (SELECT category, stage, metric, max(total) AS n, """
     + f", {percentiles.ALPHA}::DOUBLE AS rel_error FROM q"
 )
 
+_AT = "CASE WHEN {0} > 0 AND NOT isnan({0}) THEN CASE WHEN {0} < 1e11 THEN {0} WHEN {0} < 1e14 THEN {0} / 1e3 WHEN {0} < 1e17 THEN {0} / 1e6 ELSE {0} / 1e9 END END"
+_VOTED = {"category": _key("category"), "output_path": "output_path", "log_path": "log_path", "metadata": "metadata", "stage": "stage", "mesh_id": "mesh_id", "started_at": _AT.format("started_at"), "error": "CASE WHEN ok THEN coalesce(error, '') ELSE error END", "command": "command"}
+_SURVIVORS = (
+    f"""WITH r AS (SELECT *, coalesce({_key("stage")}, '') AS stage_key, coalesce({_key("mesh_id")}, '') AS mesh_key, coalesce({_OK.format("status")}, false) AS ok, {_AT.format("finished_at")} AS t FROM stage_record),
+w AS (SELECT *, pow(2.0::DOUBLE, CASE WHEN t IS NULL THEN -100.0::DOUBLE ELSE greatest(-99.0::DOUBLE, least(100.0::DOUBLE, (t - 1.6e9) / (86400.0::DOUBLE * 180))) END) AS d FROM r),
+run AS (SELECT stage_key, mesh_key, record_id AS survivor, CASE WHEN ok THEN 'success' ELSE lower(trim(status)) END AS status, t AS finished_at FROM w QUALIFY row_number() OVER (PARTITION BY stage_key, mesh_key ORDER BY ok DESC, t DESC NULLS LAST, record_id DESC) = 1)"""
+    + "".join(
+        f""",
+v_{c} AS (SELECT stage_key, mesh_key, {c}_v AS {c} FROM (SELECT stage_key, mesh_key, {c}_k, arg_max({c}_v, (coalesce(t, '-inf'::DOUBLE), record_id)) AS {c}_v, round(log2(sum(d * CASE WHEN ok THEN {"pow(2.0::DOUBLE, 256)" if c == "error" else "2.0::DOUBLE"} ELSE 1.0::DOUBLE END)), 9) AS s, max((coalesce(t, '-inf'::DOUBLE), record_id)) AS o FROM (SELECT *, {x} AS {c}_k, {_AT.format(c) if c == "started_at" else x if c == "error" else c} AS {c}_v FROM w) WHERE {c}_v IS NOT NULL GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY stage_key, mesh_key ORDER BY s DESC, o DESC) = 1)"""
+        for c, x in _VOTED.items()
+    )
+    + "\nSELECT run.*, "
+    + ", ".join("nullif(error, '') AS error" if c == "error" else c for c in _VOTED)
+    + " FROM run "
+    + " ".join(f"LEFT JOIN v_{c} USING (stage_key, mesh_key)" for c in _VOTED)
+)
+
 ORACLE = {
+    "p1_survivors": _SURVIVORS,
     "p3_cutoffs": f"""
 WITH l AS (SELECT state_id, max_by(score, scored_at) AS score, max_by(source, scored_at) AS source FROM (SELECT state_id, coalesce(score, 'nan'::DOUBLE) AS score, source, scored_at FROM gate_score) GROUP BY 1),
 c AS (SELECT score, {_key("source")} AS source FROM l WHERE isfinite(score)),
