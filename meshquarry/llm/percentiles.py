@@ -70,13 +70,36 @@ def percentiles(histograms: DataFrame, groups: list[str], ps: tuple[float, ...]
     return out.select(*by, "n", *(bucket_value(F.col(c), alpha).alias(c) for c in out.columns if c not in (*by, "n")), F.lit(alpha).alias("rel_error"))
 
 
-def evaluation_histogram(records: DataFrame, by_day: bool = False) -> DataFrame:
-    """Histograms of bvs and elapsed_sec by category and stage (and day of evaluated_at) of evaluation records.
+def pack(histograms: DataFrame, groups: list[str]) -> DataFrame:
+    """One row per group and metric: ``buckets`` (rising) and their ``counts``; a row holds at most a few thousand buckets."""
+    h = histograms.groupBy(*groups, "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("_h"))
+    return h.select(*groups, "metric", F.col("_h.bucket").alias("buckets"), F.col("_h.n").alias("counts"))
 
-    A record sent twice (same eval_id) counts once; bvs below 0 is the sentinel of a failed run and left out. Category
-    and stage are brought to one spelling; those not known are ``unknown``.
+
+def unpack(packed: DataFrame, groups: list[str]) -> DataFrame:
+    """The histograms that :func:`pack` packed, ready to be merged."""
+    return packed.select(*groups, "metric", F.explode(F.arrays_zip("buckets", "counts")).alias("_h")).select(*groups, "metric", F.col("_h.buckets").alias("bucket"), F.col("_h.counts").alias("n"))
+
+
+def evaluation_histogram(records: DataFrame) -> DataFrame:
+    """Histograms of bvs and elapsed_sec by category, stage and day of evaluated_at of evaluation records.
+
+    A record sent twice (same eval_id on the same day) counts once, by its last ingested_at (ties: the larger values), so
+    a day's histogram is made from the rows of that day alone; when copies arrive late, that day is made again. Records
+    without an eval_id each count. A bvs below 0 is the sentinel of a failed run and left out; negative times are
+    counted like any value. Category and stage are brought to one spelling; those not known are ``unknown``; records without
+    a time form the day null.
     """
-    cols = ["eval_id", "category", "stage", "bvs", "elapsed_sec", *(["evaluated_at"] if by_day else [])]
-    r = records.select(*cols).dropDuplicates(["eval_id"])
-    r = r.select(F.coalesce(category_key(F.col("category")), F.lit("unknown")).alias("category"), F.coalesce(F.nullif(name_key(F.col("stage")), F.lit("")), F.lit("unknown")).alias("stage"), *([F.to_date("evaluated_at").alias("day")] if by_day else []), "bvs", "elapsed_sec")
-    return histogram(r, ["category", "stage", *(["day"] if by_day else [])], {"bvs": F.when(F.col("bvs") >= 0, F.col("bvs")), "elapsed_sec": F.when(F.col("elapsed_sec") >= 0, F.col("elapsed_sec"))})
+    day = F.to_date("evaluated_at").alias("day")
+    alone = F.when(F.col("eval_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+    category = F.coalesce(category_key(F.col("category")), F.lit("unknown")).alias("category")
+    stage = F.coalesce(F.nullif(name_key(F.col("stage")), F.lit("")), F.lit("unknown")).alias("stage")
+    r = records.select("eval_id", day, alone, F.struct("ingested_at", "bvs", "elapsed_sec", category, stage).alias("r"))
+    r = r.groupBy("eval_id", "day", "_alone").agg(F.max("r").alias("r")).select("day", "r.*")
+    return histogram(r, ["category", "stage", "day"], {"bvs": F.when(~(F.col("bvs") < 0), F.col("bvs")), "elapsed_sec": F.col("elapsed_sec")})
+
+
+def delta_histogram(gate_rows: DataFrame) -> DataFrame:
+    """Histograms of the signed changes delta_avg_bvs and delta_avg_viou of gate rows by category (``unknown`` where not known)."""
+    category = F.coalesce(category_key(F.col("category")), F.lit("unknown")).alias("category")
+    return histogram(gate_rows.select(category, "delta_avg_bvs", "delta_avg_viou"), ["category"], {m: F.col(m) for m in ("delta_avg_bvs", "delta_avg_viou")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshquarry.llm import components, cutoffs, leaks, mixture, percentiles, quota_sample, stuffing, survivors
 from meshquarry.functions.text import source_key
-from meshquarry.session import table
+from meshquarry.session import spill, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,27 +40,36 @@ def p3_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoffs.cutoffs(cutoffs.counted_states(table(spark, sf_dir, "gate_score")), table(spark, sf_dir, "gate_target"))
 
 
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.pack(percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record")), ["category", "stage", "day"])
+
+
 def p4_daily_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mergeable partial results: one histogram per category, stage, metric and day."""
-    return percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record"), by_day=True)
+    """The mergeable partial results: one histogram per category, stage, metric and day, written as ``bucket:count``."""
+    each = F.transform(F.arrays_zip("buckets", "counts"), lambda x: F.concat_ws(":", x["buckets"].cast("string"), x["counts"].cast("string")))
+    return _days(spark, sf_dir).select("category", "stage", "day", "metric", F.size("buckets").alias("buckets"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.array_join(each, " ").alias("histogram"))
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(percentiles.percentiles(percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record")), ["category", "stage"]))
+    by = ["category", "stage"]
+    return _rounded(percentiles.percentiles(percentiles.merge(percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record")), by), by))
 
 
 def p4_merged_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles, combined from one histogram per day."""
-    return _rounded(_merged(spark, sf_dir))
+    """The same percentiles, combined from the written histograms of single days."""
+    days = spill(_days(spark, sf_dir), "days")
+    by = ["category", "stage"]
+    return _rounded(percentiles.percentiles(percentiles.merge(percentiles.unpack(days, [*by, "day"]), by), by))
 
 
-def _rounded(p: DataFrame) -> DataFrame:
-    return p.select(*(F.round(c, 6).alias(c) if c[0] == "p" and c[1:].isdigit() else c for c in p.columns))
+def p4_signed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of signed values: how gate rows change bvs and viou, by category."""
+    p = percentiles.percentiles(percentiles.delta_histogram(table(spark, sf_dir, "gate_row")), ["category"], (0.05, 0.25, 0.5, 0.75, 0.95))
+    return p.select(*(F.round(c, 9).alias(c) if c[0] == "p" else c for c in p.columns))
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = percentiles.evaluation_histogram(table(spark, sf_dir, "evaluation_record"), by_day=True)
-    return percentiles.percentiles(percentiles.merge(days, ["category", "stage"]), ["category", "stage"])
+def _rounded(p: DataFrame) -> DataFrame:
+    return p.select(*(F.round(c, 6).alias(c) if c[0] == "p" and c[1:].isdigit() else c for c in p.columns))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +113,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "source", F.round("page_score", 6).alias("page_score"), F.round("host_rate", 6).alias("host_rate"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_record_splits, p3_found, p3_cutoffs, p4_daily_histograms, p4_percentiles, p4_merged_from_days, p7_found, p7_report, p7_sample, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_record_splits, p3_found, p3_cutoffs, p4_daily_histograms, p4_percentiles, p4_merged_from_days, p4_signed_changes, p7_found, p7_report, p7_sample, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_scores)}
 
 
 def _key(c: str) -> str:
@@ -131,21 +140,24 @@ SELECT DISTINCT x AS mesh_no_a, y AS mesh_no_b FROM r WHERE x < y
 
 _G = math.log((1 + percentiles.ALPHA) / (1 - percentiles.ALPHA))
 _OFF = math.ceil(745.2 / _G) + 1
-_HIST = f"""WITH r AS (SELECT DISTINCT ON (eval_id) eval_id, coalesce({_CAT}, 'unknown') AS category, coalesce(nullif({_key("stage")}, ''), 'unknown') AS stage, CAST(evaluated_at AS DATE) AS day, bvs, elapsed_sec FROM evaluation_record),
-l AS (SELECT category, stage, day, 'bvs' AS metric, bvs AS x FROM r UNION ALL SELECT category, stage, day, 'elapsed_sec', elapsed_sec FROM r),
-h AS (SELECT category, stage, day, metric, CAST(CASE WHEN x = 0 THEN 0 ELSE ceil(ln(x) / {_G!r}::DOUBLE) + {_OFF} END AS BIGINT) AS bucket, count(*) AS n FROM l WHERE x >= 0 AND isfinite(x) GROUP BY ALL)"""
-_VALUE = f"round(CASE WHEN {{0}} = 0 THEN 0 ELSE exp(({{0}} - {_OFF}) * {_G!r}::DOUBLE) * {2 / (1 + (1 + percentiles.ALPHA) / (1 - percentiles.ALPHA))!r}::DOUBLE END, 6) AS p{{1}}"
-_PCT = (
-    _HIST
-    + """, m AS (SELECT category, stage, metric, bucket, sum(n) AS n FROM h GROUP BY 1, 2, 3, 4),
-c AS (SELECT *, sum(n) OVER (PARTITION BY category, stage, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY category, stage, metric) AS total FROM m),
-q AS (SELECT category, stage, metric, max(total) AS n, """
-    + ", ".join(f"min(bucket) FILTER (WHERE upto >= greatest(1, ceil({p}::DOUBLE * total))) AS b{round(p * 100)}" for p in percentiles.PERCENTILES)
-    + " FROM c GROUP BY 1, 2, 3) SELECT category, stage, metric, n, "
-    + ", ".join(_VALUE.format(f"b{round(p * 100)}", round(p * 100)) for p in percentiles.PERCENTILES)
-    + f", {percentiles.ALPHA}::DOUBLE AS rel_error FROM q"
-)
+_BUCKET = f"CAST(CASE WHEN x = 0 THEN 0 ELSE sign(x) * (ceil(ln(abs(x)) / {_G!r}::DOUBLE) + {_OFF}) END AS BIGINT)"
+_HIST = f"""WITH r AS (SELECT eval_id, coalesce({_CAT}, 'unknown') AS category, coalesce(nullif({_key("stage")}, ''), 'unknown') AS stage, CAST(evaluated_at AS DATE) AS day, bvs, elapsed_sec FROM evaluation_record QUALIFY eval_id IS NULL OR row_number() OVER (PARTITION BY eval_id, CAST(evaluated_at AS DATE) ORDER BY ingested_at DESC NULLS LAST) = 1),
+l AS (SELECT category, stage, day, 'bvs' AS metric, bvs AS x FROM r WHERE bvs >= 0 UNION ALL SELECT category, stage, day, 'elapsed_sec', elapsed_sec FROM r),
+h AS (SELECT category, stage, day, metric, {_BUCKET} AS bucket, count(*) AS n FROM l WHERE isfinite(x) GROUP BY ALL)"""
+_VALUE = f"round(sign({{0}}) * CASE WHEN {{0}} = 0 THEN 0 ELSE exp((abs({{0}}) - {_OFF}) * {_G!r}::DOUBLE) * {2 / (1 + (1 + percentiles.ALPHA) / (1 - percentiles.ALPHA))!r}::DOUBLE END, {{2}}) AS p{{1}}"
+
+
+def _pct(hist: str, by: str, ps: tuple[float, ...], digits: int) -> str:
+    marks = ", ".join(f"min(bucket) FILTER (WHERE upto >= greatest(1, ceil({p}::DOUBLE * total))) AS b{round(p * 100)}" for p in ps)
+    values = ", ".join(_VALUE.format(f"b{round(p * 100)}", round(p * 100), digits) for p in ps)
+    return f"""{hist}, m AS (SELECT {by}, metric, bucket, sum(n) AS n FROM h GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}, metric) AS total FROM m),
+q AS (SELECT {by}, metric, max(total) AS n, {marks} FROM c GROUP BY {by}, metric) SELECT {by}, metric, n, {values}, {percentiles.ALPHA}::DOUBLE AS rel_error FROM q"""
+
 
+_PCT = _pct(_HIST, "category, stage", percentiles.PERCENTILES, 6)
+_SIGNED = f"""WITH l AS (SELECT coalesce({_CAT}, 'unknown') AS category, unnest(['delta_avg_bvs', 'delta_avg_viou']) AS metric, unnest([delta_avg_bvs, delta_avg_viou]) AS x FROM gate_row),
+h AS (SELECT category, metric, {_BUCKET} AS bucket, count(*) AS n FROM l WHERE isfinite(x) GROUP BY ALL)"""
 _AT = "CASE WHEN {0} > 0 AND NOT isnan({0}) THEN CASE WHEN {0} < 1e11 THEN {0} WHEN {0} < 1e14 THEN {0} / 1e3 WHEN {0} < 1e17 THEN {0} / 1e6 ELSE {0} / 1e9 END END"
 _VOTED = {"category": _key("category"), "output_path": "output_path", "log_path": "log_path", "metadata": "metadata", "stage": "stage", "mesh_id": "mesh_id", "started_at": _AT.format("started_at"), "error": "CASE WHEN ok THEN coalesce(error, '') ELSE error END", "command": "command"}
 _SURVIVORS = (
@@ -171,7 +183,8 @@ c AS (SELECT score, {_key("source")} AS source FROM l WHERE isfinite(score)),
 t AS (SELECT {_key("source")} AS source, CASE WHEN target_open_rate > 1 THEN target_open_rate / 100 ELSE target_open_rate END AS target FROM gate_target),
 x AS (SELECT source, score, target, count(*) OVER (PARTITION BY source ORDER BY score DESC) AS kept, count(*) OVER (PARTITION BY source) AS states FROM c JOIN t USING (source))
 SELECT source, max(score) AS cutoff, min(kept) AS kept, any_value(states) AS states, min(kept) / any_value(states) AS kept_share, any_value(target) AS target FROM x WHERE kept / states >= target GROUP BY 1""",
-    "p4_daily_histograms": _HIST + " SELECT * FROM h",
+    "p4_daily_histograms": _HIST + " SELECT category, stage, day, metric, count(*) AS buckets, sum(n) AS n, string_agg(bucket || ':' || n, ' ' ORDER BY bucket) AS histogram FROM h GROUP BY 1, 2, 3, 4",
+    "p4_signed_changes": _pct(_SIGNED, "category", (0.05, 0.25, 0.5, 0.75, 0.95), 9),
     "p4_percentiles": _PCT,
     "p4_merged_from_days": _PCT,
     "p7_report": f"""

@@ -184,6 +184,19 @@ def test_percentile_error_and_merge(spark):
     assert PE.percentiles(PE.histogram(d.limit(0), ["g"], {"x": F.col("x")}), ["g"]).count() == 0
 
 
+def test_evaluation_histogram_counts_records(spark):
+    rows = [(1, "Chair", "s", 2.0, 5.0, 10, 20), (1, "chair", "s", 3.0, 6.0, 10, 30), (None, "chair", "S", 2.0, 5.0, 10, 20), (None, "chair", "s", 2.0, 5.0, 10, 20), (2, None, "", -1.0, -5.0, 90000, 1), (3, "chair", "s", math.nan, None, None, None)]
+    d = spark.createDataFrame(rows, "eval_id long, category string, stage string, bvs double, elapsed_sec double, e int, i int").withColumn("evaluated_at", F.timestamp_seconds("e")).withColumn("ingested_at", F.timestamp_seconds("i")).withColumn("day", F.lit("x")).withColumn("n", F.lit(1))
+    by = ["category", "stage", "day"]
+    h = PE.evaluation_histogram(d)
+    got = sorted((r.category, r.metric, round(r.v, 1), r.n) for r in h.select("*", PE.bucket_value(F.col("bucket")).alias("v")).collect())
+    # the copy ingested last counts once, records without an id each, a bvs below 0 not at all
+    assert got == [("chair", "bvs", 2.0, 2), ("chair", "bvs", 3.0, 1), ("chair", "elapsed_sec", 5.0, 2), ("chair", "elapsed_sec", 6.0, 1), ("unknown", "elapsed_sec", -5.0, 1)]
+    key = lambda x: sorted(map(str, x.select("category", "stage", "day", "metric", "bucket", "n").collect()))
+    packed = PE.pack(h, by)
+    assert key(PE.unpack(packed, by)) == key(h) and packed.count() == 3 and PE.pack(h.limit(0), by).count() == 0
+
+
 # --- 7: quota sample ---
 
 
