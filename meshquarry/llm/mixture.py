@@ -3,8 +3,8 @@
 Tokens are counted per document with a public tokenizer and summed per source and hash
 bucket. The total of the mixture is the largest at which every source can give its
 share within its repeats; each source then gives whole copies of itself plus the
-documents below a hash threshold, found from the bucket sums; only the boundary bucket
-is ordered.
+documents below a hash threshold, found from the bucket sums by refining the boundary
+bucket, in one pass over the documents and without any order.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions.text import source_key
-from meshquarry.llm.thresholds import hash_rank, take_by_hash
+from meshquarry.llm.thresholds import hash_rank, thresholds
 from meshquarry.session import spill
 
 #: Where the vocabulary files of public tokenizers lie, and the one used.
@@ -81,9 +81,11 @@ def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None
     """The mixture (doc_id, source, n_tokens, repeats >= 1) and its plan. Documents of sources without a target give nothing."""
     sizes = spill(count_tokens(docs, tokenizer=tokenizer).withColumn("source", source_key(F.col("source"))).filter(F.col("source").isNotNull()), "tokens")
     p = mix_plan(sizes, targets, total_tokens)
-    part = take_by_hash(sizes, ["source"], F.col("n_tokens"), hash_rank(F.col("doc_id"), seed=seed), F.col("doc_id"), p.filter(F.col("budget") > 0)).select("source", "doc_id", "n_tokens", F.lit(1).alias("repeats"))
-    whole = sizes.join(F.broadcast(p.filter(F.col("copies") > 0).select("source", F.col("copies").alias("repeats"))), "source").select("source", "doc_id", "n_tokens", "repeats")
-    return part.unionByName(whole).groupBy("doc_id", "source", "n_tokens").agg(F.sum("repeats").alias("repeats")), p
+    rank = hash_rank(F.col("doc_id"), seed=seed)
+    t = thresholds(sizes, ["source"], F.col("n_tokens"), rank, p)
+    give = p.join(t, "source", "left").select("source", "copies", F.coalesce("threshold", F.lit(0)).alias("threshold"))  # one row per target
+    repeats = F.col("copies") + F.when(rank < F.col("threshold"), 1).otherwise(0)
+    return sizes.join(F.broadcast(give), "source").select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats")).filter(F.col("repeats") > 0), p
 
 
 def shares(mixture: DataFrame, plan: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def draw(records: DataFrame, targets: DataFrame, share: float = SAMPLE_SHARE, se
     """eval_id, category, stage of the sample."""
     table, _, _ = plan(records, targets, share)
     u = usable(records)
-    return take_by_hash(u, ["category", "stage"], F.lit(1.0), hash_rank(F.col("eval_id"), seed=seed), F.col("eval_id"), table).select("eval_id", "category", "stage")
+    return take_by_hash(u, ["category", "stage"], F.lit(1.0), hash_rank(F.col("eval_id"), seed=seed), table).select("eval_id", "category", "stage")
 
 
 REPORT = "category string, target_share double, min_rows int, wanted long, available long, drawn long, actual_share double, short long"

@@ -288,11 +288,36 @@ def test_words_of_subtitles():
 def test_take_by_hash(spark):
     d = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("g"), (F.col("id") % 17).alias("w"))
     b = spark.createDataFrame([("hot", 3000.0), ("cold", 0.0)], "g string, budget double")
-    small = {r.id for r in TH.take_by_hash(d, ["g"], F.col("w"), TH.hash_rank(F.col("id")), F.col("id"), b, buckets=64).collect()}
-    big = {r.id for r in TH.take_by_hash(d, ["g"], F.col("w"), TH.hash_rank(F.col("id")), F.col("id"), b.withColumn("budget", F.col("budget") * 2), buckets=64).collect()}
+    small = {r.id for r in TH.take_by_hash(d, ["g"], F.col("w"), TH.hash_rank(F.col("id")), b, buckets=64).collect()}
+    big = {r.id for r in TH.take_by_hash(d, ["g"], F.col("w"), TH.hash_rank(F.col("id")), b.withColumn("budget", F.col("budget") * 2), buckets=64).collect()}
     assert abs(sum(i % 17 for i in small) - 3000) <= 17 and small < big and all(i % 3 == 0 for i in small)
 
 
+@pytest.mark.parametrize("buckets", [2, 16, 4096])
+def test_thresholds_equal_a_sort(spark, buckets):
+    rnd = random.Random(buckets)
+    rows = [(g, rnd.randrange(1 << 62) if i % 9 else 77, float(rnd.randint(0, 5))) for i in range(400) for g in ("a", "b", "c", "d")]
+    budgets = {"a": 333.3, "b": 1.0, "c": 1e9, "d": 0.0}
+    d = spark.createDataFrame(rows, "g string, r long, w double").withColumn("threshold", F.lit("x"))
+    b = spark.createDataFrame([*budgets.items(), ("empty", 5.0)], "g string, budget double")
+    got = {r.g: r.threshold for r in TH.thresholds(d, ["g"], F.col("w"), F.col("r"), b, buckets).collect()}
+    for g, budget in budgets.items():
+        same = {}
+        for h, r, w in rows:
+            if h == g:
+                same[r] = same.get(r, 0.0) + w
+        want, before = set(), 0.0
+        for r in sorted(same):
+            if before + same[r] / 2 > budget:
+                break
+            want.add(r)
+            before += same[r]
+        if budget:
+            assert {r for r in same if r < got[g]} == want or sum(same[r] for r in {r for r in same if r < got[g]} ^ want) == 0, g
+        else:
+            assert g not in got
+
+
 def test_mixture(spark):
     rows = [(i, " Big" if i % 2 else "big", "one two three four") for i in range(300)] + [(1000 + i, "small", "one two three four") for i in range(10)] + [(5000, None, "x"), (5001, "big", None), (5002, "big", ""), (5003, "other", "x y")]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_tokens", F.lit(7))
