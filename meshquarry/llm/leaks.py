@@ -3,10 +3,13 @@
 A leak is a run of :data:`RUN` words of a passage in a document of which at most
 :data:`MISREAD` differ. The run is cut into MISREAD + 2 blocks; whichever words differ, two
 blocks are untouched, so one of the fixed masks made of two blocks always hits: the search
-loses nothing. Documents are hashed under every mask at every position; hashes that meet
-those of the passages are verified along their diagonal. The passages are taken in blocks
-of bounded size, so what is sent to the executors never grows beyond a block, and the
-corpus needs no shuffle.
+loses nothing. Every run of the documents is hashed under every mask; where a hash meets one of
+a run of a passage, the two runs are compared word by word.
+
+Passages are cut into runs by Spark, and equal runs of different passages are one. As long as they
+fit into one block of bounded size, the block goes to the executors and the corpus needs no
+shuffle. Beyond that the hashes are joined by Spark: a bitmap of fixed size of the hashes of the runs
+goes out, and only those runs of the documents that it lets through are shuffled.
 """
 
 from __future__ import annotations
@@ -21,14 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshquarry.llm.subtitles import words
+from meshquarry.session import spill
 
 #: Words in a row that make a leak, and how many of them may be misread.
 RUN, MISREAD = 16, 3
-#: Passages searched for in one pass over the documents.
-BLOCK = 20_000
+#: Most different runs of passages that are sent to the executors (some 340 bytes each with their hashes).
+BLOCK = 250_000
 #: Documents searched at once within a task; only speed depends on it.
 TOGETHER = 64
+#: Bits of the bitmap by which the join drops runs that meet nothing (2^27 bits are 16 MB).
+BITMAP_BITS = 27
+#: Words of a passage that are cut into runs at once.
+PIECE = 4096
 _BITS = 22
+#: Hits compared at once.
+_CHUNK = 1 << 16
 
 
 def masks(run: int = RUN, misread: int = MISREAD) -> list[tuple[int, ...]]:
@@ -41,7 +51,7 @@ _ODD = np.random.default_rng(20240229).integers(1 << 62, size=RUN, dtype=np.uint
 _known: dict[str, int] = {}
 
 
-def _ids(ws: list[str]) -> list[int]:
+def _ids(ws: list[str]) -> np.ndarray:
     """A 64-bit hash per word (kept for words met before)."""
     if len(_known) > 500_000:
         _known.clear()
@@ -51,91 +61,159 @@ def _ids(ws: list[str]) -> list[int]:
         if h is None:
             h = _known[w] = xxhash.xxh64_intdigest(w)
         out.append(h)
-    return out
+    return np.array(out, dtype=np.uint64)
 
 
-def seed_hashes(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask number, hash at each start) for the runs that fit into ``ids``."""
-    n = max(0, len(ids) - RUN + 1)
+def seed_hashes(words_at: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The hash of each run under each mask in turn; ``words_at`` has the first, second, ... words of all runs."""
     for k, mask in enumerate(masks()):
-        h = np.full(n, np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), dtype=np.uint64)
-        for o in mask if n else ():
-            h += ids[o : o + n] * _ODD[o]
+        h = np.full(len(words_at[0]), np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), dtype=np.uint64)
+        for o in mask:
+            h += words_at[o] * _ODD[o]
             h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        yield k, h
+        yield h
+
+
+def _along(ids: np.ndarray) -> list[np.ndarray]:
+    """The words of all runs of a text, place by place."""
+    n = max(0, len(ids) - RUN + 1)
+    return [ids[o : o + n] for o in range(RUN)]
+
+
+def _windows(ids: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(ids, RUN) if len(ids) >= RUN else np.zeros((0, RUN), np.uint64)
 
 
 class SeedIndex:
-    """Hashes of all masks at all positions of a block of passages."""
+    """Hashes of all masks of a block of different runs (n, RUN)."""
 
-    def __init__(self, passages: list[tuple[int, list[str]]]) -> None:
-        self.items = [i for i, _ in passages]
-        self.ids = [np.array(_ids(w), dtype=np.uint64) for _, w in passages]
-        parts = [(h, np.full(len(h), k), np.arange(len(h))) for k, ids in enumerate(self.ids) for _, h in seed_hashes(ids)]
-        h, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    def __init__(self, runs: np.ndarray) -> None:
+        self.runs = runs
+        h = np.concatenate(list(seed_hashes(list(runs.T))))
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.at = h[order], item[order], at[order]
+        self.hash, self.run = h[order], order % max(1, len(runs))
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[self.hash >> np.uint64(64 - _BITS)] = True
-        self.size = np.array([len(x) for x in self.ids], dtype=np.int64)
-        self.table = np.zeros((len(self.ids), self.size.max(initial=RUN)), dtype=np.uint64)
-        for k, x in enumerate(self.ids):
-            self.table[k, : len(x)] = x
 
-    def search(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(number of the document, item) for each document with a run of a passage."""
+    def search(self, docs: list[np.ndarray]) -> np.ndarray:
+        """(number of the document, number of the run) of each leak, once each."""
         ids = np.concatenate(docs)
         owner = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-        keys = []
-        for _, h in seed_hashes(ids):
+        found = []
+        for h in seed_hashes(_along(ids)):
             at = np.flatnonzero(self.bits[h >> np.uint64(64 - _BITS)])
+            at = at[owner[at] == owner[at + RUN - 1]]
             lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
             n = hi - lo
-            row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos = np.repeat(at, n)
-            keys.append(np.stack((self.item[row], pos - self.at[row], owner[pos])))
-        item, shift, doc = np.unique(np.concatenate(keys, axis=1), axis=1) if keys else np.zeros((3, 0), np.int64)
-        found = [np.stack((doc[k : k + 4096], item[k : k + 4096]))[:, self._verify(item[k : k + 4096], shift[k : k + 4096], doc[k : k + 4096], ids, owner)] for k in range(0, len(item), 4096)]
-        return sorted({(int(d), self.items[i]) for x in found for d, i in x.T})
-
-    def _verify(self, item: np.ndarray, shift: np.ndarray, doc: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Whether some run of each passage laid at its shift agrees with the document in all but MISREAD words."""
-        j = np.arange(self.table.shape[1])
-        at = shift[:, None] + j
-        inside = (at >= 0) & (at < len(ids)) & (j < self.size[item][:, None])
-        at = np.where(inside, at, 0)
-        inside &= owner[at] == doc[:, None]
-        same = inside & (ids[at] == self.table[item])
-        runs = lambda x: (lambda c: c[:, RUN:] - c[:, :-RUN])(np.concatenate((np.zeros((len(x), 1), np.int64), np.cumsum(x, axis=1)), axis=1))
-        return ((runs(inside) == RUN) & (runs(same) >= RUN - MISREAD)).any(axis=1)
+            ends = np.cumsum(n)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, _CHUNK):  # however many runs share a hash, few are held at once
+                k = np.arange(a, min(a + _CHUNK, int(ends[-1])))
+                own = np.searchsorted(ends, k, "right")
+                run, pos = self.run[lo[own] + k - (ends[own] - n[own])], at[own]
+                same = (self.runs[run] == ids[pos[:, None] + np.arange(RUN)]).sum(1) >= RUN - MISREAD
+                found.append(np.unique(np.stack((owner[pos[same]], run[same])), axis=1))
+        return np.unique(np.concatenate(found, axis=1), axis=1).T if found else np.zeros((0, 2), np.int64)
+
+
+def passage_runs(items: DataFrame) -> DataFrame:
+    """run (the word hashes of RUN words, as bytes), item_id: the runs of all passages; passages without a run give nothing.
+
+    A long passage is cut in pieces that overlap by a run, so no task holds all runs of one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column("item_id"), b.column("passage")):
+                ids = _ids(words(t.as_py()))
+                for k in range(0, max(0, len(ids) - RUN + 1), PIECE):
+                    w = np.unique(_windows(ids[k : k + PIECE + RUN - 1]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in w], type=pa.binary()), pa.array([i.as_py()] * len(w), type=pa.int64())], names=["run", "item_id"])
+
+    return items.select(F.col("item_id").cast("long"), "passage").mapInArrow(run, "run binary, item_id long").distinct()
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Documents with at least one run, some at a time: doc_ids and word hashes."""
+    ids, column = b.column("doc_id").to_pylist(), b.column("text")
+    for k in range(0, len(ids), TOGETHER):
+        texts = [(d, _ids(w)) for d, t in zip(ids[k : k + TOGETHER], column[k : k + TOGETHER]) if len(w := words(t.as_py())) >= RUN]
+        if texts:
+            yield [d for d, _ in texts], [w for _, w in texts]
+
+
+def _pairs(doc: list, run: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, type=pa.int64()), pa.array(run, type=pa.binary())], names=["doc_id", "run"])
+
+
+def _searched(corpus: DataFrame, runs: list[bytes]) -> DataFrame:
+    """doc_id, run of each leak, by an index of one block in every task."""
+    sent = corpus.sparkSession.sparkContext.broadcast(runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        index = SeedIndex(np.frombuffer(b"".join(own), dtype=np.uint64).reshape(-1, RUN))
+        for b in batches:
+            for docs, texts in _texts(b):
+                got = index.search(texts)
+                yield _pairs([docs[d] for d, _ in got], [own[r] for _, r in got])
+
+    return corpus.mapInArrow(run, "doc_id long, run binary")
+
+
+def _joined(corpus: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, run of each leak, by joining hashes: for indexes of any size."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("run").to_pylist()
+            runs_ = np.frombuffer(b"".join(own), dtype=np.uint64).reshape(-1, RUN)
+            for h in seed_hashes(list(runs_.T)):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("run")], names=["h", "run"])
+
+    index = spill(runs.mapInArrow(seeds, "h long, run binary"), "seeds")
+    top = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
+    bits = index.groupBy(F.bitmap_bucket_number(top).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(top)).alias("b"))
+    pieces = {r.k: bytes(r.b) for r in bits.collect()}  # 2^BITMAP_BITS bits at most
+    sent = corpus.sparkSession.sparkContext.broadcast(pieces)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = np.zeros((1 << BITMAP_BITS) // 8 + 8192, dtype=np.uint8)
+        for k, v in sent.value.items():
+            at = 0 if k == 0 else 1 + (k - 1) * len(v)
+            flat[at : at + len(v)] = np.frombuffer(v, dtype=np.uint8)
+        # bit positions count from 1 in all buckets but that of 0
+        held = lambda x: (flat[np.where(x == 0, 0, 1 + (x - 1) // 8)] >> np.where(x == 0, 0, (x - 1) % 8).astype(np.uint8)) & 1
+        for b in batches:
+            for docs, texts in _texts(b):
+                for d, ids in zip(docs, texts):
+                    w = _windows(ids)
+                    for h in seed_hashes(_along(ids)):
+                        at = np.flatnonzero(held((h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)))
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array([d] * len(at), type=pa.int64()), pa.array([w[i].tobytes() for i in at], type=pa.binary())], names=["h", "doc_id", "own"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(-1, RUN) for c in ("own", "run"))
+            ok = pa.array((x == y).sum(1) >= RUN - MISREAD)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(ok), b.column("run").filter(ok)], names=["doc_id", "run"])
+
+    met = corpus.mapInArrow(hits, "h long, doc_id long, own binary").distinct().join(index, "h")
+    return met.select("doc_id", "own", "run").mapInArrow(verify, "doc_id long, run binary").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id of each document with a run of each passage.
 
     ``docs`` has doc_id and text, ``items`` item_id and passage. Null and empty texts hold nothing; passages shorter than
-    a run can't leak. Whole texts are searched; other columns are ignored.
+    a run can't leak. Whole texts are searched; other columns are ignored. More than ``block`` different runs are joined
+    rather than sent out.
     """
-    spark = docs.sparkSession
-    rows = items.filter(F.col("passage").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "passage").distinct()
-    out = None
+    rows = items.filter(F.col("passage").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "passage")
+    of = spill(passage_runs(rows), "runs")
+    runs = of.select("run").distinct()
     corpus = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    parts = max(1, -(-rows.count() // block))
-    for k in range(parts):
-        own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        passages = spark.sparkContext.broadcast([(r.item_id, words(r.passage)) for r in own.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(passages.value)
-            for b in batches:
-                ids, got = b.column("doc_id").to_pylist(), []
-                for k in range(0, len(ids), TOGETHER):
-                    texts = [(doc, w) for doc, t in zip(ids[k : k + TOGETHER], b.column("text")[k : k + TOGETHER]) if len(w := words(t.as_py())) >= RUN]
-                    if texts:
-                        got += [(texts[d][0], i) for d, i in index.search([np.array(_ids(w), dtype=np.uint64) for _, w in texts])]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], type=pa.int64()), pa.array([y for _, y in got], type=pa.int64())], names=["doc_id", "item_id"])
-
-        part = corpus.mapInArrow(run, "doc_id long, item_id long")
-        out = part if out is None else out.union(part)
-    return out
+    few = [bytes(r.run) for r in runs.limit(block + 1).collect()]
+    found = _searched(corpus, few) if len(few) <= block else _joined(corpus, runs)
+    return found.join(of, "run").select("doc_id", "item_id").distinct()

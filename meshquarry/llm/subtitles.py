@@ -14,7 +14,10 @@ _SOUND = re.compile(r"\[[^\[\]\n]{0,80}\]|\([^()\n]{0,80}\)")
 _LABEL = re.compile(r"^([ \t♪#>*-]*)(?:[^\W\d_][\w.'’-]{1,24}(?:[ \t]\d{1,2})?|[A-ZÀ-Þ][A-ZÀ-Þ.' -]{1,24}(?:[ \t]\d{1,2})?):(?=[ \t]|$)", re.M)
 _HIGH = re.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]{2,}")
 _PUNCTUATION = re.compile(r"[^\w\s\ufffd]|_")
-_BEYOND = re.compile(r"[^\x00-\x7f\s]")
+#: Latin letters with marks, what wrong encodings leave of them, and the sign of a lost letter.
+_MARKED = re.compile(r"[\u0080-\u024f\u0300-\u036f\u1e00-\u1eff\ufffd]")
+#: Scripts written without blanks, in which every letter counts as a word.
+_UNSPACED = re.compile(r"([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])")
 _DROP = {i: None for i in range(128) if not chr(i).isalnum() and not chr(i).isspace()}
 
 
@@ -60,12 +63,12 @@ def spoken(text: str | None) -> str:
 def fold(text: str) -> list[str]:
     """Words between blanks, lower case, letters and digits only.
 
-    Every letter beyond ASCII becomes ``*``, as does one lost in a wrong encoding.
+    Every Latin letter with a mark becomes ``*``, as does one lost in a wrong encoding; letters of other scripts stay.
     """
     t = text.lower()
     if not t.isascii():
-        t = _BEYOND.sub("*", _PUNCTUATION.sub("", unicodedata.normalize("NFC", t)))
-        return t.split()
+        t = _MARKED.sub("*", _PUNCTUATION.sub("", unicodedata.normalize("NFC", t)))
+        return _UNSPACED.sub(r" \1 ", t).split()
     return t.translate(_DROP).split()
 
 

@@ -269,6 +269,24 @@ def test_leaks_equal_brute_force(spark, seed):
     assert LE.leaks(d.limit(0), i).count() == 0 and LE.leaks(d, i.limit(0)).count() == 0
 
 
+def test_a_long_passage_among_many(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(100_000)]
+    items = [(0, " ".join(long))] + [(i, " ".join(f"p{i}x{k}" for k in range(18))) for i in range(1, 20_000)]
+    docs = [(1, "x y " + " ".join(long[70_000:70_016])), (2, " ".join(long[50:65])), (3, " ".join(f"p777x{k}" for k in range(1, 17))), (4, " ".join(long[4080:4120]).replace(long[4090], "q"))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string").repartition(8)
+    for block in (LE.BLOCK, 1000):
+        assert {(r.doc_id, r.item_id) for r in LE.leaks(d, i, block).collect()} == {(1, 0), (3, 777), (4, 0)}
+
+
+def test_letters_of_other_scripts_count(spark):
+    a = "мама мыла раму утром рано пока папа спал дома один весь долгий зимний день без своих забот".split()
+    b = ["".join(chr(ord("а") + (ord(c) * 7 + k) % 32) for c in w) for k, w in enumerate(a)]  # words of the same lengths
+    items = spark.createDataFrame([(1, " ".join(a)), (2, "我们昨天在山上看到一只白色的小狐狸")], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, " ".join(a).upper()), (2, " ".join(b)), (3, "他说我们昨天在山上看到一只白色的小狐狸了"), (4, "你们今天在海边吃了三个红色的大苹果吧")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in LE.leaks(docs, items).collect()} == {(1, 1), (3, 2)}
+
+
 def test_masks_lose_nothing():
     m = LE.masks()
     for bad in combinations(range(LE.RUN), LE.MISREAD):
