@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Side size up to which a join side may be broadcast (bytes, from Spark's own statistics).
 BROADCAST_BYTES = 1 << 20
+#: Rows per bucket below which a bucketed table gets fewer buckets.
+BUCKET_ROWS = 200_000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -53,10 +55,28 @@ def spill(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def spill_bucketed(df: DataFrame, by: str, rows: int, name: str = "t") -> DataFrame:
+    """Like :func:`spill`, but hash-partitioned and sorted by ``by``: later joins and groups on it need no shuffle of this side.
+
+    One file per bucket; as many buckets as shuffle partitions, fewer for few ``rows``.
+    """
+    spark = df.sparkSession
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS)))
+    label = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meshquarry/{label}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).format("parquet").saveAsTable(label)
+    _written.append((spark, path))
+    out = spark.table(label)
+    out._spilled, out._table = path, label
+    return out
+
+
 def release(*dfs: DataFrame) -> None:
     """Remove the files of spilled tables that no later step reads (rounds of a loop); anything else is left alone."""
     for df in dfs:
         if path := getattr(df, "_spilled", None):
+            if name := getattr(df, "_table", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
             _delete(df.sparkSession, path)
             _written[:] = [w for w in _written if w[1] != path]
 
