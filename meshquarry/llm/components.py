@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions.text import author_key, name_key, squeeze
-from meshquarry.session import maybe_broadcast, salted_join, spill
+from meshquarry.session import maybe_broadcast, release, salted_join, spill, spill_bucketed
 
 #: A group of more than this share of all rows is hot; there are at most 1 / HOT of them.
 HOT = 1 / 1000
@@ -27,16 +27,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges with a null end and loops are left out.
     """
-    e = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
+    e = spill(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b"), "edges")
     levels = []
     for _ in range(MAX_LEVELS):
-        adj = spill(e.union(e.select("b", "a")).distinct(), "adj")
-        if adj.isEmpty():
+        n = 2 * e.count()
+        if not n:
             break
+        adj = spill_bucketed(e.union(e.select("b", "a")).distinct(), "a", n, "adj")
         label = _label(adj)
         levels.append(label)
         la, lb = label.select(F.col("v").alias("a"), F.col("l").alias("la")), label.select(F.col("v").alias("b"), F.col("l").alias("lb"))
-        e = adj.filter(F.col("a") < F.col("b")).join(la, "a").join(lb, "b").filter(F.col("la") != F.col("lb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        up = spill(adj.filter(F.col("a") < F.col("b")).join(la, "a").join(lb, "b").filter(F.col("la") != F.col("lb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
+        release(e, adj)
+        e = up
     else:
         raise RuntimeError("components did not converge")
     if not levels:
@@ -53,14 +56,15 @@ def _label(adj: DataFrame) -> DataFrame:
     """v, l: each vertex with the seed whose frontier reaches it first (the least of those that do at once).
 
     A vertex whose hash is below those of all its neighbours is a seed; since every vertex has a neighbour, at most half
-    of the vertices are, and every other vertex is reached from a seed in a few rounds.
+    of the vertices are, and every other vertex is reached from a seed in a few rounds. ``adj`` is partitioned by its
+    vertex a, so a round shuffles the frontier and what it reaches, never the adjacency.
     """
     h = lambda c: F.struct(F.xxhash64(c), F.col(c))
     least = adj.groupBy(F.col("a").alias("v")).agg(F.min(h("b")).alias("m"))
     seeds = least.filter(h("v") < F.col("m")).select("v", F.col("v").alias("l"))
     visited = frontier = spill(seeds, "seen")
     while True:
-        reach = frontier.join(adj, frontier.v == adj.a).groupBy(F.col("b").alias("v")).agg(F.min("l").alias("l"))
+        reach = adj.join(frontier.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("l").alias("l"))
         frontier = spill(reach.join(visited, "v", "left_anti"), "front")
         if frontier.isEmpty():
             return visited
@@ -87,8 +91,9 @@ def hub_edges(rows: DataFrame, member: str, group: str) -> DataFrame:
 
 
 def _names(c: Column) -> Column:
-    """Mesh keys named in one gate row: one name or several in a list of any form."""
-    parts = F.split(F.regexp_replace(c, r'[\[\]"]', ""), r"\s*(?:[|,;&]|\s\+\s|\s+and\s+)\s*")
+    """Mesh keys named in one gate row: one name or several in a list of any form, JSON (with its escapes) included."""
+    plain = F.split(F.regexp_replace(c, r'[\[\]"]', ""), r"\s*(?:[|,;&]|\s\+\s|\s+and\s+)\s*")
+    parts = F.coalesce(F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")), plain)
     return F.array_distinct(F.filter(F.transform(parts, name_key), lambda x: x != ""))
 
 
@@ -116,7 +121,7 @@ def mesh_edges(meshes: DataFrame, gate_rows: DataFrame, evaluations: DataFrame)
     paths = evaluations.select(F.array_distinct(F.filter(F.array(own, *(_path_names(F.col(c)) for c in ("mesh_path", "surface_path", "bbox_path"))), lambda x: x.isNotNull() & (x != ""))).alias("names"))
     # few rows name more than one mesh; the others never leave the scan
     rows = several.union(paths).filter(F.size("names") > 1).distinct().select(F.explode("names").alias("key"), F.xxhash64("names").alias("row"), F.to_json("names").alias("id"))
-    named = rows.join(maybe_broadcast(known), "key").select("mesh_no", "id")
+    named = spill(rows.join(maybe_broadcast(known), "key").select("mesh_no", "id"), "named")  # few rows; read three times
     return parent.union(prefix).union(hub_edges(named, "mesh_no", "id")).union(same)
 
 
@@ -128,12 +133,22 @@ def mesh_components(meshes: DataFrame, gate_rows: DataFrame, evaluations: DataFr
     return meshes.filter(F.col("mesh_no").isNotNull()).select("mesh_no").join(c, "mesh_no", "left").withColumn("component", F.coalesce("component", "mesh_no"))
 
 
+#: Members of a component that meet the others in one task when pairs are wanted.
+SLOT = 256
+
+
 def tied_pairs(member: DataFrame) -> DataFrame:
-    """mesh_no_a < mesh_no_b of one component, from (mesh_no, component) of components of two or more."""
+    """mesh_no_a < mesh_no_b of one component, from (mesh_no, component).
+
+    The result has every pair, so it grows with the square of a component; (mesh_no, component) says the same in one row per
+    mesh. A large component is cut into slots by hash: each member meets one slot of the others per task.
+    """
     c = spill(member, "member")
-    big = c.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("component")
-    c = spill(c.join(big, "component"), "tied")
-    return c.select("component", F.col("mesh_no").alias("mesh_no_a")).join(c.select("component", F.col("mesh_no").alias("mesh_no_b")), "component").filter(F.col("mesh_no_a") < F.col("mesh_no_b")).select("mesh_no_a", "mesh_no_b")
+    big = c.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("component", F.ceil(F.col("n") / SLOT).alias("slots"))
+    c = spill(salted_join(c, big, "component", F.col("mesh_no"), how="inner"), "tied")
+    left = c.select("component", F.col("mesh_no").alias("mesh_no_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
+    right = c.select("component", F.col("mesh_no").alias("mesh_no_b"), F.pmod(F.xxhash64("mesh_no"), F.col("slots")).alias("slot"))
+    return left.join(right, ["component", "slot"]).filter(F.col("mesh_no_a") < F.col("mesh_no_b")).select("mesh_no_a", "mesh_no_b")
 
 
 def assign_splits(weights: DataFrame, targets: list[tuple[str, float]], seed: int = 3, buckets: int = 4096) -> DataFrame:

@@ -28,6 +28,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.tied_pairs(components.mesh_components(*_tables(spark, sf_dir)))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per mesh with the least mesh_no of those it is tied to: what p2_found says in pairs."""
+    return components.mesh_components(*_tables(spark, sf_dir))
+
+
 def p2_record_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.record_splits(*_tables(spark, sf_dir), table(spark, sf_dir, "split_target"))
 
@@ -113,7 +118,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "source", F.round("page_score", 6).alias("page_score"), F.round("host_rate", 6).alias("host_rate"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_record_splits, p3_found, p3_cutoffs, p4_daily_histograms, p4_percentiles, p4_merged_from_days, p4_signed_changes, p7_found, p7_report, p7_sample, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p2_members, p2_record_splits, p3_found, p3_cutoffs, p4_daily_histograms, p4_percentiles, p4_merged_from_days, p4_signed_changes, p7_found, p7_report, p7_sample, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_scores)}
 
 
 def _key(c: str) -> str:
@@ -126,7 +131,7 @@ _CAT = f"nullif(nullif(regexp_replace({_key('category')}, '^shapenet', ''), ''),
 _TIED = f"""
 WITH RECURSIVE m AS (SELECT mesh_no, lower(trim(mesh_id)) AS mesh_id, {_key("mesh_id")} AS k, {_key("derived_from")} AS parent,
   CASE WHEN regexp_replace(lower(author), '[^\\pL\\pN]+', '', 'g') NOT IN ('', 'na', 'none', 'unknown', 'anonymous', 'null', 'nobody', 'anon') THEN regexp_replace(lower(author), '[^\\pL\\pN]+', '', 'g') END AS au FROM mesh_model),
-gn AS (SELECT gate_id, {_key("unnest(string_split_regex(regexp_replace(mesh_id, '[\\[\\]\"]', '', 'g'), '[|,;]| [+] '))")} AS k FROM gate_row),
+gn AS (SELECT gate_id, {_key("unnest(CASE WHEN trim(mesh_id)[1] = '[' THEN json_extract_string(mesh_id, '$[*]') ELSE string_split_regex(mesh_id, '[|,;]| [+] ') END)")} AS k FROM gate_row),
 en AS (SELECT eval_id, {_key("mesh_id")} AS k, {_key("mesh_path[:-length(string_split(mesh_path, '/')[-1]) - 2]")} AS k1, {_key("surface_path[:-length(string_split(surface_path, '/')[-1]) - 2]")} AS k2, {_key("bbox_path[:-length(string_split(bbox_path, '/')[-1]) - 2]")} AS k3 FROM evaluation_record),
 e AS (SELECT a.mesh_no AS x, b.mesh_no AS y FROM m a JOIN m b ON a.au = b.au
   UNION SELECT a.mesh_no, b.mesh_no FROM m a JOIN m b ON a.parent = b.k
@@ -135,7 +140,6 @@ e AS (SELECT a.mesh_no AS x, b.mesh_no AS y FROM m a JOIN m b ON a.au = b.au
   UNION SELECT a.mesh_no, b.mesh_no FROM en JOIN m a ON en.k = a.k JOIN m b ON b.k IN (en.k1, en.k2, en.k3)),
 s AS (SELECT DISTINCT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y),
 r AS (SELECT x, y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x)
-SELECT DISTINCT x AS mesh_no_a, y AS mesh_no_b FROM r WHERE x < y
 """
 
 _G = math.log((1 + percentiles.ALPHA) / (1 - percentiles.ALPHA))
@@ -197,7 +201,8 @@ SELECT category, target_share, min_rows, wanted, available, least(wanted, availa
 WITH r AS (SELECT record_id, coalesce({_key("stage")}, '') AS s, coalesce({_key("mesh_id")}, '') AS m, coalesce({_OK.format("status")}, false) AS ok,
   CASE WHEN finished_at > 0 AND NOT isnan(finished_at) THEN CASE WHEN finished_at < 1e11 THEN finished_at WHEN finished_at < 1e14 THEN finished_at / 1e3 ELSE finished_at / 1e6 END END AS t FROM stage_record)
 SELECT record_id FROM r QUALIFY row_number() OVER (PARTITION BY s, m ORDER BY ok DESC, t DESC NULLS LAST, record_id DESC) > 1""",
-    "p2_found": _TIED,
+    "p2_found": _TIED + "SELECT DISTINCT x AS mesh_no_a, y AS mesh_no_b FROM r WHERE x < y",
+    "p2_members": _TIED + "SELECT m.mesh_no, least(m.mesh_no, coalesce(min(y), m.mesh_no)) AS component FROM m LEFT JOIN r ON m.mesh_no = r.x GROUP BY 1",
     "p3_found": f"""
 WITH l AS (SELECT state_id, max_by(score, scored_at) AS score, max_by(source, scored_at) AS source FROM (SELECT state_id, coalesce(score, 'nan'::DOUBLE) AS score, source, scored_at FROM gate_score) GROUP BY 1),
 c AS (SELECT state_id, score, {_key("source")} AS s FROM l WHERE isfinite(score)),
