@@ -142,23 +142,18 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray]]]:
             yield [d for d, _ in texts], [w for _, w in texts]
 
 
-def _pairs(doc: list, run: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, type=pa.int64()), pa.array(run, type=pa.binary())], names=["doc_id", "run"])
-
-
 def _searched(corpus: DataFrame, runs: list[bytes]) -> DataFrame:
-    """doc_id, run of each leak, by an index of one block in every task."""
-    sent = corpus.sparkSession.sparkContext.broadcast(runs)
+    """doc_id, n (the place of the run in ``runs``) of each leak, by an index of one block in every task."""
+    sent = corpus.sparkSession.sparkContext.broadcast(b"".join(runs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        index = SeedIndex(np.frombuffer(b"".join(own), dtype=np.uint64).reshape(-1, RUN))
+        index = SeedIndex(np.frombuffer(sent.value, dtype=np.uint64).reshape(-1, RUN))
         for b in batches:
             for docs, texts in _texts(b):
                 got = index.search(texts)
-                yield _pairs([docs[d] for d, _ in got], [own[r] for _, r in got])
+                yield pa.RecordBatch.from_arrays([pa.array([docs[d] for d, _ in got], type=pa.int64()), pa.array(got[:, 1].astype(np.int64))], names=["doc_id", "n"])
 
-    return corpus.mapInArrow(run, "doc_id long, run binary")
+    return corpus.mapInArrow(run, "doc_id long, n long")
 
 
 def _joined(corpus: DataFrame, runs: DataFrame) -> DataFrame:
@@ -215,5 +210,7 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     runs = of.select("run").distinct()
     corpus = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     few = [bytes(r.run) for r in runs.limit(block + 1).collect()]
-    found = _searched(corpus, few) if len(few) <= block else _joined(corpus, runs)
-    return found.join(of, "run").select("doc_id", "item_id").distinct()
+    if len(few) > block:
+        return _joined(corpus, runs).join(of, "run").select("doc_id", "item_id").distinct()
+    numbered = docs.sparkSession.createDataFrame([(bytearray(r), n) for n, r in enumerate(few)], "run binary, n long")
+    return _searched(corpus, few).join(of.join(numbered, "run").select("n", "item_id"), "n").select("doc_id", "item_id").distinct()
