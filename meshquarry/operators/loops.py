@@ -142,51 +142,6 @@ def greedy_merge(parts: DataFrame, adjacency: DataFrame, mesh: str, pid: str, sh
     return out.select(mesh, pid, F.coalesce("new", pid).alias("into"), F.coalesce("rounds", F.lit(0)).alias("rounds"))
 
 
-#: Rounds after which a refinement without ``steps`` gives up (the largest max_step of the reference's configurations).
-MOST_ROUNDS = 2000
-
-
-def greedy_refine(points: DataFrame, boxes: DataFrame, mesh: str, shape: Column, s: int, unit: float, steps: int | None = None, penalty: float = 100.0, rate: float = 1.0, stop: str = "positive") -> DataFrame:
-    """mesh, bbox_idx, bounds, score, steps: each round every mesh applies the edit of the highest proxy reward, until none gains.
-
-    ``stop`` says what an edit must beat: ``positive`` a reward of 0, ``bound`` the reward of the full coverage of no edit
-    (an edit must then win more than the coverage still missing). Boxes are edited at most ``steps`` times; without it
-    rounds go on until no mesh gains, and a mesh that gains after ``MOST_ROUNDS`` is an error. Once half of the meshes
-    no longer gain they are set aside with their points.
-    """
-    now = spill(boxes.withColumn("_shape", shape).select(mesh, "bbox_idx", *B.BOUNDS, "_shape").withColumn("_last", F.lit(None).cast("double")).withColumn("_steps", F.lit(0)), "refine")
-    cov = S.covered(points, now, mesh).groupBy(mesh).agg((F.sum(F.when(F.col("n_boxes") > 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("_cov"))
-    bvs = now.groupBy(mesh).agg((F.sum(B.volume(B.box())) / F.max("_shape")).alias("_bvs"))
-    first = cov.join(bvs, mesh).select(mesh, B.score(F.col("_bvs"), F.col("_cov"), penalty, rate).alias("_last"))
-    now = spill(now.drop("_last").join(first, mesh), "refine")
-    done, live = [], now.select(mesh).distinct().count()
-    for i in range((MOST_ROUNDS if steps is None else steps) + 1):
-        if i == steps:
-            break
-        r = S.proxy_rewards(points, now, mesh, s, unit, F.col("_shape"), F.col("_last"), penalty, rate)
-        best = r.groupBy(mesh).agg(F.max(F.struct(F.round("reward", 9).alias("gain"), (-F.col("action")).alias("a"), "bbox_idx", "coord_idx", "scale_idx", "reward")).alias("b"))
-        least = now.groupBy(mesh).agg(F.max(-F.abs(F.lit(1.0) - 1) - F.col("_last")).alias("_full"))
-        bar = F.lit(0.0) if stop == "positive" else F.greatest(F.lit(0.0), F.col("_full"))
-        won = spill(best.join(least, mesh).filter(F.col("b.gain") > bar).select(mesh, "b.*"), "won")
-        gaining = won.count()
-        if not gaining:
-            break
-        if i == MOST_ROUNDS and steps is None:
-            raise RuntimeError(f"{gaining} meshes still gain after {MOST_ROUNDS} rounds")
-        if 2 * gaining <= live:
-            done.append(now.join(won.select(mesh), mesh, "left_anti"))
-            now, live = now.join(won.select(mesh), mesh, "left_semi"), gaining
-            points = spill(points.select(mesh, *B.AXES, "weight").join(won.select(mesh), mesh, "left_semi"), "points")
-        w = won.select(mesh, "reward", F.col("bbox_idx").alias("_k"), F.col("coord_idx").alias("_c"), (B.step(F.col("scale_idx"), s) * unit).alias("_d"))
-        j = now.join(w, mesh, "left")
-        hit = F.col("_k") == F.col("bbox_idx")
-        edited = B.apply_edit(B.box(), F.when(hit, F.col("_c")).otherwise(6), F.col("_d"))
-        now = spill(j.select(mesh, "bbox_idx", *(F.coalesce(e, F.col(c)).alias(c) for c, e in zip(B.BOUNDS, edited)), "_shape", (F.col("_last") + F.coalesce("reward", F.lit(0.0))).alias("_last"), (F.col("_steps") + F.when(F.col("reward").isNotNull(), 1).otherwise(0)).alias("_steps")), "refine")
-    for d in done:
-        now = now.unionByName(d)
-    return now.select(mesh, "bbox_idx", *B.BOUNDS, F.col("_last").alias("score"), F.col("_steps").alias("steps"))
-
-
 def coverage_scale(points: DataFrame, boxes: DataFrame, mesh: str, target: float) -> DataFrame:
     """mesh, scale: the least factor by which all boxes of a mesh grow about their centres until ``target`` of its weight is covered.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
 from meshquarry.operators import loops as L
+from meshquarry.operators import refine as R
 from meshquarry.operators import spatial as S
 from meshquarry.plans import frames as D
 from meshquarry.plans.geometry import _CUT, _VOL
@@ -49,12 +50,29 @@ def segment_merge(spark: S_, d: str) -> DataFrame:
     return L.greedy_merge(boxes, adj, "mesh", "pid", shape, eps=0.05)
 
 
-def box_refinement(spark: S_, d: str) -> DataFrame:
-    """The best edit per mesh, again and again until none gains."""
+def _refined(spark: S_, d: str, **how: object) -> DataFrame:
     b = D.indexed_boxes(spark, d)
     shape = b.groupBy("mesh").agg((F.sum(B.volume(B.box())) * 0.9).alias("shape")).filter(F.col("shape") > 0)
-    r = L.greedy_refine(D.points(spark, d), b.join(shape, "mesh"), "mesh", F.col("shape"), 2, 1.0)
-    return r.select("mesh", "bbox_idx", *(F.round(c, 6).alias(c) for c in B.BOUNDS), F.round("score", 5).alias("score"), "steps")
+    return R.greedy_refine(D.points(spark, d), b.join(shape, "mesh"), "mesh", F.col("shape"), 2, 1.0, **how)
+
+
+def box_refinement(spark: S_, d: str) -> DataFrame:
+    """The best edit per mesh, again and again until none gains."""
+    return _refined(spark, d).select("mesh", "bbox_idx", *(F.round(c, 6).alias(c) for c in B.BOUNDS), F.round("score", 5).alias("score"), "steps")
+
+
+def box_rollout(spark: S_, d: str) -> DataFrame:
+    """The same for sixteen edits with a mask: a box whose best edit loses leaves the search."""
+    r = _refined(spark, d, steps=16, masked=True)
+    return r.select("mesh", "bbox_idx", *(F.round(c, 6).alias(c) for c in B.BOUNDS), F.round("score", 5).alias("score"), "steps", "open")
+
+
+def recentred_boxes(spark: S_, d: str) -> DataFrame:
+    """Each box turned and moved to the principal frame of the points in it."""
+    b = D.indexed_boxes(spark, d).withColumn("rotation", F.array(*(F.lit(float(i % 4 == 0)) for i in range(9))))
+    p = D.points(spark, d).select("mesh", *B.AXES, *(F.col(a).alias(f"in_{a}") for a in B.AXES))
+    r = R.recentred(p, b, "mesh")
+    return r.select("mesh", "bbox_idx", *(F.round(c, 5).alias(c) for c in B.BOUNDS), "moved")
 
 
 def coverage_calibration(spark: S_, d: str) -> DataFrame:
@@ -68,7 +86,7 @@ def principal_frames(spark: S_, d: str) -> DataFrame:
     return f.select("mesh", "n", *(F.round(F.col("variances")[i], 5).alias(f"var_{i}") for i in range(3)), *(F.round(F.col("frame")[i], 5).alias(f"axis_{i}") for i in range(3)))
 
 
-QUERIES = {f.__name__: f for f in (tet_components, box_suppression, farthest_items, segment_merge, box_refinement, coverage_calibration, principal_frames)}
+QUERIES = {f.__name__: f for f in (tet_components, box_suppression, farthest_items, segment_merge, box_refinement, box_rollout, recentred_boxes, coverage_calibration, principal_frames)}
 
 _NEED = "greatest(abs(x - (b.min_x + b.max_x) / 2) / ((b.max_x - b.min_x) / 2), abs(y - (b.min_y + b.max_y) / 2) / ((b.max_y - b.min_y) / 2), abs(z - (b.min_z + b.max_z) / 2) / ((b.max_z - b.min_z) / 2))"
 _FAR = "(a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
 from meshquarry.operators import drift as D
+from meshquarry.operators import refine as R
 from meshquarry.operators import loops as L
 from meshquarry.operators import manifest as M
 from meshquarry.operators import selection as S
@@ -95,12 +96,50 @@ def test_greedy_merge(spark):
 def test_refine_never_worse(spark):
     p = spark.createDataFrame([(1, float(x), float(y), 0.5, 1.0) for x in range(4) for y in range(3)], "mesh long, x double, y double, z double, weight double")
     b = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0, 0.0, 2.0, 2.0, 1.0)], BOX)
-    r = L.greedy_refine(p, b, "mesh", F.lit(6.0), 2, 1.0, 5).first()
+    r = R.greedy_refine(p, b, "mesh", F.lit(6.0), 2, 1.0, 5).first()
     assert r.max_x == 3.0 and r.score == pytest.approx(0.0) and r.steps == 1
-    s = L.greedy_refine(p, b, "mesh", F.lit(6.0), 2, 1.0, 5, stop="bound").first()
+    s = R.greedy_refine(p, b, "mesh", F.lit(6.0), 2, 1.0, 5, stop="bound").first()
     assert s.score <= r.score
 
 
+def test_refine_bound_counts_the_missing_coverage(spark):
+    # a box four times too large that covers little: full coverage without an edit would gain 0.45 * penalty, an edit gains more
+    p = spark.createDataFrame([(1, 0.5, 0.5, 0.5, 0.55), (1, 4.5, 0.5, 0.5, 0.45)], "mesh long, x double, y double, z double, weight double")
+    b = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0, 0.0, 4.0, 1.0, 1.0)], BOX)
+    for together in (0, 100):
+        r = R.greedy_refine(p, b, "mesh", F.lit(1.0), 2, 1.0, 1, penalty=1.0, stop="bound", together=together).first()
+        assert r.steps == 1 and r.max_x == 3.0 and r.score == pytest.approx(-2.45)
+
+
+@pytest.mark.parametrize("how", [{}, {"steps": 3}, {"stop": "bound"}, {"masked": True}, {"masked": True, "steps": 2}])
+def test_small_and_large_meshes_are_refined_alike(spark, how):
+    rnd = random.Random(5)
+    pts = [(m, *(rnd.randint(0, 9) / 2 for _ in range(3)), rnd.randint(0, 3) / 2) for m in range(6) for _ in range(rnd.randint(1, 40))]
+    boxes = []
+    for m in range(6):
+        for k in (0, 2, 3)[: rnd.randint(1, 3)]:
+            lo = [rnd.randint(0, 4) / 2 for _ in range(3)]
+            boxes.append((m, k, 1.0, *lo, *(x + rnd.randint(1, 5) / 2 for x in lo)))
+    p, b = spark.createDataFrame(pts, "mesh long, x double, y double, z double, weight double"), spark.createDataFrame(boxes, BOX)
+    got = [sorted((r.mesh, r.bbox_idx, *(round(r[c], 6) for c in B.BOUNDS), round(r.score, 6), r.steps, r.open) for r in R.greedy_refine(p, b, "mesh", F.lit(9.0), 2, 0.5, together=t, penalty=4.0, **how).collect()) for t in (1000, 0)]
+    assert got[0] == got[1] and len(got[0]) == len(boxes) and (how.get("stop") == "bound" or any(r[9] for r in got[0]))
+
+
+def test_recentred(spark):
+    rnd = np.random.default_rng(1)
+    a = 0.4
+    turn = np.array([[math.cos(a), math.sin(a), 0], [-math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    x = (rnd.uniform(-1, 1, (400, 3)) * [3, 1, 0.3]) @ turn + [5, 5, 5]
+    p = spark.createDataFrame([(1, *map(float, r), *map(float, r)) for r in x] + [(2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "mesh long, x double, y double, z double, in_x double, in_y double, in_z double")
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    b = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0, 0.0, 10.0, 9.0, 8.0, eye), (2, 0, 1.0, -1.0, -1.0, -1.0, 1.0, 1.0, 1.0, eye)], BOX + ", rotation array<double>")
+    r = {r.mesh: r for r in R.recentred(p, b, "mesh").collect()}
+    f = np.reshape(r[1].rotation, (3, 3))
+    mid = [(r[1][lo] + r[1][hi]) / 2 for lo, hi in zip(B.LOWS, B.HIGHS)]
+    assert abs(f[0] @ turn[0]) > 0.999 and np.linalg.det(f) == pytest.approx(1) and r[1].moved and not r[2].moved
+    assert f.T @ mid == pytest.approx([5, 5, 5], abs=0.1) and [round(r[1][hi] - r[1][lo], 9) for lo, hi in zip(B.LOWS, B.HIGHS)] == [10, 9, 8]
+
+
 def test_principal_frames(spark):
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(50, 3)) * [3, 1, 0.2]
