@@ -68,11 +68,11 @@ def contains_proposal(v: Column, p: Sequence[Column], tol: float = 1e-9) -> Colu
 
     The 24-number form is tested by the bounds of its corners. Other lengths give null.
     """
-    six = reduce(lambda x, y: x & y, [F.abs(p[i] - v[i]) <= v[i + 3] / 2 + tol for i in range(3)])
+    six = reduce(lambda x, y: x & y, [F.abs(p[i] - v[i]) <= F.greatest(v[i + 3], F.lit(1e-6)) / 2 + tol for i in range(3)])
     def along(k: int) -> Column:
         h = [v[3 + 3 * k + i] for i in range(3)]
-        n2 = total([c * c for c in h])
-        return F.abs(total([(p[i] - v[i]) * h[i] for i in range(3)])) <= n2 + tol
+        n = F.greatest(F.sqrt(total([c * c for c in h])), F.lit(1e-9))
+        return F.abs(total([(p[i] - v[i]) * h[i] for i in range(3)])) / n <= n + tol
     twelve = along(0) & along(1) & along(2)
     corner = [F.array(*(v[3 * k + i] for k in range(8))) for i in range(3)]
     many = reduce(lambda x, y: x & y, [(p[i] >= F.array_min(corner[i]) - tol) & (p[i] <= F.array_max(corner[i]) + tol) for i in range(3)])
@@ -91,6 +91,24 @@ def proposal_volume(v: Column) -> Column:
     )
 
 
+def as_proposal(b: Box, form: int) -> Column:
+    """A box as an array of 6, 12 or 24 numbers (see :func:`contains_proposal`)."""
+    mid, size = [(b[i] + b[i + 3]) / 2 for i in range(3)], [b[i + 3] - b[i] for i in range(3)]
+    if form == 6:
+        return F.array(*mid, *size)
+    if form == 12:
+        return F.array(*mid, *(size[i] / 2 if i == k else F.lit(0.0) for k in range(3) for i in range(3)))
+    return F.array(*(b[i + 3 * (k >> i & 1)] for k in range(8) for i in range(3)))
+
+
+def scaled_proposal(v: Column, s: float) -> Column:
+    """A proposal box of any form scaled about its centre (the mean of the corners); scales below 1e-6 count as that."""
+    k = max(float(s), 1e-6)
+    mean = [total([v[3 * k_ + i] for k_ in range(8)]) / 8 for i in range(3)]
+    many = F.transform(v, lambda x, j: (lambda m: m + (x - m) * k)(F.array(*mean)[j % 3]))
+    return F.when(F.size(v) == 24, many).otherwise(F.transform(v, lambda x, j: F.when(j < 3, x).otherwise(x * k)))
+
+
 def corners(b: Box) -> Column:
     """The eight corners as an array of structs (x, y, z); bit k of the position picks max on axis k."""
     return F.array(*(F.struct(*(b[i + 3 * (k >> i & 1)].alias(a) for i, a in enumerate(AXES))) for k in range(8)))

@@ -25,19 +25,21 @@ def components(edges: DataFrame, mesh: str) -> DataFrame:
 
     ``edges`` has mesh, src, dst (longs); they count both ways.
     """
-    e = spill(edges.select(mesh, "src", "dst").union(edges.select(mesh, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    label = e.groupBy(mesh, F.col("src").alias("v")).agg(F.least(F.min("dst"), F.min("src")).alias("l"))
+    k = F.col(mesh).alias("_k")
+    e = spill(edges.select(k, "src", "dst").union(edges.select(k, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    label = e.groupBy("_k", F.col("src").alias("v")).agg(F.least(F.min("dst"), F.min("src")).alias("l"))
     label = spill(label, "label")
     while True:
-        near = e.join(label.select(mesh, F.col("v").alias("dst"), "l"), [mesh, "dst"]).groupBy(mesh, F.col("src").alias("v")).agg(F.min("l").alias("n"))
-        step = label.join(near, [mesh, "v"]).withColumn("m", F.least("l", "n"))
-        jump = step.select(mesh, F.col("v").alias("m"), F.col("m").alias("j"))
-        new = step.join(jump, [mesh, "m"], "left").select(mesh, "v", F.least("m", F.coalesce("j", "m")).alias("l2"), "l")
+        near = e.join(label.select("_k", F.col("v").alias("dst"), "l"), ["_k", "dst"]).groupBy("_k", F.col("src").alias("v")).agg(F.min("l").alias("n"))
+        step = label.join(near, ["_k", "v"]).withColumn("to", F.least("l", "n"))
+        jump = step.select("_k", F.col("v").alias("to"), F.col("to").alias("far"))
+        new = step.join(jump, ["_k", "to"], "left").select("_k", "v", F.least("to", F.coalesce("far", "to")).alias("l2"), "l")
         new = spill(new, "label")
         release(label)
         if new.filter(F.col("l2") != F.col("l")).isEmpty():
-            return new.select(mesh, "v", F.col("l2").alias("component"))
-        label = new.select(mesh, "v", F.col("l2").alias("l"))
+            release(e)
+            return new.select(F.col("_k").alias(mesh), "v", F.col("l2").alias("component"))
+        label = new.select("_k", "v", F.col("l2").alias("l"))
         label._spilled = new._spilled
 
 
