@@ -142,11 +142,11 @@ SELECT mesh, bbox_idx, round(coalesce(pre, 0), 6) AS before, round(rest, 6) AS o
     + """, x AS (SELECT *, CASE WHEN v < 1000 THEN 'small' WHEN v < 10000 THEN 'middle' ELSE 'large' END AS size, CASE WHEN coord_idx = 6 THEN 'recenter' WHEN (coord_idx < 3) = (delta < 0) THEN 'expand' ELSE 'shrink' END AS role, max_x - min_x AS s0, max_y - min_y AS s1, max_z - min_z AS s2 FROM e),
 r AS (SELECT *, CASE WHEN s0 >= greatest(s0, s1, s2) - 1e-9 THEN 0 WHEN s1 >= greatest(s0, s1, s2) - 1e-9 THEN 1 ELSE 2 END AS major, CASE WHEN s0 <= least(s0, s1, s2) + 1e-9 THEN 0 WHEN s1 <= least(s0, s1, s2) + 1e-9 THEN 1 ELSE 2 END AS minor FROM x)
 SELECT size, role, count(*) AS n, count(*) FILTER (WHERE coord_idx < 6 AND coord_idx % 3 = major) AS major, count(*) FILTER (WHERE coord_idx < 6 AND coord_idx % 3 = minor) AS minor, count(*) FILTER (WHERE a0 < b0 AND a1 < b1 AND a2 < b2) AS valid FROM r GROUP BY 1, 2""",
-    "readiness": f"""WITH h AS (SELECT {_K.format('mesh_id')} AS mesh, list(DISTINCT {_K.format('stage')}) AS have FROM stage_record WHERE lower(trim(status)) = 'success' GROUP BY 1), l AS (SELECT array_to_string(list_filter(['normalize', 'tetra', 'merge', 'refine'], lambda n: NOT list_contains(have, n)), ',') AS lacking FROM h)
+    "readiness": f"""WITH h AS (SELECT {_K.format('mesh_id')} AS mesh, list(DISTINCT {_K.format('stage')}) FILTER (WHERE regexp_replace(lower(status), '[^\\pL\\pN]+', '', 'g') IN ('success','succeeded','successful','succeed','ok','okay','done','passed','pass','complete','completed','finished')) AS have FROM stage_record GROUP BY 1), l AS (SELECT array_to_string(list_filter(['normalize', 'tetra', 'merge', 'refine'], lambda n: NOT list_contains(coalesce(have, []), n)), ',') AS lacking FROM h)
 SELECT lacking, count(*) AS meshes, lacking = '' AS ready FROM l GROUP BY 1""",
     "retry_plan": f"""WITH r AS (SELECT {_K.format('stage')} AS stage, {_K.format('mesh_id')} AS mesh, {_FC} AS fc, record_id FROM stage_record), g AS (SELECT stage, mesh, count(fc) AS failed, arg_max(fc, record_id) AS last, arg_max(coalesce(fc, '-'), record_id) AS newest FROM r GROUP BY 1, 2),
 m AS (SELECT *, CASE newest WHEN 'timeout' THEN 'longer' WHEN 'killed' THEN 'smaller' WHEN 'memory' THEN 'smaller' WHEN 'exit_code' THEN 'same' WHEN 'unknown' THEN 'same' WHEN 'no_message' THEN 'same' ELSE 'none' END AS variant, CASE newest WHEN 'timeout' THEN 2 WHEN 'memory' THEN 2 WHEN 'killed' THEN 1 WHEN 'exit_code' THEN 1 WHEN 'unknown' THEN 1 WHEN 'no_message' THEN 1 ELSE 0 END AS most FROM g WHERE newest <> '-')
 SELECT stage, variant, count(*) AS keys, sum(greatest(0, most + 1 - failed)) AS attempts FROM m GROUP BY 1, 2""",
-    "untried_actions": """WITH k AS (SELECT user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), e AS (SELECT DISTINCT user_id, k % 13 AS a FROM k WHERE k % 5 = 0), m AS (SELECT user_id, a FROM e UNION SELECT user_id, CASE WHEN a = 12 THEN 12 WHEN a % 2 = 0 THEN a + 1 ELSE a - 1 END FROM e)
+    "untried_actions": """WITH k AS (SELECT user_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), e AS (SELECT DISTINCT user_id, k % 13 AS a FROM k), m AS (SELECT user_id, a FROM e UNION SELECT user_id, CASE WHEN a = 12 THEN 12 WHEN a % 2 = 0 THEN a + 1 ELSE a - 1 END FROM e)
 SELECT user_id, count(*) AS masked, array_to_string(list_filter(range(13), lambda x: NOT list_contains(list(a), x)), ',') AS untried FROM m GROUP BY 1""",
 }

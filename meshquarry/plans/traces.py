@@ -133,7 +133,7 @@ SELECT event_id, round(CASE WHEN d0 THEN r0 WHEN c1 = 'error' THEN r0 + r1 / 2 E
     "replay_buffer": f"WITH {_T} SELECT event_id, user_id, reward, event_id % 256 AS slot FROM t ORDER BY event_id DESC LIMIT 256",
     "validation_split": "WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT count(*) AS n FROM u) SELECT user_id, row_number() OVER (ORDER BY user_id DESC) <= least(n - 1, greatest(1, round_even(n * 0.2, 0))) AS is_validation FROM u, n",
     "balanced_chunks": "WITH p AS (SELECT *, (row_number() OVER (PARTITION BY category ORDER BY mesh_id) - 1) // 25 AS chunk FROM mesh_model), c AS (SELECT category, chunk, count(*) AS n, min(mesh_id) AS first_mesh FROM p GROUP BY 1, 2) SELECT category, chunk, row_number() OVER (ORDER BY chunk, category) AS turn, n, first_mesh FROM c",
-    "contrast_pairs": f"WITH {_T}, b AS (SELECT user_id, reward, event_id AS hi FROM t WHERE reward > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY reward DESC, event_id) = 1) SELECT t.user_id, hi, event_id AS lo, round(b.reward - t.reward, 2) AS gap FROM t JOIN b USING (user_id) WHERE t.reward <= 0 ORDER BY b.reward - t.reward DESC, hi, lo LIMIT 1000",
+    "contrast_pairs": f"WITH {_T} SELECT b.user_id, b.event_id AS hi, t.event_id AS lo, round(b.reward - t.reward, 2) AS gap FROM t b JOIN t USING (user_id) WHERE b.reward > 0 AND t.reward <= 0 ORDER BY b.reward - t.reward DESC, hi, lo LIMIT 1000",
     "action_softmax": f"""WITH {_T}, g AS (SELECT user_id, coord, count(*) AS n, avg(reward) AS q FROM t WHERE coord IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, sum(n) OVER w AS parent, exp((q - max(q) OVER w) / 10) AS e, max(q) OVER w AS best FROM g WINDOW w AS (PARTITION BY user_id)),
 s AS (SELECT *, e / sum(e) OVER (PARTITION BY user_id) AS prior FROM p)
 SELECT user_id, coord, n, round(q, 6) AS q, round(q + 0.5 * sqrt(2 * ln(parent) / n), 6) AS ucb, round(q + 0.5 * sqrt(ln(parent + 2) / (n + 1)) + prior / (n + 1), 6) AS ucb_prior, round(prior, 6) AS prior, round(1.5 * prior * sqrt(parent) / (1 + n), 6) AS bonus, round(least(0.7, greatest(0, q / (best + 1e-9))), 6) AS skip FROM s""",
