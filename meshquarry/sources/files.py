@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
+from meshquarry.session import salted_join, spill
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, line_no (from 1), line of text files. A file is one record: small files, one task per group of files."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    return t.select("file", F.posexplode(lines).alias("p", "line")).select("file", (F.col("p") + 1).cast("long").alias("line_no"), "line")
+    """file, line_no (from 1), line of text files of any size.
+
+    A large file is read in blocks by several tasks. Numbers run on within a task, so a line's place is its distance to its
+    block's first line, plus the lines of the blocks before it. The lines are written once, as numbers of a second
+    reading needn't be the same.
+    """
+    m = F.col("_metadata")
+    t = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+    t = spill(t, "lines")
+    blocks = t.groupBy("file", "block").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    w = W.partitionBy("file").orderBy("block")  # one row per block
+    blocks = blocks.select("file", "block", "first", (F.sum("n").over(w) - F.col("n")).alias("before"))
+    j = salted_join(t.withColumn("_k", F.struct("file", "block")), blocks.select(F.struct("file", "block").alias("_k"), "first", "before"), "_k", F.col("i"), how="inner")
+    return j.select("file", (F.col("before") + F.col("i") - F.col("first") + 1).alias("line_no"), "line")
+
+
+def write_texts(texts: DataFrame, path: str, keys: Sequence[str] = ("file",)) -> None:
+    """One text file per row of ``texts`` (keys, text), in folders ``key=value`` under ``path``."""
+    texts.select(*keys, F.rtrim("text", F.lit("\n")).alias("value")).repartition(*keys).write.partitionBy(*keys).mode("overwrite").text(path)
+
+
+def folder_key(file: Column, key: str) -> Column:
+    """The value of ``key=value`` in a path."""
+    return F.nullif(F.url_decode(F.regexp_extract(file, rf"(?:^|/){key}=([^/]*)/", 1)), F.lit(""))
 
 
 def obj_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -47,6 +69,20 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str, digits: int = 9)
     v.union(f).repartition("mesh").sortWithinPartitions("mesh", "kind", "i").select("mesh", "value").write.partitionBy("mesh").mode("overwrite").text(path)
 
 
+#: The twelve triangles of a box by its corners (bit k of a corner picks max on axis k), outward (fixed values).
+BOX_FACES = ((0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5))
+
+
+def box_obj_text(boxes: DataFrame, key: str = "file", digits: int = 9) -> DataFrame:
+    """key, text: the boxes of each set (bbox_idx and bounds) as one OBJ mesh, eight vertices and twelve triangles each."""
+    v = F.transform(B.corners(B.box()), lambda c: F.concat_ws(" ", F.lit("v"), *(general(c[a], digits) for a in B.AXES)))
+    g = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bbox_idx", v.alias("v")))).alias("b"))
+    faces = F.array(*(F.array(*(F.lit(i) for i in f)) for f in BOX_FACES))
+    each = lambda k: F.transform(faces, lambda f: F.format_string("f %d %d %d", *(f[i] + 8 * k + 1 for i in range(3))))
+    lines = F.concat(F.flatten(F.transform("b", lambda x: x["v"])), F.flatten(F.transform("b", lambda _, k: each(k))))
+    return g.select(key, F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+
+
 def normalised_obj(lines: DataFrame, stats: DataFrame, digits: int = 9) -> DataFrame:
     """``lines`` (obj_file, line_no, raw_line) with v lines moved and scaled, all else kept, as are further fields of v lines.
 
@@ -69,6 +105,28 @@ def obj_parts(lines: DataFrame, boundary: str = "usemtl") -> DataFrame:
     return lines.withColumn("part", F.sum(at).over(W.partitionBy("file").orderBy("line_no")))
 
 
+def part_meshes(lines: DataFrame, boundary: str = "usemtl") -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of the parts of OBJ files: file, part, vertex_id (from 0 in each part), x, y, z, and file, part, line_no, corners.
+
+    ``lines`` as for :func:`obj_parts`. A face keeps its corner order; a part has the vertices that its faces use, in the
+    order of the file. Negative indices count from the end of the file; faces that name no vertex of the file are dropped.
+    """
+    l = obj_parts(lines, boundary)
+    p = F.split(F.trim("line"), r"[ \t]+")
+    w = W.partitionBy("file").orderBy("line_no")
+    v = l.filter(p[0] == "v").select("file", "line_no", F.row_number().over(w).alias("g"), *(F.get(p, F.lit(i + 1)).try_cast("double").alias(a) for i, a in enumerate(B.AXES)))
+    f = l.filter((p[0] == "f") & (F.size(p) >= 4)).select("file", "part", "line_no", F.posexplode(F.slice(p, F.lit(2), F.size(p))).alias("k", "t"))
+    n = v.groupBy("file").agg(F.count("*").alias("n"))
+    f = f.join(n, "file").withColumn("i", F.split_part("t", F.lit("/"), F.lit(1)).try_cast("long"))
+    f = f.withColumn("g", F.when(F.col("i") < 0, F.col("n") + F.col("i") + 1).otherwise(F.col("i")))
+    bad = f.filter(F.col("g").isNull() | (F.col("g") < 1) | (F.col("g") > F.col("n"))).select("file", "line_no").distinct()
+    f = f.join(bad, ["file", "line_no"], "left_anti")
+    local = f.select("file", "part", "g").distinct().withColumn("vertex_id", F.row_number().over(W.partitionBy("file", "part").orderBy("g")) - 1)
+    vertices = local.join(v, ["file", "g"]).select("file", "part", "vertex_id", *B.AXES)
+    faces = f.join(local, ["file", "part", "g"]).groupBy("file", "part", "line_no").agg(F.array_sort(F.collect_list(F.struct("k", "vertex_id"))).alias("c"))
+    return vertices, faces.select("file", "part", "line_no", F.transform("c", lambda x: x["vertex_id"]).alias("corners"))
+
+
 def read_gmsh(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, faces, tets) of Gmsh 2.2 text files; node ids become 0-based positions, other element types are dropped."""
     l = read_lines(spark, path)
@@ -127,6 +185,21 @@ def segment_text(members: DataFrame, key: str = "file") -> DataFrame:
     return g.select(key, F.concat(F.size("s").cast("string"), F.lit("\n"), F.array_join(F.transform("s", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
+def partition_json_text(members: DataFrame, key: str = "file") -> DataFrame:
+    """key, text: the parts of each mesh as ``{"partitions": [[...], ...]}``, sorted and unique, parts in order of their first member."""
+    p = members.groupBy(key, "part_id").agg(F.array_sort(F.collect_set(F.col("tet_id").cast("long"))).alias("ids")).filter(F.size("ids") > 0)
+    g = p.groupBy(key).agg(F.array_sort(F.collect_list("ids")).alias("partitions"))
+    return g.select(key, F.to_json(F.struct("partitions")).alias("text"))
+
+
+def read_partition_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, part_id, tet_id of partition files, a list of lists or an object that holds one; empty parts are passed over."""
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v"))
+    lists = F.coalesce(F.when(F.col("v").startswith("["), F.from_json("v", "array<array<bigint>>")), F.from_json("v", "partitions array<array<bigint>>")["partitions"])
+    full = F.filter(lists, lambda x: F.size(x) > 0)
+    return t.select("file", F.posexplode(full).alias("part_id", "ids")).select("file", "part_id", F.explode(F.array_sort(F.array_distinct("ids"))).alias("tet_id"))
+
+
 BOX_JSON = "array<struct<bounds: array<double>, rotation: array<double>, partition: array<bigint>>>"
 
 
@@ -164,9 +237,18 @@ def append_manifest(records: DataFrame, path: str, by_stage: bool = False) -> No
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV (with header) or JSON-lines data set by the ending of its name."""
+    """A CSV or TSV (with header) or JSON-lines data set by the ending of its name."""
     r = spark.read if schema is None else spark.read.schema(schema)
-    return r.csv(path, header=True) if path.lower().rstrip("/").endswith((".csv", ".tsv")) else r.json(path)
+    ending = path.lower().rstrip("/").rsplit(".", 1)[-1]
+    return r.csv(path, header=True, sep="\t" if ending == "tsv" else ",") if ending in ("csv", "tsv") else r.json(path)
+
+
+def read_traces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """trace_file, written_at, line_no, payload of JSON-lines trace files, blank lines passed over: what :mod:`meshquarry.operators.drift` reads."""
+    l = read_lines(spark, path)
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("written_at")).groupBy("file").agg(F.max("written_at").alias("written_at"))
+    t = salted_join(l.filter(F.trim("line") != ""), at, "file", F.col("line_no"))
+    return t.select(F.element_at(F.split("file", "/"), -1).alias("trace_file"), "written_at", "line_no", F.col("line").alias("payload"))
 
 
 def expand_list(spark: SparkSession, path: str) -> DataFrame:
@@ -181,12 +263,24 @@ def read_mesh_list(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("category", F.coalesce(F.nullif(F.col("category"), F.lit("")), category_of("mesh_id", "path")))
 
 
+def write_mesh_list(meshes: DataFrame, path: str) -> None:
+    """A tab-separated mesh list of category, mesh_id and path."""
+    meshes.select("category", "mesh_id", "path").write.mode("overwrite").csv(path, sep="\t")
+
+
 def category_of(mesh: str, path: str) -> Column:
     prefix = F.when(F.col(mesh).contains("__"), F.split_part(mesh, F.lit("__"), F.lit(1)))
     folder = F.regexp_extract(path, r"([^/\\]+)[/\\][^/\\]+[/\\][^/\\]+$", 1)
     return F.coalesce(prefix, F.nullif(folder, F.lit("")))
 
 
+def complete_folders(spark: SparkSession, root: str, required: Sequence[str]) -> DataFrame:
+    """category, mesh_id, missing: the folders ``root/category/mesh`` and which of the required files they lack (empty: complete)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.split("path", "/").alias("p"))
+    g = f.groupBy(F.element_at("p", -3).alias("category"), F.element_at("p", -2).alias("mesh_id")).agg(F.collect_set(F.element_at("p", -1)).alias("have"))
+    return g.select("category", "mesh_id", F.array_sort(F.array_except(F.array(*(F.lit(n) for n in required)), "have")).alias("missing"))
+
+
 def discover(spark: SparkSession, root: str, name: str = "model.obj", categories: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """category, mesh_id, path, bytes of ``root/category/mesh/name``, without reading contents; the first ``limit`` per category by name."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root).select("path", F.col("length").alias("bytes"))
@@ -200,15 +294,26 @@ def discover(spark: SparkSession, root: str, name: str = "model.obj", categories
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """archive, member, bytes, packed of the members of zip files whose name ends in ``suffix`` (the archive's directory only)."""
+    """archive, member, bytes, packed of the members of zip files whose name ends in ``suffix``, in order of archive and member.
+
+    Of an archive on a mounted disk only the directory is read, whatever its size; elsewhere its bytes go through one row.
+    """
+
+    def members(archive: str, source: str | io.BytesIO) -> list[tuple]:
+        with zipfile.ZipFile(source) as z:
+            return [(archive, i.filename, i.file_size, i.compress_size) for i in z.infolist() if not i.is_dir() and i.filename.endswith(suffix)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, i.filename, i.file_size, i.compress_size) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i in zipfile.ZipFile(io.BytesIO(c)).infolist() if not i.is_dir() and i.filename.endswith(suffix)]
+            columns = [c.to_pylist() for c in b.columns]
+            rows = [r for p, *c in zip(*columns) for r in members(p, io.BytesIO(c[0]) if c else unquote(urlparse(p).path))]
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["archive", "member", "bytes", "packed"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, bytes long, packed long")
+    f = spark.read.format("binaryFile").load(path)
+    kind = "archive string, member string, bytes long, packed long"
+    mounted, other = f.filter(F.col("path").startswith("file:")).select("path"), f.filter(~F.col("path").startswith("file:")).select("path", "content")
+    return mounted.mapInArrow(run, kind).union(other.mapInArrow(run, kind)).orderBy("archive", "member")
 
 
 def cache_key(df: DataFrame, columns: Sequence[str]) -> Column:

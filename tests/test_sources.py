@@ -92,3 +92,60 @@ def test_streams(spark, tmp_path):
     (d / "b.json").write_text('{"stage": "x", "mesh_id": "1", "status": "success", "finished_at": 20.0}\n')
     M.keep_latest(raw, out, ["stage", "mesh_id"], ["finished_at"]).awaitTermination()
     assert [r.status for r in spark.read.schema(schema).parquet(f"{out}/v=1").collect()] == ["success"]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    want = {}
+    for k in range(3):
+        lines = [f"file {k} line {i}" if i % 7 else "" for i in range(4000 * k + 5)]
+        (tmp_path / f"{k}.txt").write_text("\n".join(lines) + "\n")
+        want |= {(k, i + 1): x for i, x in enumerate(lines)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        d = S.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        assert {(int(r.file[-5]), r.line_no): r.line for r in d.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tables_traces_lists(spark, tmp_path):
+    d = spark.createDataFrame([("a,b", "x\ty"), (None, "z")], "p string, q string")
+    for ending in ("csv", "tsv", "jsonl"):
+        path = str(tmp_path / f"t.{ending}")
+        d.write.json(path) if ending == "jsonl" else d.write.csv(path, header=True, sep="\t" if ending == "tsv" else ",")
+        assert sorted(S.read_table(spark, path, "p string, q string").collect(), key=str) == sorted(d.collect(), key=str), ending
+    (tmp_path / "trace_w_1.jsonl").write_text('{"a": 1}\n\n  \n{"a": 2}\n')
+    t = S.read_traces(spark, str(tmp_path / "trace_w_1.jsonl")).orderBy("line_no").collect()
+    assert [(r.trace_file, r.line_no, r.payload) for r in t] == [("trace_w_1.jsonl", 1, '{"a": 1}'), ("trace_w_1.jsonl", 4, '{"a": 2}')] and t[0].written_at
+    S.write_mesh_list(spark.createDataFrame([("c", "m", "r/c/m/x.obj"), (None, "k__1", "p")], "category string, mesh_id string, path string"), str(tmp_path / "list"))
+    assert sorted((r.category, r.mesh_id) for r in S.read_mesh_list(spark, str(tmp_path / "list")).collect()) == [("c", "m"), ("k", "k__1")]
+
+
+def test_partitions_parts_and_box_meshes(spark, tmp_path):
+    m = spark.createDataFrame([("f", 0, 5), ("f", 0, 3), ("f", 0, 3), ("f", 1, 1)], "file string, part_id long, tet_id long")
+    text = S.partition_json_text(m).first().text
+    assert text == '{"partitions":[[1],[3,5]]}'
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json").write_text("[[4, 2, 4], [], [9]]")
+    got = sorted((r.file[-6:], r.part_id, r.tet_id) for r in S.read_partition_json(spark, str(tmp_path / "*.json")).collect())
+    assert got == [("a.json", 0, 1), ("a.json", 1, 3), ("a.json", 1, 5), ("b.json", 0, 2), ("b.json", 0, 4), ("b.json", 1, 9)]
+    rows = ["v 0 0 0", "v 1 0 0", "usemtl a", "v 0 1 0", "f 1 2 3", "usemtl b", "v 5 5 5", "f 4/1 -2/2 2//1", "f 9 1 2"]
+    l = spark.createDataFrame([("o", i + 1, x) for i, x in enumerate(rows)], "file string, line_no long, line string")
+    v, f = S.part_meshes(l)
+    assert sorted((r.part, r.corners) for r in f.collect()) == [(1, [0, 1, 2]), (2, [2, 1, 0])]
+    assert sorted((r.part, r.vertex_id, r.x) for r in v.collect()) == [(1, 0, 0.0), (1, 1, 1.0), (1, 2, 0.0), (2, 0, 1.0), (2, 1, 0.0), (2, 2, 5.0)]
+    b = spark.createDataFrame([("x", 0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0), ("x", 1, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0)], "file string, bbox_idx int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    S.write_texts(S.box_obj_text(b), str(tmp_path / "boxes"))
+    v, f = S.part_meshes(S.read_lines(spark, str(tmp_path / "boxes" / "file=x")).select("file", "line_no", "line"))
+    p = {r.vertex_id: (r.x, r.y, r.z) for r in v.collect()}
+    volume = sum((lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) + a[1] * (b[2] * c[0] - b[0] * c[2]) + a[2] * (b[0] * c[1] - b[1] * c[0]))(*(p[i] for i in r.corners)) / 6 for r in f.collect())
+    assert len(p) == 16 and abs(volume - 7.0) < 1e-9
+
+
+def test_complete_folders(spark, tmp_path):
+    for m, names in (("1", ("a.obj", "b.json")), ("2", ("a.obj",))):
+        (tmp_path / "r" / "c" / m).mkdir(parents=True)
+        for n in names:
+            (tmp_path / "r" / "c" / m / n).write_text("x")
+    assert sorted((r.mesh_id, r.missing) for r in S.complete_folders(spark, str(tmp_path / "r"), ["b.json", "a.obj"]).collect()) == [("1", []), ("2", ["b.json"])]
