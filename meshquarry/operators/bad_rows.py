@@ -125,7 +125,7 @@ def parse_obj_lines(lines: DataFrame) -> DataFrame:
     Null raw lines count as blank; a null obj_file is a file of its own. Repeated rows are judged each.
     An empty table gives an empty result.
     """
-    src = lines.select(F.col("line_id").cast("long"), F.coalesce("obj_file", F.lit("")).alias("obj_file"), F.col("line_no").cast("long"), "raw_line")
+    src = lines.select(F.col("line_id").cast("long"), F.coalesce("obj_file", F.lit("\0")).alias("obj_file"), F.col("line_no").cast("long"), "raw_line")
     parsed = src.mapInArrow(_parse, PARSED)
     counts = src.groupBy("obj_file").agg(F.sum(F.col("raw_line").rlike(r"^[ \t]*v(?:[ \t]|\r?\n?$)").cast("long")).alias("n_v"))
     joined = salted_join(parsed, counts, "obj_file", F.col("line_id"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshquarry.operators.ranking import running_sum
 from meshquarry.session import maybe_broadcast
 
 
@@ -33,9 +37,19 @@ def linear(columns: Sequence[Column], weights: Sequence[float], bias: float) ->
     return out
 
 
+def gelu(x: Column) -> Column:
+    """x times the normal distribution function at x; null stays null. Spark has no erf, so this goes through Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(0.5 * v * (1 + np.array([math.erf(y / math.sqrt(2)) for y in v.to_numpy(float, na_value=math.nan)])))
+
+    return F.when(x.isNotNull(), run(x))
+
+
 def mlp(columns: Sequence[Column], hidden: Sequence[Sequence[float]], hidden_bias: Sequence[float], out: Sequence[float], bias: float, activation: str = "tanh") -> Column:
-    """One hidden layer (tanh or GELU by erf's tanh form), all as one expression."""
-    act = {"tanh": F.tanh, "gelu": lambda x: 0.5 * x * (1 + F.tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))}[activation]
+    """One hidden layer (tanh, or GELU by erf itself)."""
+    act = {"tanh": F.tanh, "gelu": gelu}[activation]
     return linear([act(linear(columns, w, b)) for w, b in zip(hidden, hidden_bias)], out, bias)
 
 
@@ -74,8 +88,7 @@ def roc_auc(df: DataFrame, label: Column, score: Column, by: Sequence[str] = ())
     """
     d = df.select(*by, label.cast("int").alias("_y"), score.alias("_p")).filter(F.col("_y").isNotNull() & F.col("_p").isNotNull())
     c = d.groupBy(*by, "_p").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
-    w = W.partitionBy(*by).orderBy("_p") if by else W.partitionBy(F.lit(0)).orderBy("_p")
-    c = c.withColumn("below", F.sum("neg").over(w) - F.col("neg"))
+    c = running_sum(c, list(by), ["_p"], "neg", "below").withColumn("below", F.col("below") - F.col("neg"))
     g = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     return g.select(*by, F.try_divide(F.col("u").cast("double"), F.col("positives") * F.col("negatives")).alias("auc"), "positives", "negatives")
 

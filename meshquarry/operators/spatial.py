@@ -66,10 +66,10 @@ def grid_join(points: DataFrame, boxes: DataFrame, cell: Sequence[float], most_c
     return q.join(b, on).filter(B.contains(B.box(), p)).drop(*on)
 
 
-def union_volume(boxes: DataFrame, key: str) -> DataFrame:
-    """Exact volume of the union of each set's axis boxes by coordinate compression: set, boxes, union_volume.
+def union_cells(boxes: DataFrame, key: str) -> DataFrame:
+    """key, boxes and bounds of the cells that make up the union of each set's axis boxes, none overlapping another.
 
-    The cells between neighbouring coordinates are counted if some box holds them. Cells grow with the third power of the
+    The cells between neighbouring coordinates that some box holds. Cells grow with the third power of the
     boxes in a set; meant for sets of up to a few dozen. Boxes that aren't valid hold nothing.
     """
     v = boxes.filter(B.is_valid(B.box()))
@@ -81,8 +81,12 @@ def union_volume(boxes: DataFrame, key: str) -> DataFrame:
     for a in B.AXES:
         s = s.withColumn(f"_i{a}", F.explode(intervals(a)))
     held = F.exists("_b", lambda x: B.product([((x[f"min_{a}"] <= F.col(f"_i{a}.lo")) & (x[f"max_{a}"] >= F.col(f"_i{a}.hi"))).cast("int") for a in B.AXES]) == 1)
-    cell = B.product([F.col(f"_i{a}.hi") - F.col(f"_i{a}.lo") for a in B.AXES])
-    return s.groupBy(key).agg(F.max(F.size("_b")).alias("boxes"), F.sum(F.when(held, cell).otherwise(0.0)).alias("union_volume"))
+    return s.filter(held).select(key, F.size("_b").alias("boxes"), *(F.col(f"_i{a}.lo").alias(f"min_{a}") for a in B.AXES), *(F.col(f"_i{a}.hi").alias(f"max_{a}") for a in B.AXES))
+
+
+def union_volume(boxes: DataFrame, key: str) -> DataFrame:
+    """Exact volume of the union of each set's axis boxes by coordinate compression: set, boxes, union_volume (see :func:`union_cells`)."""
+    return union_cells(boxes, key).groupBy(key).agg(F.max("boxes").alias("boxes"), F.sum(B.volume(B.box())).alias("union_volume"))
 
 
 def pair_overlaps(boxes: DataFrame, key: str, idx: str) -> DataFrame:

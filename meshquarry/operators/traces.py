@@ -35,11 +35,18 @@ def smoothed_prior(df: DataFrame, grid: DataFrame, reward: Column, min_reward: f
     return g.withColumn("log_prior", F.log((F.col("weight") + smoothing) / (F.sum("weight").over(all_) + smoothing * F.count("*").over(all_))))
 
 
-def baseline(reward: Column, mode: str, mesh: str = "mesh", category: str = "category") -> Column:
-    """Mean reward by mesh, category or over all, or 0 for ``none``."""
+def with_baseline(df: DataFrame, reward: str, mode: str, mesh: str = "mesh", category: str = "category") -> DataFrame:
+    """``df`` with ``baseline``: the mean reward of the row's mesh or category, of all rows (``global``), or 0 (``none``).
+
+    Means are aggregated and joined, so no window gathers a group. A null mesh or category is a group of its own.
+    """
     if mode == "none":
-        return F.lit(0.0)
-    return F.avg(reward).over(W.partitionBy({"mesh": F.col(mesh), "category": F.col(category), "global": F.lit(0)}[mode]))
+        return df.withColumn("baseline", F.lit(0.0))
+    if mode == "global":
+        return df.withColumn("baseline", F.lit(df.agg(F.avg(reward).alias("m")).first().m))
+    key = {"mesh": mesh, "category": category}[mode]
+    g = df.groupBy(F.col(key).alias("_k")).agg(F.avg(reward).alias("baseline"))
+    return df.join(maybe_broadcast(g), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
 def group_advantage(df: DataFrame, group: Sequence[str], reward: str, overall: float) -> DataFrame:

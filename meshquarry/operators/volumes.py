@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
-from meshquarry.operators.spatial import union_volume
+from meshquarry.operators.spatial import union_cells, union_volume
 
-#: Most boxes per set whose union is taken by inclusion and exclusion.
+#: Boxes per set up to which the union is taken by inclusion and exclusion; larger sets are cut into cells.
 MAX_BOXES = 8
 
 
@@ -97,18 +97,20 @@ def clip(pairs: DataFrame) -> DataFrame:
 
 
 def tet_box_metrics(tets: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """key, volume, bvs, covered, viou of a tetrahedral solid against up to :data:`MAX_BOXES` axis boxes of its set.
+    """key, volume, bvs, covered, tov, viou of a tetrahedral solid against the axis boxes of its set.
 
-    The union of the boxes is taken by inclusion and exclusion: every intersection of boxes is a box, to which the
-    tetrahedra are clipped. Sets of more boxes raise an error rather than being cut short.
+    The union of up to :data:`MAX_BOXES` boxes is taken by inclusion and exclusion: every intersection of boxes is a box, to
+    which the tetrahedra are clipped. That of more boxes is cut into cells that don't overlap. Both are exact.
     """
-    v = boxes.filter(B.is_valid(B.box()))
+    v = boxes.filter(B.is_valid(B.box())).select(key, *B.BOUNDS)
     sets = v.groupBy(key).agg(F.collect_list(F.struct(*B.BOUNDS)).alias("_b"))
-    sets = sets.withColumn("_b", F.when(F.size("_b") > MAX_BOXES, F.raise_error(F.lit(f"more than {MAX_BOXES} boxes in a set"))).otherwise(F.col("_b")))
-    subset = sets.select(key, "_b", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("_b")) - 1).cast("int"))).alias("_m"))
+    few, many = sets.filter(F.size("_b") <= MAX_BOXES), sets.filter(F.size("_b") > MAX_BOXES)
+    subset = few.select(key, "_b", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("_b")) - 1).cast("int"))).alias("_m"))
     chosen = F.filter("_b", lambda x, i: F.getbit(F.col("_m").cast("long"), i) == 1)
     subset = subset.withColumn("_c", chosen).withColumn("_sign", F.when(F.size("_c") % 2 == 1, 1.0).otherwise(-1.0))
     meet = subset.select(key, "_sign", *(F.array_max(F.col(f"_c.{c}")).alias(c) for c in B.LOWS), *(F.array_min(F.col(f"_c.{c}")).alias(c) for c in B.HIGHS)).filter(B.is_valid(B.box()))
+    large = many.select(key, F.explode("_b").alias("x")).select(key, "x.*")
+    meet = meet.unionByName(union_cells(large, key).select(key, F.lit(1.0).alias("_sign"), *B.BOUNDS))
     from meshquarry.functions import vectors as V
 
     corner = [[F.col(f"{n}{a}") for a in B.AXES] for n in "abcd"]

@@ -15,7 +15,7 @@ from meshquarry.operators import training as T
 from meshquarry.operators import volumes as V
 from meshquarry.plans import frames as D
 from meshquarry.plans import geometry as G
-from meshquarry.session import table
+from meshquarry.session import spill, table
 
 S_ = SparkSession
 
@@ -29,8 +29,9 @@ def box_overlap_metrics(spark: S_, d: str) -> DataFrame:
 
 def tet_clip_metrics(spark: S_, d: str) -> DataFrame:
     """Each OBJ file's surface, closed to a fan of tetrahedra at its mean vertex, against two boxes."""
-    v = G.obj_vertices(spark, d)
-    t = P.gather_corners(G.obj_triangles(spark, d), v, "obj_file")
+    v, t = G.obj_mesh(spark, d)
+    v = spill(v, "vertices")
+    t = P.gather_corners(t, v, "obj_file")
     c = v.groupBy("obj_file").agg(*(F.avg(a).alias(f"d{a}") for a in B.AXES), *(F.min(a).alias(f"min_{a}") for a in B.AXES), *(F.max(a).alias(f"max_{a}") for a in B.AXES))
     mid = {a: (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2 for a in B.AXES}
     low = c.select("obj_file", *(F.col(n) for n in B.LOWS), mid["x"].alias("max_x"), F.col("max_y"), F.col("max_z"))

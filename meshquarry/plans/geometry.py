@@ -10,9 +10,10 @@ from meshquarry.functions import boxes as B
 from meshquarry.functions import vectors as V
 from meshquarry.operators import bad_rows
 from meshquarry.operators import spatial as S
+from meshquarry.operators.ranking import row_numbers
 from meshquarry.plans import frames as D
 from meshquarry.plans.text_rows import LINE
-from meshquarry.session import table
+from meshquarry.session import salted_join, spill, table
 
 S_ = SparkSession
 CONTAINS = "x BETWEEN {0}min_x AND {0}max_x AND y BETWEEN {0}min_y AND {0}max_y AND z BETWEEN {0}min_z AND {0}max_z"
@@ -101,7 +102,7 @@ def mesh_surface(spark: S_, d: str) -> DataFrame:
 
 def obj_vertex_stats(spark: S_, d: str) -> DataFrame:
     """Extent, diagonal, centre and radius of the valid vertices of each file, and how it is normalised."""
-    v = bad_rows.valid_vertices(table(spark, d, "obj_line"))
+    v = spill(bad_rows.valid_vertices(table(spark, d, "obj_line")).select("obj_file", *B.AXES), "vertices")
     s = v.groupBy("obj_file").agg(F.count("*").alias("n"), *(f(a).alias(f"{n}_{a}") for a in B.AXES for n, f in (("min", F.min), ("max", F.max))))
     mid = [(F.col(f"min_{a}") + F.col(f"max_{a}")) / 2 for a in B.AXES]
     side = [F.col(f"max_{a}") - F.col(f"min_{a}") for a in B.AXES]
@@ -113,36 +114,38 @@ def obj_vertex_stats(spark: S_, d: str) -> DataFrame:
     return j.select("obj_file", "n", *(F.round(c, 8).alias(c) for c in ("cx", "cy", "cz", "extent", "diagonal", "radius")), form.alias("normalised"))
 
 
-def obj_triangles(spark: S_, d: str) -> DataFrame:
-    """Fan triangles of the valid faces with 0-based vertex positions; negative indices count from the end."""
+def obj_mesh(spark: S_, d: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, fan triangles) of the valid lines, parsed once.
+
+    A vertex has its 0-based position among all vertex lines of the file; negative indices count from the end. A triangle
+    is known by its line and its place in the fan.
+    """
     lines = bad_rows.parse_obj_lines(table(spark, d, "obj_line"))
-    ok = lines.filter(F.col("tag").isin("v", "f")).select("obj_file", "line_no", "tag", "face_tokens", "reason", "vertex")
+    ok = spill(lines.filter(F.col("tag").isin("v", "f")).select("obj_file", "line_no", "tag", "face_tokens", "reason", "vertex"), "parsed")
+    v = row_numbers(ok.filter(F.col("tag") == "v").select("obj_file", "line_no", "vertex"), ["obj_file"], ["line_no"], "place")
     n = ok.filter(F.col("tag") == "v").groupBy("obj_file").agg(F.count("*").alias("n_v"))
-    f = ok.filter(F.col("face_tokens").isNotNull() & F.col("reason").isNull()).join(n, "obj_file")
+    f = salted_join(ok.filter(F.col("face_tokens").isNotNull() & F.col("reason").isNull()), n, "obj_file", F.col("line_no"), how="inner")
     i = F.transform("face_tokens", lambda t: F.split(t, "/")[0].cast("long"))
     f = f.withColumn("ix", F.transform(i, lambda x: F.when(x > 0, x - 1).otherwise(F.col("n_v") + x)))
-    return f.select("obj_file", "line_no", F.explode(F.transform(F.sequence(F.lit(1), F.size("ix") - 2), lambda k: F.struct(k.alias("k"), F.col("ix")[0].alias("v0"), F.get(F.col("ix"), k).alias("v1"), F.get(F.col("ix"), k + 1).alias("v2")))).alias("t")).select("obj_file", (F.col("line_no") * 1000 + F.col("t.k")).alias("face_id"), "t.v0", "t.v1", "t.v2")
-
-
-def obj_vertices(spark: S_, d: str) -> DataFrame:
-    """Valid vertices with their 0-based position among all vertex lines of the file."""
-    v = bad_rows.parse_obj_lines(table(spark, d, "obj_line")).filter(F.col("tag") == "v")
-    pos = F.row_number().over(W.partitionBy("obj_file").orderBy("line_no")) - 1
-    return v.withColumn("vertex_id", pos.cast("long")).filter(F.col("vertex").isNotNull()).select("obj_file", "vertex_id", *(F.col("vertex")[i].alias(a) for i, a in enumerate(B.AXES)))
+    fan = F.transform(F.sequence(F.lit(1), F.size("ix") - 2), lambda k: F.struct(k.alias("k"), F.col("ix")[0].alias("v0"), F.get(F.col("ix"), k).alias("v1"), F.get(F.col("ix"), k + 1).alias("v2")))
+    t = f.select("obj_file", "line_no", F.explode(fan).alias("t")).select("obj_file", F.struct("line_no", "t.k").alias("face_id"), "t.v0", "t.v1", "t.v2")
+    v = v.filter(F.col("vertex").isNotNull()).select("obj_file", (F.col("place") - 1).cast("long").alias("vertex_id"), *(F.col("vertex")[i].alias(a) for i, a in enumerate(B.AXES)))
+    return v, t
 
 
 def obj_mesh_volume(spark: S_, d: str) -> DataFrame:
     """Divergence volume and area of each file's triangles."""
-    t = S.gather_corners(obj_triangles(spark, d), obj_vertices(spark, d), "obj_file")
-    return S.mesh_volumes(t, "obj_file").select("obj_file", F.round("volume", 6).alias("volume"), F.round("area", 6).alias("area"), "faces")
+    v, t = obj_mesh(spark, d)
+    return S.mesh_volumes(S.gather_corners(t, v, "obj_file"), "obj_file").select("obj_file", F.round("volume", 6).alias("volume"), F.round("area", 6).alias("area"), "faces")
 
 
 def obj_point_inside(spark: S_, d: str) -> DataFrame:
     """Whether each file's mean vertex lies inside its surface, by ray parity."""
-    v = obj_vertices(spark, d)
-    t = S.gather_corners(obj_triangles(spark, d), v, "obj_file")
+    v, t = obj_mesh(spark, d)
+    v = spill(v, "vertices")
+    t = S.gather_corners(t, v, "obj_file")
     c = v.groupBy("obj_file").agg(*(F.avg(a).alias(f"p{a}") for a in B.AXES))
-    j = t.join(c, "obj_file")
+    j = salted_join(t, c, "obj_file", F.xxhash64("face_id"), how="inner")
     hit = V.ray_hits([F.col(f"p{a}") for a in B.AXES], S.corner("a"), S.corner("b"), S.corner("c"))
     return j.groupBy("obj_file").agg(F.sum(hit.cast("long")).alias("crossings")).withColumn("inside", F.col("crossings") % 2 == 1)
 

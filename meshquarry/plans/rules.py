@@ -25,11 +25,11 @@ def linear_gate_budgets(spark: S_, d: str) -> DataFrame:
     """Budgets of gate rows by a linear gate on z-scores of their baseline, per category."""
     g = _gates(spark, d)
     cols = {"bvs": "baseline_avg_bvs", "viou": "baseline_avg_viou", "num_box": "baseline_avg_num_box"}
-    fit = g.agg(*(F.avg(c).alias(f"m_{n}") for n, c in cols.items()), *(F.stddev_pop(c).alias(f"s_{n}") for n, c in cols.items()))  # one row
-    j = g.crossJoin(F.broadcast(fit))
+    fit = g.agg(*(F.avg(c).alias(f"m_{n}") for n, c in cols.items()), *(F.stddev_pop(c).alias(f"s_{n}") for n, c in cols.items())).first()  # six numbers
     features = {**{n: F.col(c) for n, c in cols.items()}, "cat_table": F.coalesce(F.col("category") == "table", F.lit(False)).cast("double")}
-    score = R.linear_gate(features, {**{n: F.col(f"m_{n}") for n in cols}, "cat_table": 0.0}, {**{n: F.col(f"s_{n}") for n in cols}, "cat_table": 1.0}, WEIGHTS)
-    j = j.withColumn("score", score).withColumn("budget", R.gate_budget(F.col("score"), F.lit(0.25), 1, 5))
+    mean, std = ({**{n: fit[f"{p}_{n}"] or 0.0 for n in cols}, "cat_table": float(p == "s")} for p in "ms")
+    j = g.withColumn("score", R.linear_gate(features, mean, std, WEIGHTS))
+    j = j.withColumn("budget", R.gate_budget(F.col("score"), F.lit(0.25), 1, 5))
     return j.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("budget") == 5).alias("high"), F.sum("budget").alias("budget"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 

@@ -92,6 +92,16 @@ def contrast_pairs(spark: S_, d: str) -> DataFrame:
     return T.reward_pairs(_trace(spark, d), "user_id", "event_id", "reward", 1000).select("user_id", "hi", "lo", F.round("gap", 2).alias("gap"))
 
 
+def reward_baselines(spark: S_, d: str) -> DataFrame:
+    """Summed squared distance of rewards from their baseline in each of the four modes."""
+    t, out = _trace(spark, d), None
+    for mode in ("mesh", "category", "global", "none"):
+        b = T.with_baseline(t, "reward", mode, "user_id", "category")
+        b = b.groupBy(F.lit(mode).alias("mode"), "category").agg(F.count("*").alias("n"), F.round(F.sum((F.col("reward") - F.col("baseline")) ** 2), 4).alias("spread"))
+        out = b if out is None else out.union(b)
+    return out
+
+
 def action_softmax(spark: S_, d: str) -> DataFrame:
     """Bandit statistics per user and action group: visits, mean, UCB in both forms, softmax and PUCT bonus."""
     t = _trace(spark, d).filter(F.col("coord").isNotNull())
@@ -112,7 +122,7 @@ def stall_lengths(spark: S_, d: str) -> DataFrame:
     return r.groupBy("user_id").agg(F.max("stall").alias("longest_stall"), F.max("best").alias("best"), F.count("*").alias("improvements"))
 
 
-QUERIES = {f.__name__: f for f in (action_prior, filtered_rewards, advantages, value_weights, episode_returns, n_step_returns, replay_buffer, priority_sample, validation_split, balanced_chunks, contrast_pairs, action_softmax, stall_lengths)}
+QUERIES = {f.__name__: f for f in (action_prior, filtered_rewards, advantages, value_weights, episode_returns, n_step_returns, replay_buffer, priority_sample, validation_split, balanced_chunks, contrast_pairs, reward_baselines, action_softmax, stall_lengths)}
 
 _T = "t AS (SELECT *, CASE WHEN k % 7 = 6 THEN 0 ELSE k // 7 % 4 END AS scale, k % 7 AS coord FROM (SELECT event_id, ts, user_id, event_type AS category, CAST(json_extract(props, '$.k') AS INT) AS k, round(value - 10, 2) AS reward FROM events))"
 _N = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {0} FOLLOWING AND {0} FOLLOWING)"
@@ -134,6 +144,8 @@ SELECT event_id, round(CASE WHEN d0 THEN r0 WHEN c1 = 'error' THEN r0 + r1 / 2 E
     "validation_split": "WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT count(*) AS n FROM u) SELECT user_id, row_number() OVER (ORDER BY user_id DESC) <= least(n - 1, greatest(1, round_even(n * 0.2, 0))) AS is_validation FROM u, n",
     "balanced_chunks": "WITH p AS (SELECT *, (row_number() OVER (PARTITION BY category ORDER BY mesh_id) - 1) // 25 AS chunk FROM mesh_model), c AS (SELECT category, chunk, count(*) AS n, min(mesh_id) AS first_mesh FROM p GROUP BY 1, 2) SELECT category, chunk, row_number() OVER (ORDER BY chunk, category) AS turn, n, first_mesh FROM c",
     "contrast_pairs": f"WITH {_T} SELECT b.user_id, b.event_id AS hi, t.event_id AS lo, round(b.reward - t.reward, 2) AS gap FROM t b JOIN t USING (user_id) WHERE b.reward > 0 AND t.reward <= 0 ORDER BY b.reward - t.reward DESC, hi, lo LIMIT 1000",
+    "reward_baselines": f"""WITH {_T}, b AS (SELECT *, avg(reward) OVER (PARTITION BY user_id) AS m, avg(reward) OVER (PARTITION BY category) AS c, avg(reward) OVER () AS g FROM t)
+SELECT unnest(['mesh', 'category', 'global', 'none']) AS mode, category, n, round(unnest([sm, sc, sg, s0]), 4) AS spread FROM (SELECT category, count(*) AS n, sum((reward - m) ** 2) AS sm, sum((reward - c) ** 2) AS sc, sum((reward - g) ** 2) AS sg, sum(reward ** 2) AS s0 FROM b GROUP BY 1)""",
     "action_softmax": f"""WITH {_T}, g AS (SELECT user_id, coord, count(*) AS n, avg(reward) AS q FROM t WHERE coord IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, sum(n) OVER w AS parent, exp((q - max(q) OVER w) / 10) AS e, max(q) OVER w AS best FROM g WINDOW w AS (PARTITION BY user_id)),
 s AS (SELECT *, e / sum(e) OVER (PARTITION BY user_id) AS prior FROM p)
 SELECT user_id, coord, n, round(q, 6) AS q, round(q + 0.5 * sqrt(2 * ln(parent) / n), 6) AS ucb, round(q + 0.5 * sqrt(ln(parent + 2) / (n + 1)) + prior / (n + 1), 6) AS ucb_prior, round(prior, 6) AS prior, round(1.5 * prior * sqrt(parent) / (1 + n), 6) AS bonus, round(least(0.7, greatest(0, q / (best + 1e-9))), 6) AS skip FROM s""",

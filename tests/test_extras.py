@@ -37,8 +37,8 @@ def test_tet_box_metrics(spark):
     assert r[1].bvs == pytest.approx(6) and r[1].covered == pytest.approx(1) and r[1].viou == pytest.approx(1 / 6)
     assert r[2].covered == pytest.approx(1) and r[2].bvs == pytest.approx(7.5) and r[3].covered == 0 and r[3].tov == pytest.approx(6)
     nine = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 1.0, float(i + 1)) for i in range(9)], BOX)
-    with pytest.raises(Exception, match="more than 8"):
-        V.tet_box_metrics(t, nine, "k").collect()
+    x = V.tet_box_metrics(t, nine, "k").first()
+    assert x.bvs == pytest.approx(270) and x.covered == pytest.approx(1) and x.tov == pytest.approx(53)
 
 
 def test_overlap_metrics(spark):
@@ -104,3 +104,33 @@ def test_readiness_of_all_meshes(spark, tmp_path):
     spark.createDataFrame(rows, "mesh_id string, stage string, status string").write.parquet(str(tmp_path / "stage_record.parquet"))
     got = {r.lacking: (r.meshes, r.ready) for r in X.readiness(spark, str(tmp_path)).collect()}
     assert got == {"": (1, True), "normalize,merge,refine": (1, False), "normalize,tetra,merge,refine": (2, False)}
+
+
+def test_many_boxes_are_cut_into_cells(spark):
+    from meshquarry.functions import boxes as B
+    from meshquarry.operators import volumes as V
+
+    # ten boxes side by side and one around the first nine: more than inclusion and exclusion takes
+    rows = [("m", float(i), 0.0, 0.0, i + 1.0, 1.0, 1.0) for i in range(10)] + [("m", 0.0, 0.0, 0.0, 9.0, 1.0, 1.0), ("few", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    b = spark.createDataFrame(rows, "k string, " + ", ".join(f"{c} double" for c in B.BOUNDS))
+    corner = (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+    t = spark.createDataFrame([("m", *corner), ("few", *corner)], "k string, " + ", ".join(f"{c} double" for c in V.CORNERS))
+    got = {r.k: r for r in V.tet_box_metrics(t, b, "k").collect()}
+    assert abs(got["m"].covered - 1) < 1e-9 and abs(got["m"].bvs - 19 * 6) < 1e-9 and abs(got["m"].tov - (10 - 1 / 6) * 6) < 1e-9 and abs(got["few"].tov - 5) < 1e-9
+
+
+def test_gelu_and_auc_of_one_group(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from meshquarry.operators import scoring as S
+
+    d = spark.createDataFrame([(x,) for x in (-3.0, 0.0, 1.0, None)], "x double")
+    want = [0.5 * x * (1 + math.erf(x / math.sqrt(2))) for x in (-3.0, 0.0, 1.0)]
+    assert [r.g for r in d.select(S.gelu(F.col("x")).alias("g")).collect()][:3] == want
+    rows = [(i % 2, (i * 7919 % 101) / 10.0) for i in range(400)]
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    r = S.roc_auc(spark.createDataFrame(rows, "y int, s double").repartition(7), F.col("y"), F.col("s")).first()
+    assert abs(r.auc - auc) < 1e-12 and (r.positives, r.negatives) == (200, 200)
