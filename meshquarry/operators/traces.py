@@ -99,13 +99,14 @@ def ring_buffer(df: DataFrame, order: Sequence[Column], capacity: int) -> DataFr
     return df.orderBy(*(c.desc() for c in order)).limit(capacity)
 
 
-def priority_draws(df: DataFrame, key: str, priority: Column, draws: int, beta: float, seed: int = 0, buckets: int = 1024) -> DataFrame:
+def priority_draws(df: DataFrame, key: str, priority: Column, draws: int, beta: float, seed: int = 0, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
     """draw, key, probability, weight: ``draws`` proportional draws by prefix sums.
 
     The running sum goes over bucket sums first (few rows), then within a bucket, so no task sees all rows. Draw i falls on
-    (i + u) / draws of the sum, u from the seed. The weight is (probability * N)^-beta over the largest such.
+    (i + u) / draws of the sum, u from the seed. The weight is (probability * N)^-beta over the largest such. Rows go in order
+    of ``bucket`` (0 ... buckets - 1, by default a hash of the key), then of the key.
     """
-    d = df.select(F.col(key).alias("k"), priority.cast("double").alias("p")).filter(F.col("p") > 0).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)))
+    d = df.select(F.col(key).alias("k"), priority.cast("double").alias("p"), (bucket if bucket is not None else F.lit(0)).alias("_b")).filter(F.col("p") > 0).withColumn("b", F.col("_b") if bucket is not None else F.pmod(F.xxhash64("k"), F.lit(buckets)))
     sums = d.groupBy("b").agg(F.sum("p").alias("s"), F.count("*").alias("n"), F.min("p").alias("least"))
     one = W.partitionBy(F.lit(0))  # at most `buckets` rows
     starts = sums.select("b", (F.sum("s").over(one.orderBy("b")) - F.col("s")).alias("start"), F.sum("s").over(one).alias("all"), F.sum("n").over(one).alias("n_all"), F.min("least").over(one).alias("least"))

@@ -134,7 +134,28 @@ QUERIES = {f.__name__: f for f in (box_overlap_metrics, tet_clip_metrics, label_
 _K = "regexp_replace(regexp_replace(regexp_replace(trim(lower({0}), e' \\t\\r\\n'), '^.*[/\\\\]', ''), '\\.(obj|off|ply|stl|msh|json|jsonl|csv|tsv|txt|parquet|log)$', ''), '[^\\pL\\pN]+', '', 'g')"
 _FC = "CASE WHEN lower(trim(status)) IN ('failed', 'error', 'timeout') THEN CASE WHEN lower(coalesce(error, '')) = '' THEN 'no_message' " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(error, '')), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in M.FAILURE_RULES) + " ELSE 'unknown' END END"
 
+_OPEN = f"o AS (SELECT mesh, part, CASE part WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS bbox_idx, {D.FIT} FROM p WHERE status = 'O' GROUP BY 1, 2)"
+
+
+def _meets(name: str, of: str) -> str:
+    """CTE of the intersections of one, two and three of a set's boxes, with the sign of inclusion and exclusion."""
+    many = lambda *n: "SELECT a.mesh, " + ", ".join(f"greatest({', '.join(f'{x}.min_{a}' for x in n)}) AS min_{a}, least({', '.join(f'{x}.max_{a}' for x in n)}) AS max_{a}" for a in "xyz")
+    valid = f"{name}v AS (SELECT * FROM {of} WHERE min_x < max_x AND min_y < max_y AND min_z < max_z)"
+    return f"""{valid}, {name} AS ({many("a")}, 1 AS sign FROM {name}v a UNION ALL {many("a", "b")}, -1 FROM {name}v a JOIN {name}v b ON a.mesh = b.mesh AND a.bbox_idx < b.bbox_idx
+UNION ALL {many("a", "b", "c")}, 1 FROM {name}v a JOIN {name}v b ON a.mesh = b.mesh AND a.bbox_idx < b.bbox_idx JOIN {name}v c ON a.mesh = c.mesh AND b.bbox_idx < c.bbox_idx)"""
+
+
+def _volume(*n: str) -> str:
+    return " * ".join(f"greatest(0, least({', '.join(f'{x}.max_{a}' for x in n)}, 1e300) - greatest({', '.join(f'{x}.min_{a}' for x in n)}, -1e300))" for a in "xyz")
+
+
 ORACLE = {
+    "box_overlap_metrics": f"""WITH {D.BOXES}, {_OPEN}, {_meets("s", "b")}, {_meets("q", "o")},
+vs AS (SELECT mesh, sum(sign * {_volume("s")}) AS s FROM s GROUP BY 1), vq AS (SELECT mesh, sum(sign * {_volume("q")}) AS b FROM q GROUP BY 1),
+sh AS (SELECT s.mesh, sum(s.sign * q.sign * {_volume("s", "q")}) AS shared FROM s JOIN q USING (mesh) GROUP BY 1),
+i AS (SELECT x.mesh, x.bbox_idx, {_volume("x")} AS v, sum(s.sign * {_volume("s", "x")}) AS i FROM qv x JOIN s USING (mesh) GROUP BY ALL),
+m AS (SELECT mesh, max(CASE WHEN i > 1e-10 THEN (v - i) / i ELSE 0 END) AS mov, sum(v) AS total FROM i GROUP BY 1)
+SELECT mesh, round(total / s, 6) AS bvs, round(shared / s, 6) AS covered, round((b - shared) / s, 6) + 0.0 AS tov, round(shared / (s + b - shared), 6) AS viou, round(mov, 6) + 0.0 AS mov FROM vs JOIN vq USING (mesh) JOIN sh USING (mesh) JOIN m USING (mesh) WHERE s > 1e-10""",
     "label_sets": f"""WITH {D.BOXES}, l AS (SELECT p.i, p.mesh, p.weight, coalesce(string_agg(b.part, '' ORDER BY b.part), '') AS label FROM (SELECT row_number() OVER () AS i, * FROM p) p LEFT JOIN b ON p.mesh = b.mesh AND p.x BETWEEN b.min_x AND b.max_x AND p.y BETWEEN b.min_y AND b.max_y AND p.z BETWEEN b.min_z AND b.max_z GROUP BY 1, 2, 3)
 SELECT label, count(*) AS n, count(DISTINCT mesh) AS meshes, sum(weight) AS weight FROM l GROUP BY 1""",
     "prefix_bounds": f"""WITH {D.BOXES}, w AS (SELECT mesh, bbox_idx, {" * ".join(f"(max(max_{a}) OVER q - min(min_{a}) OVER q)" for a in "xyz")} AS pre, sum({D.VOLUME}) OVER (PARTITION BY mesh) - {D.VOLUME} AS rest FROM b WINDOW q AS (PARTITION BY mesh ORDER BY bbox_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

@@ -72,7 +72,7 @@ def replay_buffer(spark: S_, d: str) -> DataFrame:
 
 def priority_sample(spark: S_, d: str) -> DataFrame:
     """500 draws in proportion to the absolute reward, with importance weights."""
-    s = T.priority_draws(_trace(spark, d), "event_id", F.abs("reward"), 500, 0.4)
+    s = T.priority_draws(_trace(spark, d), "event_id", F.abs("reward"), 500, 0.4, bucket=F.pmod("event_id", F.lit(1024)))
     return s.select("draw", "event_id", F.round("probability", 9).alias("probability"), F.round("weight", 6).alias("weight"))
 
 
@@ -144,6 +144,9 @@ SELECT event_id, round(CASE WHEN d0 THEN r0 WHEN c1 = 'error' THEN r0 + r1 / 2 E
     "validation_split": "WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT count(*) AS n FROM u) SELECT user_id, row_number() OVER (ORDER BY user_id DESC) <= least(n - 1, greatest(1, round_even(n * 0.2, 0))) AS is_validation FROM u, n",
     "balanced_chunks": "WITH p AS (SELECT *, (row_number() OVER (PARTITION BY category ORDER BY mesh_id) - 1) // 25 AS chunk FROM mesh_model), c AS (SELECT category, chunk, count(*) AS n, min(mesh_id) AS first_mesh FROM p GROUP BY 1, 2) SELECT category, chunk, row_number() OVER (ORDER BY chunk, category) AS turn, n, first_mesh FROM c",
     "contrast_pairs": f"WITH {_T} SELECT b.user_id, b.event_id AS hi, t.event_id AS lo, round(b.reward - t.reward, 2) AS gap FROM t b JOIN t USING (user_id) WHERE b.reward > 0 AND t.reward <= 0 ORDER BY b.reward - t.reward DESC, hi, lo LIMIT 1000",
+    "priority_sample": f"""WITH {_T}, p AS (SELECT event_id, abs(reward) AS p FROM t WHERE abs(reward) > 0), c AS (SELECT *, sum(p) OVER (ORDER BY event_id % 1024, event_id) AS hi, sum(p) OVER () AS al, count(*) OVER () AS n, min(p) OVER () AS least FROM p),
+h AS (SELECT *, ceil((hi - p) / al * 500 - 0.5::DOUBLE) AS first, ceil(hi / al * 500 - 0.5::DOUBLE) - 1 AS last FROM c)
+SELECT unnest(range(first::BIGINT, last::BIGINT + 1)) AS draw, event_id, round(p / al, 9) AS probability, round(pow(p / al * n, -0.4::DOUBLE) / pow(least / al * n, -0.4::DOUBLE), 6) AS weight FROM h WHERE last >= first""",
     "reward_baselines": f"""WITH {_T}, b AS (SELECT *, avg(reward) OVER (PARTITION BY user_id) AS m, avg(reward) OVER (PARTITION BY category) AS c, avg(reward) OVER () AS g FROM t)
 SELECT unnest(['mesh', 'category', 'global', 'none']) AS mode, category, n, round(unnest([sm, sc, sg, s0]), 4) AS spread FROM (SELECT category, count(*) AS n, sum((reward - m) ** 2) AS sm, sum((reward - c) ** 2) AS sc, sum((reward - g) ** 2) AS sg, sum(reward ** 2) AS s0 FROM b GROUP BY 1)""",
     "action_softmax": f"""WITH {_T}, g AS (SELECT user_id, coord, count(*) AS n, avg(reward) AS q FROM t WHERE coord IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, sum(n) OVER w AS parent, exp((q - max(q) OVER w) / 10) AS e, max(q) OVER w AS best FROM g WINDOW w AS (PARTITION BY user_id)),
