@@ -227,16 +227,24 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int, block: int = 40
         sent = spark.sparkContext.broadcast(([r.vec_id for r in own], np.array([r.embedding for r in own], dtype=np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, m = sent.value
+            ids, m = np.array(sent.value[0], dtype=np.int64), sent.value[1]
             for b in batches:
                 rows = [(v, e) for v, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if e is not None and m.ndim == 2 and len(e) == m.shape[1]]
                 rows.sort(key=lambda r: r[0])
                 vid, x = np.array([v for v, _ in rows], dtype=np.int64), np.array([e for _, e in rows], dtype=np.float64)
                 if not len(vid):
                     continue
-                d2 = np.stack([((x - row) ** 2).sum(1) for row in m])
-                best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(vid[best].ravel()), pa.array(np.take_along_axis(d2, best, 1).ravel())], names=["query_id", "vec_id", "d2"])
+                # a matrix product finds who may be among the k nearest, within its rounding; their distances are then taken exactly
+                x2, m2 = (x * x).sum(1), (m * m).sum(1)
+                rough = x2[None] - 2 * (m @ x.T)
+                top = min(k, len(vid)) - 1
+                slack = 1e-12 * x.shape[1] * (x2.max(initial=0.0) + m2)[:, None]
+                q, at = np.nonzero(rough <= np.partition(rough, top, axis=1)[:, top : top + 1] + slack)
+                d2 = np.concatenate([((x[at[i : i + 65536]] - m[q[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(q), 65536)])
+                order = np.lexsort((at, d2, q))
+                q, at, d2 = q[order], at[order], d2[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(vid[at[keep]]), pa.array(d2[keep])], names=["query_id", "vec_id", "d2"])
 
         part = vectors.select("vec_id", "embedding").mapInArrow(run, schema)
         out = part if out is None else out.union(part)
