@@ -245,6 +245,12 @@ def td_target(reward: Column, done: Column, next_q: Column, gamma: float) -> Col
     return reward + F.when(done, 0.0).otherwise(gamma * next_q)
 
 
+def huber(error: Column, delta: float = 1.0) -> Column:
+    """Half the square within ``delta``, linear beyond."""
+    a = F.abs(error)
+    return F.when(a <= delta, 0.5 * error * error).otherwise(delta * (a - 0.5 * delta))
+
+
 def blended(a: Column, b: Column, tau: float) -> Column:
     """tau * a + (1 - tau) * b of two arrays of parameters."""
     return F.zip_with(a, b, lambda x, y: tau * x + (1 - tau) * y)

@@ -81,6 +81,28 @@ def cascade(df: DataFrame, group: Sequence[str], proxy: Column, exact: Column, k
     return best.join(maybe_broadcast(n), list(group)).select(*group, (-F.col("b.k")).alias(key), F.col("b.e").alias("exact"), "checked", (F.col("_n") - F.col("checked")).alias("skipped"))
 
 
+def bounded_best(df: DataFrame, group: Sequence[str], bound: Column, exact: Column, key: str, first: int) -> DataFrame:
+    """group, key, exact, checked, skipped: the exact best of each group, computed only where it may be.
+
+    The ``first`` rows by upper bound (ties: the lower key) are computed, then those whose bound beats the best of these; the
+    others can't win. Ties in the exact value go to the lower key. Rows of a group aren't gathered: a group costs its
+    first rows and one number that is joined back.
+    """
+    from meshquarry.session import salted_join, spill
+
+    d = spill(df.withColumn("_b", bound.cast("double")), "bounds")
+    order = F.row_number().over(W.partitionBy(*group).orderBy(F.desc_nulls_last("_b"), F.asc(key)))
+    top = d.withColumn("_r", order).filter(F.col("_r") <= first).withColumn("_e", exact.cast("double"))
+    k = F.struct(*group)
+    found = top.groupBy(k.alias("_k")).agg(F.max("_e").alias("_found"), F.collect_list(key).alias("_first"))
+    j = salted_join(d.withColumn("_k", k), found, "_k", F.xxhash64(key), how="inner")
+    live = F.array_contains("_first", F.col(key)) | (F.col("_b") > F.col("_found"))
+    j = j.withColumn("_e", F.when(live, exact.cast("double")))
+    best = F.max(F.when(live, F.struct(F.col("_e").alias("e"), (-F.col(key)).alias("k"))))
+    g = j.groupBy(*group).agg(best.alias("b"), F.count_if(live).alias("checked"), F.count_if(~live).alias("skipped"))
+    return g.select(*group, (-F.col("b.k")).alias(key), F.col("b.e").alias("exact"), "checked", "skipped")
+
+
 def diverse_escape(df: DataFrame, group: Sequence[str], score: str, action: str, bbox: str, coord: str, keep: int) -> DataFrame:
     """group, picks: ``keep`` actions by score that repeat no used box together with a used coord, the last slot free, then filled by score.
 
