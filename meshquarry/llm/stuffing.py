@@ -48,7 +48,7 @@ HOST_WEIGHT = 0.5
 _LINK = re.compile(r"://|^www\.|\[\.\]|href=|^#\w|\w\.\w[\w-]+(?:/|$)|\w@\w+\.", re.I)
 _HOST = re.compile(r"(?:://)?((?:[\w-]+(?:\.|\[\.\]))+\w{2,})")
 _SENTENCE = re.compile(r"(?<=[.?!…])\s+(?=[^\s\d])")
-_SPLIT = {i: " " for i in range(0x2700) if not chr(i).isalnum() and chr(i) not in "'’"}
+_SPLIT = {i: " " for i in range(0x2700) if not chr(i).isalnum() and chr(i) not in "'’\n"}
 _MARKUP = re.compile(r"</?[a-z]{1,4}>|\{[^}\n]{0,40}\}", re.I)
 
 #: The view that the weak labels are made from, and the content and link features that the trees see.
@@ -60,6 +60,12 @@ PAGE = "doc_id long, source string, words long, units string, " + ", ".join(f"{f
 WEIGHED = "doc_id long, source string, words long, label double, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
+def _is_link(word: str) -> bool:
+    """Whether a word is a link or tag; plain words (with one sign at their end) are told without a pattern."""
+    head = word[:-1]
+    return not (word.isalnum() or (head.isalnum() and word[-1] != "=")) and _LINK.search(word) is not None
+
+
 def units(text: str) -> list[str]:
     """Lines outside header, cue numbers and times; sentences where a line does not end in a link."""
     t = without_times(repair_encoding(text.replace("\r\n", "\n").replace("\r", "\n")))
@@ -69,7 +75,7 @@ def units(text: str) -> list[str]:
     for line in t.split("\n"):
         line = line.strip()
         if line:
-            out += [line] if _LINK.search(line.rsplit(" ", 1)[-1]) else _SENTENCE.split(line)
+            out += [line] if _is_link(line.rsplit(" ", 1)[-1]) else _SENTENCE.split(line)
     return out
 
 
@@ -82,23 +88,24 @@ def page_views(text: str | None) -> tuple:
     if not text:
         return nothing
     own = units(text)
-    raw = [w for u in own for w in u.split()]
-    parsed = [w for u in own if (w := tuple(u.lower().translate(_SPLIT).split()))]
+    whole = "\n".join(own)
+    raw = whole.split()
+    parsed = [w for u in whole.lower().translate(_SPLIT).split("\n") if (w := tuple(u.split()))]
     n = sum(map(len, parsed))
     if not n:
         return nothing
-    linked = [w for w in raw if _LINK.search(w)]
+    linked = [w for w in raw if _is_link(w)]
     once = list(dict.fromkeys(parsed))
     blocks = [once[i : i + TOGETHER] for i in range(0, len(once), TOGETHER)]
     weight = [sum(map(len, b)) for b in blocks]
     repeats = sum(w * _pair_repeats(b) for w, b in zip(weight, blocks)) / sum(weight)
-    separators = sum(u.count(",") + u.count("|") + u.count(";") for u in own) / len(raw)
+    separators = sum(map(whole.count, ",|;")) / len(raw)
     sizes = np.fromiter(map(len, parsed), float)
     hosts = {m[1].lower() for w in linked if (m := _HOST.search(w))}
     beside = [len(u.split()) for u in own if _LINK.search(u)] if linked else []
     return (
         n, "\n".join(" ".join(u) for u in parsed), len(linked) / len(raw), repeats, separators, max(Counter(parsed).values()) / len(parsed),
-        sum(map("".join(raw).count, "0123456789")) / sum(map(len, raw)), 1 - sum(len(set(u)) for u in parsed) / n, float(sizes.mean()), float(sizes.std()), len(hosts) / len(linked) if linked else 0.0, (sum(beside) - len(linked)) / len(beside) if beside else 0.0,
+        sum(map(whole.count, "0123456789")) / sum(map(len, raw)), 1 - sum(len(set(u)) for u in parsed) / n, float(sizes.mean()), float(sizes.std()), len(hosts) / len(linked) if linked else 0.0, (sum(beside) - len(linked)) / len(beside) if beside else 0.0,
     )
 
 
