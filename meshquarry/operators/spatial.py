@@ -162,6 +162,17 @@ def tet_adjacency(tets: DataFrame, mesh: str) -> DataFrame:
     return pair.filter(F.col("src") != F.col("dst")).distinct()
 
 
+def face_ties(tets: DataFrame, mesh: str) -> DataFrame:
+    """mesh, src (tet_id), dst (a negative number per face): tetrahedra tied to their shared faces.
+
+    A row per owner of a face, however many own it; the pieces of this graph are those of :func:`tet_adjacency`.
+    """
+    f = tet_faces(tets, mesh).select(mesh, "key", "tet_id")
+    shared = f.groupBy(mesh, "key").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(F.struct(mesh, "key").alias("_f"))
+    f = salted_join(f.withColumn("_f", F.struct(mesh, "key")), shared, "_f", F.col("tet_id"), how="inner")
+    return f.select(mesh, F.col("tet_id").alias("src"), (-F.pmod(F.xxhash64("key"), F.lit((1 << 62) - 1)) - 1).alias("dst"))
+
+
 def surface_faces(tets: DataFrame, mesh: str) -> DataFrame:
     """Faces that belong to one tetrahedron only, in the orientation given there."""
     f = tet_faces(tets, mesh)

@@ -156,6 +156,18 @@ sh AS (SELECT s.mesh, sum(s.sign * q.sign * {_volume("s", "q")}) AS shared FROM
 i AS (SELECT x.mesh, x.bbox_idx, {_volume("x")} AS v, sum(s.sign * {_volume("s", "x")}) AS i FROM qv x JOIN s USING (mesh) GROUP BY ALL),
 m AS (SELECT mesh, max(CASE WHEN i > 1e-10 THEN (v - i) / i ELSE 0 END) AS mov, sum(v) AS total FROM i GROUP BY 1)
 SELECT mesh, round(total / s, 6) AS bvs, round(shared / s, 6) AS covered, round((b - shared) / s, 6) + 0.0 AS tov, round(shared / (s + b - shared), 6) AS viou, round(mov, 6) + 0.0 AS mov FROM vs JOIN vq USING (mesh) JOIN sh USING (mesh) JOIN m USING (mesh) WHERE s > 1e-10""",
+    "box_assignment": f"""WITH {D.BOXES}, {_OPEN}, k AS (SELECT mesh, b.bbox_idx AS l, o.bbox_idx AS r, round(({" + ".join(f"abs(b.{c} - o.{c})" for c in B.BOUNDS)}) / 6, 6) AS cost FROM b JOIN o USING (mesh)),
+a1 AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY cost, l, r) = 1),
+a2 AS (SELECT k.* FROM k JOIN a1 USING (mesh) WHERE k.l <> a1.l AND k.r <> a1.r QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY k.cost, k.l, k.r) = 1),
+a3 AS (SELECT k.* FROM k JOIN a1 USING (mesh) JOIN a2 USING (mesh) WHERE k.l NOT IN (a1.l, a2.l) AND k.r NOT IN (a1.r, a2.r) QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY k.cost, k.l, k.r) = 1)
+SELECT mesh, l, r, cost FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3""",
+    "escape_sets": G._EDITS.replace("UNIT", "0.5").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, u AS (SELECT mesh, action, bbox_idx AS b, coord_idx AS c, row_number() OVER (PARTITION BY mesh ORDER BY round(-abs((al - v + greatest(b0 - a0, 0) * greatest(b1 - a1, 0) * greatest(b2 - a2, 0)) / (al * 0.9) - 1), 6) DESC, action) AS k, count(*) OVER (PARTITION BY mesh) AS n FROM e WHERE al > 0 AND coord_idx < 6),
+r AS (SELECT DISTINCT mesh, 0::BIGINT AS k, n, []::BIGINT[] AS p, []::BIGINT[] AS bs, []::BIGINT[] AS cs FROM u
+UNION ALL SELECT r.mesh, u.k, u.n, CASE WHEN skip THEN p ELSE list_append(p, action) END, CASE WHEN skip THEN bs ELSE list_append(bs, b) END, CASE WHEN skip THEN cs ELSE list_append(cs, c) END
+FROM r JOIN (SELECT * FROM u) u ON r.mesh = u.mesh AND u.k = r.k + 1, LATERAL (SELECT len(p) >= 4 OR (len(p) < 3 AND list_contains(bs, b) AND list_contains(cs, c)) AS skip)),
+f AS (SELECT mesh, p FROM r WHERE k = n), x AS (SELECT mesh, p, list(action ORDER BY u.k) FILTER (WHERE NOT list_contains(p, action)) AS rest FROM f JOIN u USING (mesh) GROUP BY 1, 2)
+SELECT mesh, array_to_string(list_concat(p, coalesce(rest, []))[:4], ',') AS picks FROM x""",
     "label_sets": f"""WITH {D.BOXES}, l AS (SELECT p.i, p.mesh, p.weight, coalesce(string_agg(b.part, '' ORDER BY b.part), '') AS label FROM (SELECT row_number() OVER () AS i, * FROM p) p LEFT JOIN b ON p.mesh = b.mesh AND p.x BETWEEN b.min_x AND b.max_x AND p.y BETWEEN b.min_y AND b.max_y AND p.z BETWEEN b.min_z AND b.max_z GROUP BY 1, 2, 3)
 SELECT label, count(*) AS n, count(DISTINCT mesh) AS meshes, sum(weight) AS weight FROM l GROUP BY 1""",
     "prefix_bounds": f"""WITH {D.BOXES}, w AS (SELECT mesh, bbox_idx, {" * ".join(f"(max(max_{a}) OVER q - min(min_{a}) OVER q)" for a in "xyz")} AS pre, sum({D.VOLUME}) OVER (PARTITION BY mesh) - {D.VOLUME} AS rest FROM b WINDOW q AS (PARTITION BY mesh ORDER BY bbox_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

@@ -18,8 +18,8 @@ S_ = SparkSession
 
 def tet_components(spark: S_, d: str) -> DataFrame:
     """Connected pieces of each mesh's face-sharing tetrahedra."""
-    c = L.components(S.tet_adjacency(D.tets(spark, d), "mesh"), "mesh")
-    return c.groupBy("mesh", "component").agg(F.count("*").alias("tets"))
+    c = L.components(S.face_ties(D.tets(spark, d), "mesh"), "mesh").filter(F.col("v") >= 0)
+    return c.groupBy("mesh", "component").agg(F.min("v").alias("first"), F.count("*").alias("tets")).select("mesh", F.col("first").alias("component"), "tets")
 
 
 def box_suppression(spark: S_, d: str) -> DataFrame:

@@ -177,6 +177,11 @@ SELECT unnest(['segment', 'json']) AS form, mesh, row_number() OVER (PARTITION B
     "table_files": "SELECT unnest(['csv', 'tsv', 'jsonl']) AS form, c_mktsegment, n, keys, balance FROM (SELECT c_mktsegment, count(*) AS n, sum(c_custkey) AS keys, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1)",
     "mesh_list_files": "SELECT coalesce(category, 'none') AS category, count(*) AS meshes, count(DISTINCT mesh_id) AS ids, count(*) AS listed FROM mesh_model GROUP BY 1",
     "found_files": "SELECT s_nationkey AS category, s_suppkey AS mesh, octet_length(encode(s_name)) + 1 AS bytes FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY 'mesh=' || s_suppkey) <= 3",
+    "obj_part_meshes": r"""WITH l AS (SELECT obj_file AS file, line_no, string_split_regex(trim(raw_line), '[ \t]+') AS p, sum(regexp_matches(raw_line, '^\s*usemtl(\s|$)')::INT) OVER (PARTITION BY obj_file ORDER BY line_no) AS part FROM obj_line),
+n AS (SELECT file, count(*) AS n FROM l WHERE p[1] = 'v' GROUP BY 1), t AS (SELECT file, part, line_no, unnest(p[2:]) AS t FROM l WHERE p[1] = 'f' AND len(p) >= 4),
+i AS (SELECT file, part, line_no, CASE WHEN regexp_full_match(split_part(t, '/', 1), '[+-]?[0-9]+\s*') THEN TRY_CAST(split_part(t, '/', 1) AS BIGINT) END AS i FROM t),
+g AS (SELECT i.*, n, CASE WHEN i < 0 THEN n + i + 1 ELSE i END AS g FROM i JOIN n USING (file)), ok AS (SELECT * FROM g QUALIFY bool_and(coalesce(g BETWEEN 1 AND n, false)) OVER (PARTITION BY file, line_no))
+SELECT file, part, count(DISTINCT line_no) AS faces, count(*) AS corners, count(DISTINCT g) AS vertices FROM ok GROUP BY 1, 2""",
     "proposal_labels": f"""WITH {D.BOXES}, r AS (SELECT mesh, {D.VOLUME} AS v, 4 * (min_x + min_y + min_z + max_x + max_y + max_z) AS c, row_number() OVER (PARTITION BY mesh ORDER BY {D.VOLUME} DESC, {", ".join(B.BOUNDS)}) AS k FROM b)
 SELECT mesh, count(*) AS boxes, round(max(v), 9) AS largest, round(sum(c), 5) AS corners FROM r WHERE k <= 2 GROUP BY 1""",
     "cache_keys": """WITH k AS (SELECT mesh_no, sha256('{"category":' || coalesce('"' || category || '"', 'null') || ',"vertex_count":' || coalesce(vertex_count::VARCHAR, 'null') || '}')[:24] AS key FROM mesh_model)
