@@ -149,8 +149,9 @@ def complete_records(lines: DataFrame, bare_as: str = "0") -> DataFrame:
     """
     bare = F.regexp_replace("payload", r"([:\[,]\s*)(NaN|[+-]?Infinity)(?=\s*[,}\]])", f"$1 {bare_as}")
     bare = F.when(F.contains("payload", F.lit("NaN")) | F.contains("payload", F.lit("Infinity")), bare).otherwise(F.col("payload"))
-    v = F.try_parse_json(F.when(F.rtrim("payload").endswith("}"), bare))
-    return lines.withColumn("v", v).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    text = F.trim("payload", F.lit(" \t\r\n"))
+    v = F.try_parse_json(F.when(text.startswith("{") & text.endswith("}"), bare))
+    return lines.withColumn("v", v).filter(F.col("v").isNotNull())
 
 
 def writer_of(c: Column) -> Column:
@@ -161,36 +162,44 @@ def writer_of(c: Column) -> Column:
 def file_fields(lines: DataFrame) -> DataFrame:
     """One row per file: trace_file, records, writer, seq, all names, and its fields (name, type or null for only nulls, n, keys, values).
 
-    Keys are the names nested anywhere in a field's objects, values its least and greatest value (long ones by digest).
+    Keys are the names nested anywhere in a field's objects, values the hashes of up to four of its values: those that come
+    first and last in two random orders, the same in every file, so equal sets of values have equal samples.
 
     Columns read: trace_file, written_at, payload. Rows without a file are dropped.
     """
     recs = complete_records(lines.filter(F.col("trace_file").isNotNull()).select("trace_file", "written_at", "payload"))
     spark = lines.sparkSession
     entries = spark.sql(
-        """SELECT r.trace_file, r.written_at, e.pos, e.key AS name, schema_of_variant(e.value) AS shape, e.value AS val
+        """SELECT r.trace_file, r.written_at, e.pos, e.key AS name, e.value AS val, to_json(e.value) AS text
            FROM {recs} AS r, LATERAL variant_explode_outer(r.v) AS e""",
         recs=recs.select("trace_file", "written_at", "v"),
     )
-    kind = (
-        F.when(F.col("shape") == "VOID", None).when(F.col("shape") == "STRING", "string").when(F.col("shape") == "BOOLEAN", "boolean")
-        .when(F.col("shape").startswith("ARRAY"), "array").when(F.col("shape").startswith("OBJECT"), "object").otherwise("number")
+    first = F.substring("text", 1, 1)
+    kind = F.when(first == '"', "string").when(first == "[", "array").when(first == "{", "object").when(first.isin("t", "f"), "boolean").when(first != "n", "number")
+    # only nested values are looked at for their shape; texts count by hash, so the sums run in Spark's hash aggregation
+    shape = F.when(kind.isin("array", "object"), F.expr("schema_of_variant(val)"))
+    a, b = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    marks = [F.when(kind.isNotNull(), h) for h in (a, b)]
+    entries = entries.select("trace_file", "written_at", "pos", "name", kind.alias("type"), shape.alias("shape"), *(m.alias(f"h{i}") for i, m in enumerate(marks)))
+    per_type = entries.groupBy("trace_file", "name", "type", "shape").agg(
+        F.count("*").alias("n"), F.min("written_at").alias("first_at"), F.count(F.when(F.col("pos") == 0, 1)).alias("n_first"),
+        *(f(f"h{i}").alias(f"{n}{i}") for i in range(2) for n, f in (("lo", F.min), ("hi", F.max))),
     )
-    text = F.when(kind == "number", F.expr("cast(try_variant_get(val, '$', 'double') AS STRING)")).when(kind.isin("array", "object"), F.to_json("val")).otherwise(F.expr("try_variant_get(val, '$', 'string')"))
-    entries = entries.withColumn("kind", kind).withColumn("text", text).withColumn("nested", F.when(F.col("kind").isin("array", "object"), F.col("val")))
-    val = F.when(F.length("text") <= 64, F.col("text")).otherwise(F.md5("text"))
-    per_type = entries.groupBy("trace_file", "name", F.col("kind").alias("type")).agg(
-        F.count("*").alias("n"), F.min("written_at").alias("first_at"), F.min(val).alias("lo"), F.max(val).alias("hi"), F.expr("schema_of_variant_agg(nested)").alias("inner"),
-        F.count(F.when(F.col("pos") == 0, 1)).alias("n_first"),
+    marks = [f"{n}{i}" for i in range(2) for n in ("lo", "hi")]
+    per_type = per_type.groupBy("trace_file", "name", "type").agg(
+        F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.sum("n_first").alias("n_first"), F.array_join(F.collect_set("shape"), ";").alias("inner"),
+        F.struct(*((F.min if m[:2] == "lo" else F.max)(m).alias(m) for m in marks)).alias("marks"),
     )
     strength = F.struct(F.col("type").isNotNull().alias("typed"), F.col("n"), F.col("type"))
     per_field = per_type.groupBy("trace_file", "name").agg(
         F.max_by("type", strength).alias("type"), F.sum("n").alias("n"), F.sum("n_first").alias("n_first"), F.min("first_at").alias("first_at"),
-        F.max_by("inner", strength).alias("inner"), F.max_by("lo", strength).alias("lo"), F.max_by("hi", strength).alias("hi"),
+        F.max_by("inner", strength).alias("inner"), F.max_by("marks", strength).alias("marks"),
     )
+    keys = F.array_distinct(F.regexp_extract_all("inner", F.lit(r"[<,] *`?([^<>:,`]+)`?:"), F.lit(1)))
+    values = F.array_distinct(F.array_compact(F.array(*(F.col(f"marks.{m}").cast("string") for m in marks))))
     files = per_field.groupBy("trace_file").agg(
         F.min("first_at").alias("first_at"), F.sum("n_first").alias("records"),
-        F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "type", "n", F.regexp_extract_all("inner", F.lit(r"[<,] *`?([^<>:,`]+)`?:"), F.lit(1)).alias("keys"), F.array_distinct(F.array_compact(F.array("lo", "hi"))).alias("values")))).alias("fields"),
+        F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "type", "n", keys.alias("keys"), values.alias("values")))).alias("fields"),
         F.array_compact(F.collect_list("name")).alias("names"),
     )
     files = files.withColumn("fields", F.filter("fields", lambda f: f["n"] >= MIN_SHARE * F.col("records"))).withColumn("writer", writer_of(F.col("trace_file")))
