@@ -41,7 +41,8 @@ TOGETHER = 40
 MOST_WORDS = 250_000
 #: A word needs at least this many labelled pages for a weight.
 LEAST_PAGES = 5
-TREES, DEPTH = 20, 5
+#: Shallow trees, as deeper ones learn the errors of the weak labels.
+TREES, DEPTH = 40, 3
 #: Weight of the host's log odds in a page's.
 HOST_WEIGHT = 0.5
 
