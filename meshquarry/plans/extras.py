@@ -79,7 +79,7 @@ def escape_sets(spark: S_, d: str) -> DataFrame:
 
 
 def box_assignment(spark: S_, d: str) -> DataFrame:
-    """Boxes of closed items matched to those of open items by corner distance, greedily."""
+    """Boxes of closed items matched to those of open items by the mean distance of their bounds, greedily (the fallback of J20)."""
     a = D.indexed_boxes(spark, d).select("mesh", F.col("bbox_idx").alias("l"), *(F.col(c).alias(f"a_{c}") for c in B.BOUNDS))
     o = P.fit_boxes(D.points(spark, d).filter(F.col("status") == "O"), ["mesh", "part"])
     o = o.select("mesh", F.when(F.col("part") == "A", 0).when(F.col("part") == "N", 1).otherwise(2).alias("r"), *(F.col(c).alias(f"b_{c}") for c in B.BOUNDS))

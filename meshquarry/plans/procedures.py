@@ -41,7 +41,7 @@ def _segments(spark: S_, d: str) -> DataFrame:
 
 
 def segment_merge(spark: S_, d: str) -> DataFrame:
-    """Greedy merging of each part's segments, neighbours if they share a line number."""
+    """Greedy merging of each part's segments, neighbours if they share a line number."""
     p = _segments(spark, d)
     boxes = S.fit_boxes(p, ["mesh", "pid"])
     o = p.select("mesh", "l_linenumber", "pid").distinct()
