@@ -100,6 +100,25 @@ def group_out_means(df: DataFrame, fold: str, label: Column) -> DataFrame:
     return g.select(fold, "held_out", (F.sum("held_out").over(one) - F.col("held_out")).alias("n_train"), F.try_divide(F.sum("s").over(one) - F.col("s"), F.sum("held_out").over(one) - F.col("held_out")).alias("train_rate"))
 
 
+def fold_thresholds(df: DataFrame, fold: str, label: Column, score: Column) -> DataFrame:
+    """fold, held_out, threshold, mean_label, accuracy: a cut fitted on all other folds, tried on the fold left out.
+
+    The cut is the middle between the mean scores of the two classes in training (all sums less the fold's own, so no fold is
+    fitted by itself); where training has one class only, the threshold is null and its mean label is predicted. Rows
+    without fold, label or finite score are left out.
+    """
+    x = F.nanvl(score.cast("double"), F.lit(None).cast("double"))
+    d = df.select(F.col(fold).alias("_f"), label.cast("int").alias("_y"), x.alias("_x")).filter(F.col("_f").isNotNull() & F.col("_y").isNotNull() & F.col("_x").isNotNull())
+    sums = lambda v: [F.sum(F.when(F.col("_y") == v, 1).otherwise(0)).alias(f"n{v}"), F.sum(F.when(F.col("_y") == v, F.col("_x")).otherwise(0.0)).alias(f"s{v}")]
+    g = d.groupBy("_f").agg(*sums(0), *sums(1))
+    one = W.partitionBy(F.lit(0))  # one row per fold
+    rest = {c: F.sum(c).over(one) - F.col(c) for c in ("n0", "s0", "n1", "s1")}
+    t = g.select("_f", (F.try_divide(rest["s0"], rest["n0"]) / 2 + F.try_divide(rest["s1"], rest["n1"]) / 2).alias("threshold"), F.try_divide(rest["n1"], rest["n0"] + rest["n1"]).alias("mean_label"))
+    j = d.join(maybe_broadcast(t), "_f")
+    guess = F.when(F.col("threshold").isNotNull(), (F.col("_x") >= F.col("threshold")).cast("int")).otherwise((F.col("mean_label") >= 0.5).cast("int"))
+    return j.groupBy(F.col("_f").alias(fold)).agg(F.count("*").alias("held_out"), F.max("threshold").alias("threshold"), F.max("mean_label").alias("mean_label"), F.avg((guess == F.col("_y")).cast("double")).alias("accuracy"))
+
+
 def weighted_errors(df: DataFrame, predicted: Column, target: Column, weight: Column, by: Sequence[str] = ()) -> DataFrame:
     """Weighted mean squared and absolute error and share of right signs."""
     e = predicted - target

@@ -81,6 +81,13 @@ def cascade(df: DataFrame, group: Sequence[str], proxy: Column, exact: Column, k
     return best.join(maybe_broadcast(n), list(group)).select(*group, (-F.col("b.k")).alias(key), F.col("b.e").alias("exact"), "checked", (F.col("_n") - F.col("checked")).alias("skipped"))
 
 
+def learned_order(df: DataFrame, group: Sequence[str], learned: str, prior: Column, rank: Column) -> DataFrame:
+    """``df`` with ``value``: the learned score (its group's mean where there is none), plus 1e-9 of the prior and 1e-12 / (rank + 1) to break ties."""
+    x = F.nanvl(F.col(learned).cast("double"), F.lit(None).cast("double"))
+    mean = df.groupBy(*group).agg(F.avg(x).alias("_m"))
+    return df.join(maybe_broadcast(mean), list(group)).withColumn("value", F.coalesce(x, F.col("_m"), F.lit(0.0)) + 1e-9 * prior + 1e-12 / (rank + 1)).drop("_m")
+
+
 def bounded_best(df: DataFrame, group: Sequence[str], bound: Column, exact: Column, key: str, first: int) -> DataFrame:
     """group, key, exact, checked, skipped: the exact best of each group, computed only where it may be.
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
-from meshquarry.functions.text import is_success, name_key
+from meshquarry.functions.text import category_key, is_success, name_key
 from meshquarry.operators import manifest as M
+from meshquarry.operators import scoring as C
 from meshquarry.operators import selection as S
 from meshquarry.operators.bad_rows import valid_vertices
 from meshquarry.plans import frames as D
 from meshquarry.plans.geometry import _OBJ
-from meshquarry.plans.manifests import K
+from meshquarry.plans.manifests import CAT, K
 from meshquarry.session import salted_join, spill, table
 
 S_ = SparkSession
@@ -85,7 +86,35 @@ def best_untried(spark: S_, d: str) -> DataFrame:
     return tried.select("user_id", F.size("t").alias("tried"), F.get(left, F.lit(0)).alias("action"))
 
 
-QUERIES = {f.__name__: f for f in (bounded_states, soft_coverage, target_errors, record_paths, failure_details, readiness_blockers, normalised_vertices, best_untried)}
+def learned_ranks(spark: S_, d: str) -> DataFrame:
+    """The two best states per source by learned score, states without one at the source's mean."""
+    g = table(spark, d, "gate_score").filter(F.col("source").isNotNull() & (F.col("score").isNull() | F.isnan("score") | (F.abs("score") < 1e300))).groupBy("source", "state_id").agg(F.max(F.nanvl("score", F.lit(None).cast("double"))).alias("score"))
+    o = S.learned_order(g, ["source"], "score", 1 / (F.col("state_id") % 7 + 1), F.col("state_id") % 100)
+    return M.top_per_group(o, ["source"], [F.desc("value"), F.asc("state_id")], 2).select("source", "state_id", "rank", F.round("value", 9).alias("value"))
+
+
+def fold_accuracy(spark: S_, d: str) -> DataFrame:
+    """Accuracy on each profile of a cut of the vIoU change fitted on the other profiles."""
+    r = C.fold_thresholds(table(spark, d, "gate_row"), "profile", F.col("label_not_worse"), F.col("delta_avg_viou"))
+    return r.select("profile", "held_out", *(F.round(c, 9).alias(c) for c in ("threshold", "mean_label", "accuracy")))
+
+
+def target_boxes(spark: S_, d: str) -> DataFrame:
+    """Per mesh the box with the longest side, the thinnest one, the most slack for its weight, and the first; ties within 1e-9 go to the lowest index."""
+    b = D.indexed_boxes(spark, d)
+    e = B.extents(B.box())
+    r9 = lambda c: F.round(c, 9)
+    at = lambda c: -F.max(F.struct(r9(c).alias("v"), (-F.col("bbox_idx")).alias("k")))["k"]
+    return b.groupBy("mesh").agg(at(F.greatest(*e)).alias("longest"), at(-F.least(*e)).alias("thinnest"), at(B.volume(B.box()) / F.col("weight")).alias("slack"), F.min("bbox_idx").alias("first"))
+
+
+def metadata_distincts(spark: S_, d: str) -> DataFrame:
+    """Sorted categories and the number of different meshes of the records of each stage."""
+    r = table(spark, d, "stage_record").select(name_key(F.col("stage")).alias("stage"), category_key(F.col("category")).alias("category"), name_key(F.col("mesh_id")).alias("mesh"))
+    return r.groupBy("stage").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.countDistinct("mesh").alias("meshes"))
+
+
+QUERIES = {f.__name__: f for f in (bounded_states, soft_coverage, target_errors, record_paths, failure_details, readiness_blockers, normalised_vertices, best_untried, learned_ranks, fold_accuracy, target_boxes, metadata_distincts)}
 
 _SIG = " * ".join(f"(1 / (1 + exp(-0.5::DOUBLE * (x.{a} - b.min_{a})))) * (1 / (1 + exp(-0.5::DOUBLE * (b.max_{a} - x.{a}))))" for a in "xyz")
 _FC = "CASE WHEN lower(trim(status)) IN ('failed', 'error', 'timeout') THEN CASE WHEN lower(coalesce(error, '')) = '' THEN 'no_message' " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(error, '')), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in M.FAILURE_RULES) + " ELSE 'unknown' END END"
@@ -109,6 +138,15 @@ SELECT stage, coalesce(blocker, 'never failed') AS blocker, count(*) AS meshes F
     "normalised_vertices": _OBJ
     + """, s AS (SELECT obj_file, min(x) + max(x) AS mx, min(y) + max(y) AS my, min(z) + max(z) AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent, (max(x) > min(x))::INT + (max(y) > min(y))::INT + (max(z) > min(z))::INT AS varying FROM v GROUP BY 1)
 SELECT obj_file, count(*) AS n, max(varying) AS varying, round(sum(((x - mx / 2) / extent) ** 2 + ((y - my / 2) / extent) ** 2 + ((z - mz / 2) / extent) ** 2), 6) AS spread FROM v JOIN s USING (obj_file) WHERE extent > 0 GROUP BY 1""",
+    "learned_ranks": """WITH g AS (SELECT source, state_id, max(CASE WHEN isnan(score) THEN NULL ELSE score END) AS score FROM gate_score WHERE source IS NOT NULL AND (score IS NULL OR isnan(score) OR abs(score) < 1e300) GROUP BY 1, 2),
+v AS (SELECT source, state_id, coalesce(score, avg(score) OVER (PARTITION BY source), 0) + 1e-9 * (1 / (state_id % 7 + 1)) + 1e-12 / (state_id % 100 + 1) AS value FROM g)
+SELECT source, state_id, row_number() OVER (PARTITION BY source ORDER BY value DESC, state_id) AS rank, round(value, 9) AS value FROM v QUALIFY rank <= 2""",
+    "fold_accuracy": """WITH d AS (SELECT profile, label_not_worse AS y, delta_avg_viou AS x FROM gate_row WHERE profile IS NOT NULL AND label_not_worse IS NOT NULL AND delta_avg_viou IS NOT NULL AND NOT isnan(delta_avg_viou)),
+t AS (SELECT f.profile, avg(x) FILTER (WHERE y = 0) / 2 + avg(x) FILTER (WHERE y = 1) / 2 AS threshold, avg(y) AS mean_label FROM (SELECT DISTINCT profile FROM d) f JOIN d ON d.profile <> f.profile GROUP BY 1)
+SELECT profile, count(*) AS held_out, round(max(threshold), 9) AS threshold, round(max(mean_label), 9) AS mean_label, round(avg((CASE WHEN threshold IS NULL THEN mean_label >= 0.5 ELSE x >= threshold END = (y = 1))::INT), 9) AS accuracy FROM d JOIN t USING (profile) GROUP BY 1""",
+    "target_boxes": f"""WITH {D.BOXES}, e AS (SELECT mesh, bbox_idx, greatest(max_x - min_x, max_y - min_y, max_z - min_z) AS l, least(max_x - min_x, max_y - min_y, max_z - min_z) AS s, {D.VOLUME} / weight AS k FROM b)
+SELECT mesh, -max((round(l, 9), -bbox_idx))[2] AS longest, -max((round(-s, 9), -bbox_idx))[2] AS thinnest, -max((round(k, 9), -bbox_idx))[2] AS slack, min(bbox_idx) AS first FROM e GROUP BY 1""",
+    "metadata_distincts": f"""WITH r AS (SELECT {K("stage")} AS stage, {CAT("category")} AS category, {K("mesh_id")} AS mesh FROM stage_record) SELECT stage, coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories, count(DISTINCT mesh) AS meshes FROM r GROUP BY 1""",
     "best_untried": """WITH e AS (SELECT user_id, CAST(json_extract(props, '$.k') AS INT) % 40 AS action, value FROM events), m AS (SELECT action, round(avg(value), 6) AS mean FROM e GROUP BY 1), t AS (SELECT DISTINCT user_id, action FROM e), n AS (SELECT user_id, count(*) AS tried FROM t GROUP BY 1),
 u AS (SELECT n.user_id, m.action, mean FROM n, m WHERE NOT EXISTS (FROM t WHERE t.user_id = n.user_id AND t.action = m.action) QUALIFY row_number() OVER (PARTITION BY n.user_id ORDER BY mean DESC, m.action) = 1)
 SELECT n.user_id, tried, u.action FROM n LEFT JOIN u USING (user_id)""",

@@ -77,7 +77,7 @@ def guarded_profiles(spark: S_, d: str) -> DataFrame:
 
 
 def budget_rules(spark: S_, d: str) -> DataFrame:
-    """The first matching budget rule of each gate row, counted."""
+    """The first matching budget rule of each gate row, counted."""
     rules = [("baseline_avg_num_box", ">", 12, "exhaustive"), ("baseline_avg_bvs", ">=", 3, "wide"), ("baseline_avg_covered", "<", 0.95, "wide"), ("candidate_fallback_disabled", "==", 0, "fallback"), ("baseline_avg_viou", "<=", 0.5, "narrow")]
     g = table(spark, d, "gate_row").select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in {r[0] for r in rules}))
     return g.groupBy(F.coalesce(S.first_rule(g, rules), F.lit("default")).alias("budget")).agg(F.count("*").alias("n"))
