@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
+from meshquarry.operators.ranking import row_numbers, running_sum
 from meshquarry.session import salted_join, spill
 
 
@@ -102,7 +103,7 @@ def normalised_obj(lines: DataFrame, stats: DataFrame, digits: int = 9) -> DataF
 def obj_parts(lines: DataFrame, boundary: str = "usemtl") -> DataFrame:
     """file, line_no, line and part: 0 before the first boundary line, then one more at each (``o``, ``g`` or ``usemtl``)."""
     at = F.col("line").rlike(rf"^\s*(?:{boundary})(?:\s|$)").cast("int")
-    return lines.withColumn("part", F.sum(at).over(W.partitionBy("file").orderBy("line_no")))
+    return running_sum(lines.withColumn("_at", at), ["file"], ["line_no"], "_at", "part").drop("_at")
 
 
 def part_meshes(lines: DataFrame, boundary: str = "usemtl") -> tuple[DataFrame, DataFrame]:
@@ -112,16 +113,19 @@ def part_meshes(lines: DataFrame, boundary: str = "usemtl") -> tuple[DataFrame,
     order of the file. Negative indices count from the end of the file; faces that name no vertex of the file are dropped.
     """
     l = obj_parts(lines, boundary)
+    l = spill(l, "parts")
     p = F.split(F.trim("line"), r"[ \t]+")
-    w = W.partitionBy("file").orderBy("line_no")
-    v = l.filter(p[0] == "v").select("file", "line_no", F.row_number().over(w).alias("g"), *(F.get(p, F.lit(i + 1)).try_cast("double").alias(a) for i, a in enumerate(B.AXES)))
+    v = row_numbers(l.filter(p[0] == "v").select("file", "line_no", *(F.get(p, F.lit(i + 1)).try_cast("double").alias(a) for i, a in enumerate(B.AXES))), ["file"], ["line_no"], "g")
+    v = spill(v, "vertices")
     f = l.filter((p[0] == "f") & (F.size(p) >= 4)).select("file", "part", "line_no", F.posexplode(F.slice(p, F.lit(2), F.size(p))).alias("k", "t"))
     n = v.groupBy("file").agg(F.count("*").alias("n"))
     f = f.join(n, "file").withColumn("i", F.split_part("t", F.lit("/"), F.lit(1)).try_cast("long"))
     f = f.withColumn("g", F.when(F.col("i") < 0, F.col("n") + F.col("i") + 1).otherwise(F.col("i")))
     bad = f.filter(F.col("g").isNull() | (F.col("g") < 1) | (F.col("g") > F.col("n"))).select("file", "line_no").distinct()
     f = f.join(bad, ["file", "line_no"], "left_anti")
-    local = f.select("file", "part", "g").distinct().withColumn("vertex_id", F.row_number().over(W.partitionBy("file", "part").orderBy("g")) - 1)
+    f = spill(f, "corners")
+    local = row_numbers(f.select("file", "part", "g").distinct(), ["file", "part"], ["g"], "vertex_id").withColumn("vertex_id", F.col("vertex_id") - 1)
+    local = spill(local, "local")
     vertices = local.join(v, ["file", "g"]).select("file", "part", "vertex_id", *B.AXES)
     faces = f.join(local, ["file", "part", "g"]).groupBy("file", "part", "line_no").agg(F.array_sort(F.collect_list(F.struct("k", "vertex_id"))).alias("c"))
     return vertices, faces.select("file", "part", "line_no", F.transform("c", lambda x: x["vertex_id"]).alias("corners"))
@@ -130,19 +134,22 @@ def part_meshes(lines: DataFrame, boundary: str = "usemtl") -> tuple[DataFrame,
 def read_gmsh(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, faces, tets) of Gmsh 2.2 text files; node ids become 0-based positions, other element types are dropped."""
     l = read_lines(spark, path)
-    w = W.partitionBy("file").orderBy("line_no")
     tag = F.when(F.col("line").startswith("$"), F.trim("line"))
-    s = l.withColumn("section", F.last(tag, ignorenulls=True).over(w)).withColumn("at", F.max(F.when(tag.isNotNull(), F.col("line_no"))).over(w))
-    body = s.filter(tag.isNull() & (F.col("line_no") > F.col("at") + 1)).withColumn("p", F.split(F.trim("line"), r"\s+"))  # the first line is the count
+    s = spill(running_sum(l.withColumn("_at", tag.isNotNull().cast("int")), ["file"], ["line_no"], "_at", "_section"), "sections")
+    starts = s.filter(F.col("_at") == 1).select(F.struct("file", "_section").alias("_k"), F.trim("line").alias("section"), F.col("line_no").alias("at"))
+    s = salted_join(s.withColumn("_k", F.struct("file", "_section")), starts, "_k", F.col("line_no"), how="inner")
+    body = s.filter((F.col("_at") == 0) & (F.col("line_no") > F.col("at") + 1)).withColumn("p", F.split(F.trim("line"), r"\s+"))  # the first line is the count
     at = lambda i, t: F.get("p", F.lit(i)).try_cast(t)
-    nodes = body.filter(F.col("section") == "$Nodes").select("file", at(0, "long").alias("node"), (F.row_number().over(w) - 1).cast("long").alias("vertex_id"), *(at(i + 1, "double").alias(a) for i, a in enumerate(B.AXES)))
+    nodes = body.filter(F.col("section") == "$Nodes").select("file", "line_no", at(0, "long").alias("node"), *(at(i + 1, "double").alias(a) for i, a in enumerate(B.AXES)))
+    nodes = row_numbers(nodes, ["file"], ["line_no"], "vertex_id").select("file", "node", (F.col("vertex_id") - 1).cast("long").alias("vertex_id"), *B.AXES)
+    nodes = spill(nodes, "nodes")
     e = body.filter(F.col("section") == "$Elements").select("file", "line_no", "p", at(1, "int").alias("kind"), F.coalesce(at(2, "int"), F.lit(0)).alias("tags"))
     e = e.select("file", "line_no", "kind", F.transform(F.slice("p", F.col("tags") + 4, F.size("p")), lambda x: x.try_cast("long")).alias("ids"))
 
     def elements(kind: int, n: int, name: str) -> DataFrame:
         x = e.filter((F.col("kind") == kind) & (F.size("ids") == n)).select("file", "line_no", F.posexplode("ids").alias("k", "node")).join(nodes.select("file", "node", "vertex_id"), ["file", "node"])
         g = x.groupBy("file", "line_no").agg(*(F.max(F.when(F.col("k") == i, F.col("vertex_id"))).alias(f"v{i}") for i in range(n)))
-        return g.select("file", (F.row_number().over(w) - 1).cast("long").alias(name), *(f"v{i}" for i in range(n)))
+        return row_numbers(g, ["file"], ["line_no"], name).select("file", (F.col(name) - 1).cast("long").alias(name), *(f"v{i}" for i in range(n)))
 
     return nodes.drop("node"), elements(2, 3, "face_id"), elements(4, 4, "tet_id")
 
