@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from meshquarry.functions.text import category_key, is_success, name_key
 from meshquarry.llm.thresholds import hash_rank, take_by_hash
+from meshquarry.session import spill
 
 #: The sample is this share of the distinct records.
 SAMPLE_SHARE = 0.2
@@ -121,7 +122,7 @@ def plan(records: DataFrame, targets: DataFrame, share: float = SAMPLE_SHARE) ->
 def draw(records: DataFrame, targets: DataFrame, share: float = SAMPLE_SHARE, seed: int = 7) -> DataFrame:
     """eval_id, category, stage of the sample."""
     table, _, _ = plan(records, targets, share)
-    u = usable(records)
+    u = spill(usable(records), "usable")  # read once per refinement and once more
     return take_by_hash(u, ["category", "stage"], F.lit(1.0), hash_rank(F.col("eval_id"), seed=seed), table).select("eval_id", "category", "stage")
 
 
