@@ -7,13 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes as B
 from meshquarry.functions import vectors as V
-from meshquarry.session import salted_join
+from meshquarry.session import BROADCAST_BYTES, salted_join
 
 
 def fit_boxes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,30 +40,181 @@ def covered(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return j.withColumn("n_boxes", F.when(F.col("_boxes").isNull(), 0).otherwise(F.size(inside))).drop("_boxes")
 
 
-def grid_join(points: DataFrame, boxes: DataFrame, cell: Sequence[float], most_cells: int = 4096) -> DataFrame:
-    """Every (point, box) with the point in the box, by an equi-join on grid cells and the exact test.
+def _gridded(boxes: DataFrame, cell: Sequence[float], most_cells: int) -> tuple[DataFrame, Row]:
+    """``boxes`` once per cell that they touch (_level, _cx, _cy, _cz); the levels, the number of cells and the bounds of all boxes.
 
-    A box that touches more than ``most_cells`` cells joins by cells that are coarser by powers of 8 per axis (one level
-    per box), so none is repeated without bound. Shared column names must be resolved beforehand.
+    A box that touches more than ``most_cells`` cells has cells that are coarser by powers of 8 per axis (one level
+    per box), so none is repeated without bound.
     """
     levels = 8
-    p = [F.col(a) for a in B.AXES]
-    cells_at = lambda lv: [F.floor((F.col(f"max_{a}")) / (w * 8**lv)) - F.floor(F.col(f"min_{a}") / (w * 8**lv)) + 1 for a, w in zip(B.AXES, cell)]
-    level = F.lit(levels - 1)
+    cells_at = lambda lv: B.product([(F.floor((F.col(f"max_{a}")) / (w * 8**lv)) - F.floor(F.col(f"min_{a}") / (w * 8**lv)) + 1).cast("double") for a, w in zip(B.AXES, cell)])
+    level, cells = F.lit(levels - 1), cells_at(levels - 1)
     for lv in reversed(range(levels - 1)):
-        level = F.when(B.product([c.cast("double") for c in cells_at(lv)]) <= most_cells, lv).otherwise(level)
+        fits = cells_at(lv) <= most_cells
+        level, cells = F.when(fits, lv).otherwise(level), F.when(fits, cells_at(lv)).otherwise(cells)
     b = boxes.withColumn("_level", level)
-    used = F.array(*(F.lit(lv) for lv in range(levels)))
+    found = b.agg(F.collect_set("_level").alias("levels"), F.sum(cells).alias("cells"), *(F.min(c).alias(c) for c in B.LOWS), *(F.max(c).alias(c) for c in B.HIGHS)).first()  # one row, at most `levels` numbers in it
     for a, w in zip(B.AXES, cell):
         size = F.lit(float(w)) * F.pow(F.lit(8.0), F.col("_level"))
         b = b.withColumn(f"_c{a}", F.explode(F.sequence(F.floor(F.col(f"min_{a}") / size), F.floor(F.col(f"max_{a}") / size))))
-    present = [r["_level"] for r in b.select("_level").distinct().collect()]  # at most `levels` rows
-    used = F.array(*(F.lit(lv) for lv in present)) if present else used
-    q = points.withColumn("_level", F.explode(used))
+    return b, found
+
+
+def _in_cells(points: DataFrame, cell: Sequence[float], levels: Sequence[int]) -> DataFrame:
+    """``points`` with their cell at each of the levels."""
+    q = points.withColumn("_level", F.explode(F.array(*(F.lit(lv) for lv in levels)) if levels else F.array().cast("array<int>")))
     for a, w in zip(B.AXES, cell):
         q = q.withColumn(f"_c{a}", F.floor(F.col(a) / (F.lit(float(w)) * F.pow(F.lit(8.0), F.col("_level")))))
-    on = ["_level", *(f"_c{a}" for a in B.AXES)]
-    return q.join(b, on).filter(B.contains(B.box(), p)).drop(*on)
+    return q
+
+
+CELL = ["_level", *(f"_c{a}" for a in B.AXES)]
+
+
+def grid_join(points: DataFrame, boxes: DataFrame, cell: Sequence[float], most_cells: int = 4096) -> DataFrame:
+    """Every (point, box) with the point in the box, by an equi-join on grid cells and the exact test.
+
+    Spark's estimate of the boxes doesn't know that they are repeated per cell, so their counted cells decide whether they
+    are broadcast. Shared column names must be resolved beforehand. For sums per box see :func:`grid_sums`.
+    """
+    b, found = _gridded(boxes, cell, most_cells)
+    b = F.broadcast(b) if (found["cells"] or 0) * 100 <= BROADCAST_BYTES else b.hint("merge")
+    return _in_cells(points, cell, found["levels"]).join(b, CELL).filter(B.contains(B.box(), [F.col(a) for a in B.AXES])).drop(*CELL)
+
+
+#: Points that one search tree holds at most, (box, node) pairs tested at once, and points and boxes of a cell in one task.
+TREE_POINTS, TREE_PAIRS, CELL_POINTS, CELL_BOXES = 1 << 18, 1 << 19, 1 << 20, 1 << 18
+
+
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order, as Spark has it: -0 equals 0, NaN equals NaN and is above all."""
+    v = v + 0.0
+    v[np.isnan(v)] = np.nan
+    i = v.view(np.int64)
+    return np.where(i < 0, i ^ np.int64(0x7FFFFFFFFFFFFFFF), i)
+
+
+def _tree_sums(p: np.ndarray, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each box (rows of ``lo``, ``hi``) the sums of ``values`` over the points ``p`` in it, ends included.
+
+    A k-d tree, halved by position, whose nodes hold tight bounds and sums: nodes within a box count whole, nodes apart
+    from it not at all, and only leaves that its surface cuts are tested point by point.
+    """
+    n, depth = len(p), max(0, (len(p) - 1).bit_length() - 3)
+    order, tree = np.arange(n), []
+    with np.errstate(invalid="ignore"):  # inf - inf is NaN, as in a plain sum
+        for d in range(depth + 1):
+            starts = (n * np.arange(1 << d)) >> d
+            q = p[order]
+            a, b = np.minimum.reduceat(q, starts), np.maximum.reduceat(q, starts)
+            tree.append((a, b, np.add.reduceat(values[order], starts)))
+            if d < depth:  # the next axis on which the node's points differ
+                turn = (d + np.arange(3)) % 3
+                axis = turn[(a != b)[:, turn].argmax(1)]
+                node = np.repeat(np.arange(1 << d), np.diff(starts, append=n))
+                order = order[np.lexsort((q[np.arange(n), axis[node]], node))]
+        q, leaf_values, ends = p[order], values[order], np.append(starts, n)
+        out = np.zeros((len(lo), values.shape[1]))
+
+        def add(box: np.ndarray, what: np.ndarray) -> None:
+            first, at = np.unique(box, return_inverse=True)
+            for k in range(out.shape[1]):
+                out[first, k] += np.bincount(at, weights=what[:, k], minlength=len(first))
+
+        todo = [(0, np.arange(i, min(i + TREE_PAIRS, len(lo))), None) for i in range(0, len(lo), TREE_PAIRS)]
+        while todo:
+            d, box, node = todo.pop()
+            node = np.zeros(len(box), dtype=np.int64) if node is None else node
+            if d > depth:  # single points
+                held = ((q[node] >= lo[box]) & (q[node] <= hi[box])).all(1)
+                add(box[held], leaf_values[node[held]])
+                continue
+            a, b, sums = tree[d]
+            meets = ((b[node] >= lo[box]) & (a[node] <= hi[box])).all(1)
+            box, node = box[meets], node[meets]
+            held = ((a[node] >= lo[box]) & (b[node] <= hi[box])).all(1)
+            add(box[held], sums[node[held]])
+            box, node = box[~held], node[~held]
+            if d < depth:
+                box, node = np.repeat(box, 2), np.repeat(2 * node, 2) + np.tile(np.array([0, 1]), len(node))
+            else:
+                size = ends[node + 1] - ends[node]
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                box, node = np.repeat(box, size), np.repeat(ends[node], size) + at
+            todo += [(d + 1, box[i : i + TREE_PAIRS], node[i : i + TREE_PAIRS]) for i in range(0, len(box), TREE_PAIRS)]
+    return out
+
+
+def _cell_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, its boxes before its points: each box that holds points of the cell, with their sums."""
+    now, boxes, points, waiting, out = None, [], [], 0, None
+
+    def search() -> None:
+        nonlocal out, waiting
+        if boxes and points:
+            b, p = np.concatenate(boxes), np.concatenate(points)
+            out = np.zeros((len(b), 3)) if out is None else out
+            out += _tree_sums(_ordered(p[:, :3]), np.ascontiguousarray(p[:, 3:]), _ordered(b[:, :3]), _ordered(b[:, 3:]))
+        points.clear()
+        waiting = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        nonlocal out
+        search()
+        if out is not None and (hit := out[:, 0] > 0).any():
+            b = np.concatenate(boxes)[hit]
+            yield pa.RecordBatch.from_arrays([*(pa.array(b[:, k]) for k in range(6)), *(pa.array(out[hit, k].astype(np.int64)) for k in range(2)), pa.array(out[hit, 2])], names=[*B.BOUNDS, "_n", "_given", "_sum"])
+        boxes.clear()
+        out = None
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(CELL) + 3)], 1)
+        rows = np.stack([batch.column(len(CELL) + 3 + k).to_numpy(zero_copy_only=False) for k in range(6)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+        for i, j in zip(cuts, cuts[1:]):
+            if now != (now := tuple(keys[i, :-1])):
+                yield from done()
+            if keys[i, -1] == 0:
+                boxes.append(rows[i:j])
+            elif boxes:
+                points.append(rows[i:j])
+                waiting += j - i
+                if waiting >= TREE_POINTS:
+                    search()
+    yield from done()
+
+
+def grid_sums(points: DataFrame, boxes: DataFrame, cell: Sequence[float], value: str, most_cells: int = 4096) -> DataFrame:
+    """``boxes`` that hold points, with n_points, how many, and ``value``, their sum in doubles: what grouping :func:`grid_join` gives, without its pairs.
+
+    Equal points, and equal boxes, are taken together; those of a cell meet in a search tree, whose nodes within a box count
+    whole. A cell of more than ``CELL_POINTS`` points or ``CELL_BOXES`` boxes is cut into pieces that each meet all pieces
+    of the other side. ``boxes`` must not have a column named like ``value``.
+    """
+    spark = boxes.sparkSession
+    b, found = _gridded(boxes.select(*B.BOUNDS).distinct(), cell, most_cells)
+    near = points.select(*B.AXES, value).filter(B.contains([F.lit(found[c]).cast("double") for c in B.BOUNDS], [F.col(a) for a in B.AXES]))
+    q = _in_cells(near, cell, found["levels"])
+
+    def pieces(df: DataFrame, most: int) -> list[Row]:  # a row per `most` rows of the table at most
+        return df.groupBy(*CELL).agg(F.ceil(F.count("*") / most).cast("int").alias("_n")).filter(F.col("_n") > 1).collect()
+
+    p_hot, b_hot = pieces(q, CELL_POINTS), pieces(b, CELL_BOXES)
+
+    def cut(df: DataFrame, own: str, other: str, by: Sequence[str]) -> DataFrame:
+        for name, hot in (("_pp", p_hot), ("_bp", b_hot)):
+            n = spark.createDataFrame(hot, "_level int, " + ", ".join(f"{c} long" for c in CELL[1:]) + f", {name} int")
+            df = df.join(F.broadcast(n), CELL, "left").na.fill(1, [name]) if hot else df.withColumn(name, F.lit(1))
+        return df.withColumn(own, F.pmod(F.xxhash64(*by), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    q = cut(q.groupBy(*CELL, *B.AXES).agg(F.count("*").cast("double").alias("_n"), F.count(value).cast("double").alias("_given"), F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("_sum")), "_pp", "_bp", B.AXES)
+    sides = [cut(b, "_bp", "_pp", B.BOUNDS).select(*CELL, "_pp", "_bp", F.lit(0).alias("_side"), *(F.col(c).alias(f"_v{k}") for k, c in enumerate(B.BOUNDS)))]
+    sides.append(q.select(*CELL, "_pp", "_bp", F.lit(1).alias("_side"), *(F.col(c).alias(f"_v{k}") for k, c in enumerate((*B.AXES, "_n", "_given", "_sum")))))
+    met = sides[0].union(sides[1]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *CELL, "_pp", "_bp").sortWithinPartitions(*CELL, "_pp", "_bp", "_side")
+    sums = met.mapInArrow(_cell_sums, ", ".join(f"{c} double" for c in B.BOUNDS) + ", _n long, _given long, _sum double").groupBy(*B.BOUNDS).agg(F.sum("_n").alias("n_points"), F.when(F.sum("_given") > 0, F.sum("_sum")).alias(value))
+    return boxes.join(sums.hint("merge"), [*B.BOUNDS])
 
 
 def union_cells(boxes: DataFrame, key: str) -> DataFrame:

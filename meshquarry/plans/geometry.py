@@ -31,10 +31,10 @@ def box_fit_score(spark: S_, d: str) -> DataFrame:
 
 
 def box_grid_coverage(spark: S_, d: str) -> DataFrame:
-    """Range join of all points with one small box per part by grid cells."""
+    """Range join of all points with one small box per part by grid cells, summed per box without its pairs."""
     boxes = table(spark, d, "part").select("p_partkey", (F.col("p_size") - 1.5).alias("min_x"), (F.col("p_size") + 1.5).alias("max_x"), (F.col("p_retailprice") / 25 - 1).alias("min_y"), (F.col("p_retailprice") / 25 + 1).alias("max_y"), F.pmod("p_partkey", F.lit(9)).cast("double").alias("min_z"), (F.pmod("p_partkey", F.lit(9)) + 2.0).alias("max_z"))
-    hits = S.grid_join(D.points(spark, d).select("x", "y", "z", "weight"), boxes, (3.0, 2.0, 2.0))
-    return hits.groupBy("p_partkey").agg(F.count("*").alias("n_points"), F.round(F.sum("weight"), 4).alias("weight"))
+    held = S.grid_sums(D.points(spark, d), boxes, (3.0, 2.0, 2.0), "weight")
+    return held.groupBy("p_partkey").agg(F.sum("n_points").alias("n_points"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 def box_union_volume(spark: S_, d: str) -> DataFrame:

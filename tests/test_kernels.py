@@ -12,6 +12,7 @@ from meshquarry.functions import text as T
 from meshquarry.functions import vectors as V
 from meshquarry.operators import scoring as C
 from meshquarry.operators import spatial as S
+from meshquarry.plans import geometry as G
 
 
 def one(spark, **cols):
@@ -122,6 +123,58 @@ def test_grid_join_equals_cross(spark):
     assert S.grid_join(p, b.limit(0), (1.0, 1.0, 1.0)).count() == 0
 
 
+def test_grid_join_sends_no_boxes_out_that_fill_many_cells(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    p = spark.createDataFrame([(0, 0.5, 0.5, 0.5)], "pid long, x double, y double, z double")
+    b = boxes(spark, *((1, i, (0, 0, 0, 15, 15, 15)) for i in range(40)))  # 40 rows, 163,840 cells
+    assert "BroadcastHashJoin" not in plan(S.grid_join(p, b, (1.0, 1.0, 1.0)))
+    assert "BroadcastHashJoin" in plan(S.grid_join(p, b, (16.0, 16.0, 16.0)))
+    assert S.grid_join(p, b, (1.0, 1.0, 1.0)).count() == S.grid_join(p, b, (16.0, 16.0, 16.0)).count() == 40
+    assert "BroadcastHashJoin" not in plan(G.box_grid_coverage(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("most", [None, 7])
+def test_grid_sums_equal_the_pairs(spark, monkeypatch, most):
+    import random
+
+    if most:  # each cell in pieces
+        monkeypatch.setattr(S, "CELL_POINTS", most)
+        monkeypatch.setattr(S, "CELL_BOXES", most)
+    rnd, nan = random.Random(5), math.nan
+    near = lambda: rnd.choice([rnd.uniform(-20, 20), float(rnd.randint(-3, 3)), -0.0])
+    pts = [(near(), near(), near(), rnd.choice([None, 1.5, -2.0])) for _ in range(300)]
+    pts += pts[:20] * 3 + [(nan, 1.0, 1.0, 4.0), (1.0, nan, 1.0, 8.0), (None, 1.0, 1.0, 16.0), (50.0, 50.0, 50.0, None)]
+    bx = []
+    for i in range(60):
+        lo = [near() for _ in range(3)]
+        bx.append((i, *lo, *(a + rnd.choice([0.0, 1.0, 9.0, 500.0]) for a in lo)))
+    bx += [(60 + i, *b[1:]) for i, b in enumerate(bx[:10])] + [(5, *bx[7][1:]), (80, 0.0, nan, 0.0, 2.0, nan, 2.0), (81, None, 0.0, 0.0, 9.0, 9.0, 9.0), (82, 3.0, 0.0, 0.0, -3.0, 9.0, 9.0), (83, 49.0, 49.0, 49.0, 51.0, 51.0, 51.0)]
+    p = spark.createDataFrame(pts, "x double, y double, z double, weight double")
+    b = spark.createDataFrame(bx, "bid long, " + ", ".join(f"{c} double" for c in B.BOUNDS))
+    want = p.crossJoin(b).filter(B.contains(B.box(), [F.col(a) for a in B.AXES])).groupBy("bid").agg(F.count("*"), F.sum("weight")).collect()
+    got = S.grid_sums(p, b, (1.0, 1.0, 1.0), "weight", most_cells=500).groupBy("bid").agg(F.sum("n_points"), F.sum("weight")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {(80, 1, 8.0), (83, 1, None)} <= set(map(tuple, got))
+    assert S.grid_sums(p, b.limit(0), (1.0, 1.0, 1.0), "weight").count() == S.grid_sums(p.limit(0), b, (1.0, 1.0, 1.0), "weight").count() == 0
+
+
+def test_cell_sums_over_batches_and_trees(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "TREE_POINTS", 64)
+    monkeypatch.setattr(S, "TREE_PAIRS", 16)
+    rnd, rows, want = np.random.default_rng(6), [], {}
+    for c in range(3):
+        lo = rnd.uniform(0, 5, (30, 3))
+        hi, p = lo + rnd.choice([0.5, 3.0, 9.0], (30, 3)), np.column_stack([rnd.integers(0, 6, (200, 3)), np.ones((200, 2)), rnd.integers(1, 9, 200)]).astype(float)
+        rows += [(0, c, 0, 0, 0, 0, 0, *l, *h) for l, h in zip(lo, hi)] + [(0, c, 0, 0, 0, 0, 1, *x) for x in p]
+        held = ((p[None, :, :3] >= lo[:, None]) & (p[None, :, :3] <= hi[:, None])).all(2)
+        want |= {(*l, *h): (n, n, w) for l, h, (n, _, w) in zip(lo, hi, held @ p[:, 3:]) if n}
+    batches = [pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows[i : i + 37])], names=[f"c{k}" for k in range(13)]) for i in range(0, len(rows), 37)]
+    got = {tuple(r.values())[:6]: tuple(r.values())[6:] for b in S._cell_sums(iter(batches)) for r in b.to_pylist()}
+    assert got == want
+
+
 def test_scoring(spark):
     d = spark.createDataFrame([(1, 0.9), (1, 0.4), (0, 0.4), (0, 0.1), (None, 0.5)], "y int, p double")
     a = C.roc_auc(d, F.col("y"), F.col("p")).first()
